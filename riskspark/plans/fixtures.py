@@ -129,3 +129,17 @@ def with_cte(*parts: str) -> str:
 
 __all__ = ["loan_view", "labeled_loans", "split_loans", "LOAN_VIEW_SQL", "LABELED_SQL", "split_sql",
            "with_cte", "md5_hash", "table"]
+
+
+# Binary target for evaluation and models: documents with their quality label.
+def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
+    return docs.join(lab, "doc_id")
+
+
+LABELED_DOCS_SQL = """
+labeled_docs AS (
+  SELECT d.doc_id, d.n_chars, d.lang, d.source, l.quality AS label, l.toxic
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+)"""
