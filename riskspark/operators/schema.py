@@ -43,9 +43,10 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """PRJ6: tolerant cast of every column to double (bad text -> NULL)."""
+    """PRJ6: tolerant cast of the columns (default: all) to double, bad text
+    -> NULL; other columns are kept as they are."""
     cols = list(cols or df.columns)
-    return df.select(*[F.col(c).try_cast("double").alias(c) for c in cols])
+    return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
 
 
 def numeric_or_coerced(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:

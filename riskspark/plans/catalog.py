@@ -1,3 +1,3 @@
 """Import every query module so that the registry is complete."""
 
-from riskspark.plans import q_evaluate, q_outlier, q_profile  # noqa: F401
+from riskspark.plans import q_evaluate, q_outlier, q_profile, q_schema  # noqa: F401
