@@ -139,7 +139,16 @@ class FeatureSpec:
         return apply_ordinal(engineered(df, self.amount, lo, hi), self.ordinal)
 
     def fit(self, train: DataFrame) -> FeatureSpec:
-        """Four small aggregation jobs on train: quantiles, levels, medians, scaler."""
+        """Four small aggregation jobs on train: quantiles, levels, medians, scaler.
+        Train is materialized once so the jobs do not each recompute it."""
+        from riskspark.session import materialize
+        train = materialize(train)
+        try:
+            return self._fit(train)
+        finally:
+            train.unpersist()
+
+    def _fit(self, train: DataFrame) -> FeatureSpec:
         lo, hi = ranking.percentile_column(train, self.amount, [self.lower_pct / 100, self.upper_pct / 100])
         levels = fit_onehot(train, self.onehot) if self.onehot else {}
         pre = apply_onehot(self._pre(train, lo, hi), levels)

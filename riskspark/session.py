@@ -52,3 +52,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, how: str = "persist"):
+    """Compute ``df`` once before several jobs read it.
+
+    ``persist`` keeps blocks on executors (MEMORY_AND_DISK; a lost executor's
+    blocks are recomputed from lineage). ``checkpoint`` writes to the shared
+    ``spark.checkpoint.dir`` and cuts lineage, for long multi-stage chains.
+    """
+    from pyspark import StorageLevel
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
