@@ -50,6 +50,8 @@ def fit_candidates(df: DataFrame, col: str, percentile_candidates=PERCENTILE_CAN
 
     Two selection jobs in total: all quantiles at once, then the MAD."""
     qs = sorted({p / 100.0 for pair in percentile_candidates for p in pair} | {0.25, 0.5, 0.75})
+    # |x - median| has no more distinct values than x: one guard serves both selections
+    method = ranking.resolve_method(df, [col], (), method)
     vals = dict(zip(qs, ranking.percentile_column(df, col, qs, method)))
     if vals[0.5] is None:
         return []
@@ -83,44 +85,46 @@ def sweep(df: DataFrame, col: str, thresholds: list[tuple[str, float, float]],
     under/over counts and percentages (strict).
     """
     x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    # One row per (value, rule) from a generator over literal thresholds (no
+    # join). Partial aggregation right after it keeps the shuffle at a few
+    # rows per task, and the small per-rule aggregate stays in codegen.
+    # Every value appears once under every rule, so each group also yields
+    # the original moments.
+    rules = [F.struct(F.lit(0).alias("ord"), F.lit(None).cast("double").alias("lo"),
+                      F.lit(None).cast("double").alias("hi"))]
+    rules += [F.struct(F.lit(i + 1).alias("ord"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+              for i, (_, lo, hi) in enumerate(thresholds)]
+    base = df.select(x.alias("x")).where(F.col("x").isNotNull()).select("x", F.explode(F.array(*rules)).alias("r"))
     xv = F.col("x")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(xv).alias("o_mean"), F.stddev_samp(xv).alias("o_std"),
-            F.skewness(xv).alias("o_g1"), F.kurtosis(xv).alias("o_g2")]
-    for i, (_, lo, hi) in enumerate(thresholds):
-        y = clip(xv, lo, hi)
-        aggs += [F.avg(y).alias(f"m{i}"), F.stddev_samp(y).alias(f"s{i}"), F.skewness(y).alias(f"g1_{i}"),
-                 F.kurtosis(y).alias(f"g2_{i}"), F.min(y).alias(f"mn{i}"), F.max(y).alias(f"mx{i}"),
-                 F.count_if(y != xv).alias(f"ch{i}"), F.count_if(xv < F.lit(float(lo))).alias(f"u{i}"),
-                 F.count_if(xv > F.lit(float(hi))).alias(f"o{i}")]
-    wide = base.agg(*aggs)
+    y = F.when(F.col("r.ord") == 0, xv).otherwise(F.greatest(F.col("r.lo"), F.least(xv, F.col("r.hi"))))
+    per = (base.select(F.col("r.ord").alias("ord"), xv, y.alias("y"), F.col("r.lo").alias("lo"),
+                       F.col("r.hi").alias("hi"))
+           .groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"),
+                               F.avg("y").alias("m"), F.stddev_samp("y").alias("s"), F.skewness("y").alias("g1"),
+                               F.kurtosis("y").alias("g2"), F.min("y").alias("mn"), F.max("y").alias("mx"),
+                               F.count_if(F.col("y") != xv).alias("ch"), F.count_if(xv < F.col("lo")).alias("u"),
+                               F.count_if(xv > F.col("hi")).alias("o"), F.avg(xv).alias("om"),
+                               F.stddev_samp(xv).alias("os"), F.skewness(xv).alias("og1"),
+                               F.kurtosis(xv).alias("og2")))
+    names = ["original"] + [m for m, _, _ in thresholds]
+    name_map = F.create_map(*[e for i, m in enumerate(names) for e in (F.lit(i), F.lit(m))])
     n = F.col("n")
-    feat = F.lit(feature or col)
-    nul = F.lit(None).cast("double")
-    o_skew, o_kurt = sample_skew(n, F.col("o_g1")), sample_kurt(n, F.col("o_g2"))
-
-    def row(method, mean, std, skew, kurt, om, os_, osk, oku, cm, cs, csk, cku, ch, chp, cmin, cmax, lo, hi,
-            u, o, up, op):
-        return F.struct(feat.alias("feature"), F.lit(method).alias("method"), n.alias("count"),
-                        mean.alias("mean"), std.alias("std"), skew.alias("skew"), kurt.alias("kurtosis"),
-                        om.alias("orig_mean"), os_.alias("orig_std"), osk.alias("orig_skew"),
-                        oku.alias("orig_kurt"), cm.alias("clipped_mean"), cs.alias("clipped_std"),
-                        csk.alias("clipped_skew"), cku.alias("clipped_kurt"), ch.alias("changed_count"),
-                        chp.alias("changed_pct"), cmin.alias("clipped_min"), cmax.alias("clipped_max"),
-                        lo.alias("lo"), hi.alias("hi"), u.alias("under_count"), o.alias("over_count"),
-                        up.alias("under_pct"), op.alias("over_pct"))
-
-    nl = F.lit(None).cast("long")
-    parts = [row("original", F.col("o_mean"), F.col("o_std"), o_skew, o_kurt, nul, nul, nul, nul, nul, nul,
-                 nul, nul, nl, nul, nul, nul, nul, nul, nl, nl, nul, nul)]
-    for i, (m, lo, hi) in enumerate(thresholds):
-        pct = lambda c: F.col(c) / n * 100.0
-        parts.append(row(m, nul, nul, nul, nul, F.col("o_mean"), F.col("o_std"), o_skew, o_kurt,
-                         F.col(f"m{i}"), F.col(f"s{i}"), sample_skew(n, F.col(f"g1_{i}")),
-                         sample_kurt(n, F.col(f"g2_{i}")), F.col(f"ch{i}"), pct(f"ch{i}"),
-                         F.col(f"mn{i}"), F.col(f"mx{i}"), F.lit(float(lo)), F.lit(float(hi)),
-                         F.col(f"u{i}"), F.col(f"o{i}"), pct(f"u{i}"), pct(f"o{i}")))
-    return wide.select(F.posexplode(F.array(*parts)).alias("ord", "_s")).select("ord", "_s.*")
+    is_rule = F.col("ord") != 0
+    orig = lambda e: F.when(~is_rule, e)  # noqa: E731 - filled on the 'original' row only
+    rule = lambda e: F.when(is_rule, e)  # noqa: E731 - filled on rule rows only
+    pct = lambda c: F.col(c) / n * 100.0
+    skew, kurt = sample_skew(n, F.col("g1")), sample_kurt(n, F.col("g2"))
+    return per.select(
+        "ord", F.lit(feature or col).alias("feature"), name_map[F.col("ord")].alias("method"), n.alias("count"),
+        orig(F.col("m")).alias("mean"), orig(F.col("s")).alias("std"), orig(skew).alias("skew"),
+        orig(kurt).alias("kurtosis"), rule(F.col("om")).alias("orig_mean"), rule(F.col("os")).alias("orig_std"),
+        rule(sample_skew(n, F.col("og1"))).alias("orig_skew"), rule(sample_kurt(n, F.col("og2"))).alias("orig_kurt"),
+        rule(F.col("m")).alias("clipped_mean"), rule(F.col("s")).alias("clipped_std"),
+        rule(skew).alias("clipped_skew"), rule(kurt).alias("clipped_kurt"),
+        rule(F.col("ch")).alias("changed_count"), rule(pct("ch")).alias("changed_pct"),
+        rule(F.col("mn")).alias("clipped_min"), rule(F.col("mx")).alias("clipped_max"),
+        F.col("lo"), F.col("hi"), rule(F.col("u")).alias("under_count"), rule(F.col("o")).alias("over_count"),
+        rule(pct("u")).alias("under_pct"), rule(pct("o")).alias("over_pct"))
 
 
 def candidate_summary(sweep_df: DataFrame) -> DataFrame:

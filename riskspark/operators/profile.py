@@ -180,6 +180,7 @@ def threshold_counts(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame
 
 def mad(df: DataFrame, col: str, method: str = "auto") -> tuple[float | None, float | None]:
     """AGG13: (median, median(|x - median|)) - two exact selections."""
+    method = ranking.resolve_method(df, [col], (), method)
     med = ranking.percentile_column(df, col, [0.5], method)[0]
     if med is None:
         return None, None

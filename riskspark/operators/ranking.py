@@ -123,6 +123,14 @@ def max_distinct(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     return best
 
 
+def resolve_method(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "auto") -> str:
+    """``'auto'`` -> ``'map'`` when the largest per-group distinct count is
+    within :data:`PERCENTILE_MAP_LIMIT`, else ``'rank'`` (one cheap HLL job)."""
+    if method != "auto":
+        return method
+    return "map" if max_distinct(df, cols, by) <= PERCENTILE_MAP_LIMIT else "rank"
+
+
 def percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
                 method: str = "auto", rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
     """Exact linear-interpolated percentiles (pandas ``quantile`` / DuckDB
@@ -135,8 +143,7 @@ def percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seq
     selection; ``'auto'`` checks the distinct count first and picks.
     """
     cols, by, qs = list(cols), list(by), [float(q) for q in qs]
-    if method == "auto":
-        method = "map" if max_distinct(df, cols, by) <= PERCENTILE_MAP_LIMIT else "rank"
+    method = resolve_method(df, cols, by, method)
     if method == "map":
         aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(f"p{i}")
                 for i, c in enumerate(cols)]
