@@ -288,3 +288,20 @@ def pipeline_featurize_pca_lda(spark, d):
     cls = EV.classification_metrics(p, "label", "pred", by=["split"])
     rk = EV.rank_metrics(p, "score", "label", by=["split"]).select("split", "roc_auc", "ap")
     return rounded(cls.join(rk, "split").withColumn("k", F.lit(k)), 4)
+
+
+# ------------------------------------------------------------ WIN1, WIN2 on their own
+
+@register("win1_cumulative_variance", rsql(with_cte(_LI_SRC, _eig_sql(_LI_NAMES)) + """
+SELECT pc, sum(lam) OVER (ORDER BY pc ROWS UNBOUNDED PRECEDING) / (SELECT sum(lam) FROM vec) AS cumulative
+FROM vec""", ["cumulative"]))
+def win1_cumulative_variance(spark, d):
+    return rounded(R.variance_table(_li_model(spark, d), spark).select("pc", "cumulative"))
+
+
+@register("win2_top_features", rsql(with_cte(_LI_SRC, _eig_sql(_LI_NAMES)) + """
+SELECT component, feature, loading, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature) AS rank FROM ld)
+WHERE rank <= 1""", ["loading"]))
+def win2_top_features(spark, d):
+    return rounded(R.top_features(R.loadings(_li_model(spark, d), spark), 1))
