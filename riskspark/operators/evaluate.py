@@ -28,8 +28,10 @@ def rank_metrics(df: DataFrame, score: str, label: str = "label", by: Sequence[s
     g = (df.where(F.col(score).isNotNull() & y.isNotNull())
          .groupBy(*by, F.col(score).cast("double").alias("_s"))
          .agg(F.sum((y == 1).cast("long")).alias("_p"), F.sum((y != 1).cast("long")).alias("_n")))
-    n_rows = g.count()
-    n_groups = g.select(*by).distinct().count() if by else 1
+    # one small job sizes the two-level window: rows to order and groups (for the broadcast bound)
+    st = g.agg(F.count(F.lit(1)).alias("n"),
+               (F.count_distinct(F.struct(*by)) if by else F.lit(1)).alias("k")).first()
+    n_rows, n_groups = int(st["n"]), int(st["k"])
     c = running_totals(g, "_s", ["_p", "_n"], by=by, descending=True, rows_per_bucket=rows_per_bucket,
                        n_rows=n_rows, n_groups=n_groups)
     terms = c.select(*by, "_p", "_n",

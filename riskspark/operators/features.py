@@ -68,17 +68,20 @@ def lookup_join(df: DataFrame, col: str, dim: DataFrame, dim_key: str, dim_val:
 
 
 def fit_onehot(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """FE6 fit: sorted train levels per column; missing is the level ``nan``."""
+    """FE6 fit: sorted train levels per column; missing is the level ``nan``.
+
+    Levels become columns, so the cardinality is checked (one HLL job)
+    before the distinct levels are brought to the driver."""
     s = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
+    est = s.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        if est[f"d{i}"] > MAX_LEVELS * 1.1:
+            raise ValueError(f"{c}: about {est[f'd{i}']} levels is too many for one-hot (limit {MAX_LEVELS})")
     rows = s.unpivot([], list(cols), "f", "v").distinct().collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["f"]].append(r["v"])
-    for c in cols:
-        if len(out[c]) > MAX_LEVELS:
-            raise ValueError(f"{c}: {len(out[c])} levels is too many for one-hot")
-        out[c] = sorted(out[c])
-    return out
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def onehot_names(levels: Mapping[str, Sequence[str]]) -> list[str]:
@@ -173,17 +176,25 @@ class FeatureSpec:
         return out.select(*keep, *[F.col(c).cast("double").alias(c) for c in p["feature_list"]])
 
 
-def variants(train: DataFrame, cols: Sequence[str]) -> dict:
+VARIANT_NAMES = ("baseline", "winsorize_1_99", "log1p")
+
+
+def variants(train: DataFrame, cols: Sequence[str], names: Sequence[str] = VARIANT_NAMES) -> dict:
     """FE11 fit: baseline (impute + scale), winsorize_1_99 (+clip), log1p
-    (+train shift), each scaled on train. Returns params per variant."""
+    (+train shift), each scaled on train. Returns params per requested variant."""
     from riskspark.operators.outlier import apply_log_shift, apply_winsorize, fit_log_shift, fit_winsorize
     med = fit_medians(train, cols)
     filled = apply_impute(train, med)
-    out = {"baseline": {"medians": med, "scaler": fit_scaler(filled, cols)}}
-    b = fit_winsorize(filled, cols, 0.01, 0.99)
-    out["winsorize_1_99"] = {"medians": med, "bounds": b, "scaler": fit_scaler(apply_winsorize(filled, b), cols)}
-    sh = fit_log_shift(filled, cols)
-    out["log1p"] = {"medians": med, "shift": sh, "scaler": fit_scaler(apply_log_shift(filled, sh), cols)}
+    out = {}
+    if "baseline" in names:
+        out["baseline"] = {"medians": med, "scaler": fit_scaler(filled, cols)}
+    if "winsorize_1_99" in names:
+        b = fit_winsorize(filled, cols, 0.01, 0.99)
+        out["winsorize_1_99"] = {"medians": med, "bounds": b,
+                                 "scaler": fit_scaler(apply_winsorize(filled, b), cols)}
+    if "log1p" in names:
+        sh = fit_log_shift(filled, cols)
+        out["log1p"] = {"medians": med, "shift": sh, "scaler": fit_scaler(apply_log_shift(filled, sh), cols)}
     return out
 
 

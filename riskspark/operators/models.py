@@ -83,13 +83,16 @@ def score(model, df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
 def cross_validate(df: DataFrame, cols: Sequence[str], key: str, label: str = "label",
                    models: Sequence[str] = ("logistic", "gbt"), k: int = 5, seed: int = SEED,
                    prepare: Callable[[DataFrame, DataFrame], dict[str, tuple[DataFrame, DataFrame]]] | None = None,
-                   threads: int = 4) -> DataFrame:
+                   threads: int = 4, folds: DataFrame | None = None) -> DataFrame:
     """MDL5: fold scores (variant, model, fold, n_pos, n_neg, roc_auc, ap).
 
     ``prepare(train, test)`` returns {variant: (train_x, test_x)} fitted on
-    ``train`` only; the default is one identity variant ``raw``.
+    ``train`` only; the default is one identity variant ``raw``. ``folds``
+    (``df`` with a ``fold`` column) may be passed to reuse one assignment
+    across several CV runs.
     """
-    folds = stratified_folds(df, label, key, k, seed).persist()
+    own = folds is None
+    folds = (stratified_folds(df, label, key, k, seed) if own else folds).persist()
     prepare = prepare or (lambda tr, te: {"raw": (tr, te)})
 
     def one(i: int) -> list[DataFrame]:
@@ -110,7 +113,8 @@ def cross_validate(df: DataFrame, cols: Sequence[str], key: str, label: str = "l
         scored = reduce(lambda a, b: a.unionByName(b), parts)
         return rank_metrics(scored, "score", label, by=["variant", "model", "fold"])
     finally:
-        folds.unpersist()
+        if own:
+            folds.unpersist()
 
 
 def linear_hint(summary: DataFrame, linear: str = "logistic", tree: str = "gbt",

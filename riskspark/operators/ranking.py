@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 #: rows handled by one bucket of a two-level window
 ROWS_PER_BUCKET = 2_000_000
-#: most buckets we cut an ordered column into
-MAX_BUCKETS = 4096
+#: most buckets we cut an ordered column into (the offsets table has one
+#: row per group and bucket and is broadcast only under BROADCAST_ROW_LIMIT)
+MAX_BUCKETS = 1 << 16
 #: largest per-group distinct count for which the built-in exact
 #: ``percentile`` (a value->count map per group) is allowed. Above it the
 #: distributed rank selection is used. HLL error is a few percent, so the
@@ -51,7 +52,8 @@ def range_buckets(df: DataFrame, col: str, n_rows: int | None = None,
     if b <= 1:
         return df.withColumn(out, F.lit(0))
     qs = [i / b for i in range(1, b)]
-    bounds = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, 10_000).alias("b")).first()["b"] or []
+    acc = max(10_000, 4 * b)  # sketch resolution finer than the bucket width
+    bounds = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, acc).alias("b")).first()["b"] or []
     splits = sorted({float(x) for x in bounds if x is not None and not math.isnan(x)})
     if not splits:
         return df.withColumn(out, F.lit(0))

@@ -20,7 +20,8 @@ MAX_HASH_BUCKETS = 1 << 20
 
 
 def _label_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    # bound check before the driver sees the rows: one row more than allowed is enough to refuse
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
         raise ValueError(f"{len(rows)} distinct values in {label!r}: not a class label")
     return {r[label]: int(r["n"]) for r in rows}

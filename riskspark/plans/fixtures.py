@@ -119,8 +119,15 @@ def labeled_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labeled loans with the exact stratified ``split`` column.
+
+    The loan view is a four-table join read by the three split jobs and by
+    every fit downstream, so it is computed once per query into the shared
+    checkpoint folder (survives executor loss, cuts the join lineage)."""
     from riskspark.operators.split import stratified_split
-    return stratified_split(labeled_loans(spark, sf_dir), "label", "row_id", 0.2, SPLIT_SEED)
+    from riskspark.session import materialize
+    lab = materialize(labeled_loans(spark, sf_dir), "checkpoint")
+    return stratified_split(lab, "label", "row_id", 0.2, SPLIT_SEED)
 
 
 def with_cte(*parts: str) -> str:
