@@ -42,8 +42,7 @@ def sample_kurt(n: Column, g2: Column) -> Column:
 def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
     """AGG1: feature, count, mean, std, min, p25, p50, p75, max, nan_count."""
     cols = list(cols)
-    if method == "auto":
-        method = "map" if ranking.max_distinct(df, cols) <= ranking.PERCENTILE_MAP_LIMIT else "rank"
+    method = ranking.resolve_method(df, cols, (), method)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -57,7 +56,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "auto") -
         wide = wide.select("*", *[F.col(f"{i}_p")[k].alias(f"{i}_{n}")
                                   for i in range(len(cols)) for k, n in enumerate(["p25", "p50", "p75"])])
     else:
-        ps = ranking.percentiles(df, cols, _Q3, method="rank")[()]
+        ps = ranking.percentiles(df, cols, _Q3, method=method)[()]
         wide = wide.select("*", *[F.lit(ps[c][k]).cast("double").alias(f"{i}_{n}")
                                   for i, c in enumerate(cols) for k, n in enumerate(["p25", "p50", "p75"])])
     fields = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "nan_count"]

@@ -126,10 +126,14 @@ def max_distinct(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def resolve_method(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "auto") -> str:
-    """``'auto'`` -> ``'map'`` when the largest per-group distinct count is
-    within :data:`PERCENTILE_MAP_LIMIT`, else ``'rank'`` (one cheap HLL job)."""
+    """``'auto'``: ungrouped -> ``'bracket'`` (exact, three jobs for any
+    number of columns, falls back to ``'rank'`` by itself); grouped ->
+    ``'map'`` when the largest per-group distinct count is within
+    :data:`PERCENTILE_MAP_LIMIT`, else ``'rank'`` (one cheap HLL job)."""
     if method != "auto":
         return method
+    if not by:
+        return "bracket"
     return "map" if max_distinct(df, cols, by) <= PERCENTILE_MAP_LIMIT else "rank"
 
 
@@ -146,6 +150,8 @@ def percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seq
     """
     cols, by, qs = list(cols), list(by), [float(q) for q in qs]
     method = resolve_method(df, cols, by, method)
+    if method == "bracket" and not by:
+        return {(): _percentiles_by_bracket(df, cols, qs, rows_per_bucket)}
     if method == "map":
         aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(f"p{i}")
                 for i, c in enumerate(cols)]
@@ -159,6 +165,84 @@ def percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Seq
     return _percentiles_by_rank(df, cols, qs, by, rows_per_bucket)
 
 
+#: sketch resolution of the bracket probes (GK rank error <= n / accuracy)
+BRACKET_ACCURACY = 10_000
+#: most rows one (column, quantile) bracket may hold before that column
+#: falls back to the distributed rank selection
+BRACKET_MAX_ROWS = 5_000_000
+
+
+def _percentiles_by_bracket(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                            rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
+    """Exact percentiles by approximate bracketing, ungrouped.
+
+    job 1: per column, count + ``percentile_approx`` at q -/+ 2/accuracy
+           (GK bounds the rank error, so the exact rank lies between them);
+    job 2: per (column, q), rows below and inside the bracket - verifies it;
+    job 3: only bracket rows leave the scan (a filtered generator), are
+           ranked per (column, q) by a window, and the 1-2 hit rows return.
+    A column whose bracket fails the check or holds more than
+    :data:`BRACKET_MAX_ROWS` rows is answered by the rank selection instead.
+    """
+    cols, qs = list(cols), [float(q) for q in qs]
+    d = 2.0 / BRACKET_ACCURACY
+    xs = [F.col(c).cast("double") for c in cols]
+    base = df.select(*[e.alias(f"_c{i}") for i, e in enumerate(xs)])
+    probes = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-d, d)})
+    pidx = {p: k for k, p in enumerate(probes)}
+    r1 = base.agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"_c{i}").alias(f"n{i}"),
+        F.percentile_approx(f"_c{i}", probes, BRACKET_ACCURACY).alias(f"a{i}"))]).first()
+    out: dict[str, list] = {}
+    plan = []  # (i, j, lo_val, hi_val, r_lo, r_hi)
+    for i, c in enumerate(cols):
+        n = int(r1[f"n{i}"])
+        if n == 0:
+            out[c] = [None] * len(qs)
+            continue
+        ap = r1[f"a{i}"]
+        for j, q in enumerate(qs):
+            h = (n - 1) * q
+            plan.append((i, j, float(ap[pidx[min(1.0, max(0.0, q - d))]]),
+                         float(ap[pidx[min(1.0, max(0.0, q + d))]]), int(math.floor(h)), int(math.ceil(h))))
+    if not plan:
+        return out
+    col_of = lambda i: F.col(f"_c{i}")
+    r2 = base.agg(*[e for k, (i, j, a, b, _, _) in enumerate(plan) for e in (
+        F.count_if(col_of(i) < F.lit(a)).alias(f"u{k}"),
+        F.count_if(col_of(i).between(F.lit(a), F.lit(b))).alias(f"w{k}"))]).first()
+    good, fallback = [], set()
+    for k, (i, j, a, b, rlo, rhi) in enumerate(plan):
+        below, inside = int(r2[f"u{k}"]), int(r2[f"w{k}"])
+        if below <= rlo and below + inside > rhi and inside <= BRACKET_MAX_ROWS:
+            good.append((k, i, j, a, b, rlo, rhi, below))
+        else:
+            fallback.add(i)
+    good = [g for g in good if g[1] not in fallback]
+    hits: dict[tuple[int, int], dict[int, float]] = {}
+    if good:
+        cand = F.array(*[F.struct(F.lit(k).alias("k"), col_of(i).alias("v"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                         for k, i, j, a, b, *_ in good])
+        inb = base.select(F.explode(F.filter(cand, lambda s: s["v"].between(s["a"], s["b"]))).alias("s")) \
+            .select("s.k", "s.v")
+        meta = {k: (i, j, rlo, rhi, below) for k, i, j, a, b, rlo, rhi, below in good}
+        want = F.create_map(*[e for k, (_, _, rlo, rhi, below) in meta.items()
+                              for e in (F.lit(k), F.array(F.lit(rlo - below), F.lit(rhi - below)))])
+        w = Window.partitionBy("k").orderBy("v")
+        ranked = inb.withColumn("_r", F.row_number().over(w) - 1)
+        for r in ranked.where(F.array_contains(want[F.col("k")], F.col("_r"))).select("k", "_r", "v").collect():
+            i, j, rlo, rhi, below = meta[r["k"]]
+            hits.setdefault((i, j), {})[int(r["_r"]) + below] = float(r["v"])
+    for k, i, j, a, b, rlo, rhi, below in good:
+        at = hits[(i, j)]
+        h = (int(r1[f"n{i}"]) - 1) * qs[j]
+        out.setdefault(cols[i], [None] * len(qs))[j] = at[rlo] + (h - rlo) * (at[rhi] - at[rlo])
+    if fallback:
+        fb = [cols[i] for i in sorted(fallback)]
+        out.update(_percentiles_by_rank(df, fb, qs, (), rows_per_bucket)[()])
+    return out
+
+
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     if len(cols) == 1:
         return df.select(*by, F.lit(cols[0]).alias("_feature"), F.col(cols[0]).cast("double").alias("_v"))

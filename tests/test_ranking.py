@@ -49,3 +49,24 @@ def test_same_result_after_repartition(data):
     a = ranking.percentiles(df, ["v"], QS, method="rank", rows_per_bucket=150)[()]["v"]
     b = ranking.percentiles(df.repartition(7), ["v"], QS, method="rank", rows_per_bucket=150)[()]["v"]
     assert a == b
+
+
+def test_bracket_matches_numpy_many_columns(spark):
+    rng = np.random.default_rng(9)
+    n = 5000
+    a = np.round(rng.normal(size=n), 3)
+    b = rng.integers(0, 5, n).astype(float)  # heavy ties
+    c = np.where(rng.random(n) < 0.1, np.nan, rng.lognormal(size=n))
+    rows = [(float(x), float(y), None if np.isnan(z) else float(z)) for x, y, z in zip(a, b, c)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    qs = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    got = ranking.percentiles(df, ["a", "b", "c"], qs, method="bracket")[()]
+    for name, v in (("a", a), ("b", b), ("c", c[~np.isnan(c)])):
+        assert np.allclose(got[name], np.quantile(v, qs), atol=1e-12)
+
+
+def test_bracket_fallback_to_rank(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BRACKET_MAX_ROWS", 1)
+    df = spark.createDataFrame([(float(i % 17),) for i in range(500)], "v double")
+    got = ranking.percentiles(df, ["v"], [0.5, 0.9], method="bracket", rows_per_bucket=50)[()]["v"]
+    assert np.allclose(got, np.quantile([float(i % 17) for i in range(500)], [0.5, 0.9]))
