@@ -31,6 +31,9 @@ MAX_BUCKETS = 1 << 16
 #: distributed rank selection is used. HLL error is a few percent, so the
 #: estimate is compared against a bound with head room.
 PERCENTILE_MAP_LIMIT = 1_000_000
+#: ungrouped: largest summed distinct count (over the requested columns) for
+#: which the one-pass exact map is preferred to bracketing
+MAP_TOTAL_LIMIT = 300_000
 #: largest small table we broadcast (rows); checked before every broadcast
 BROADCAST_ROW_LIMIT = 2_000_000
 
@@ -126,14 +129,19 @@ def max_distinct(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def resolve_method(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "auto") -> str:
-    """``'auto'``: ungrouped -> ``'bracket'`` (exact, three jobs for any
-    number of columns, falls back to ``'rank'`` by itself); grouped ->
+    """``'auto'``: ungrouped -> ``'map'`` when the summed distinct count is
+    within :data:`MAP_TOTAL_LIMIT`, else ``'bracket'`` (exact, three jobs
+    for any number of columns, falls back to ``'rank'`` by itself); grouped ->
     ``'map'`` when the largest per-group distinct count is within
     :data:`PERCENTILE_MAP_LIMIT`, else ``'rank'`` (one cheap HLL job)."""
     if method != "auto":
         return method
     if not by:
-        return "bracket"
+        # the exact map merges every column's value->count map in one task:
+        # quick for a few modest columns, bracketing beyond that (and at scale)
+        aggs = [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]
+        r = df.agg(*aggs).first()
+        return "map" if sum(int(r[f"d{i}"] or 0) for i in range(len(cols))) <= MAP_TOTAL_LIMIT else "bracket"
     return "map" if max_distinct(df, cols, by) <= PERCENTILE_MAP_LIMIT else "rank"
 
 
@@ -209,32 +217,45 @@ def _percentiles_by_bracket(df: DataFrame, cols: Sequence[str], qs: Sequence[flo
         return out
     col_of = lambda i: F.col(f"_c{i}")
     r2 = base.agg(*[e for k, (i, j, a, b, _, _) in enumerate(plan) for e in (
-        F.count_if(col_of(i) < F.lit(a)).alias(f"u{k}"),
-        F.count_if(col_of(i).between(F.lit(a), F.lit(b))).alias(f"w{k}"))]).first()
-    good, fallback = [], set()
+        F.count_if(col_of(i) < F.lit(a)).alias(f"lta{k}"), F.count_if(col_of(i) <= F.lit(a)).alias(f"lea{k}"),
+        F.count_if(col_of(i) < F.lit(b)).alias(f"ltb{k}"), F.count_if(col_of(i) <= F.lit(b)).alias(f"leb{k}"))]
+                  ).first()
+    vals: dict[tuple[int, int], dict[int, float]] = {}
+    open_ = []  # brackets with a rank strictly inside (a, b): (k, i, j, a, b, le_a, ranks)
+    fallback = set()
     for k, (i, j, a, b, rlo, rhi) in enumerate(plan):
-        below, inside = int(r2[f"u{k}"]), int(r2[f"w{k}"])
-        if below <= rlo and below + inside > rhi and inside <= BRACKET_MAX_ROWS:
-            good.append((k, i, j, a, b, rlo, rhi, below))
-        else:
+        lta, lea, ltb, leb = (int(r2[f"{p}{k}"]) for p in ("lta", "lea", "ltb", "leb"))
+        if not (lta <= rlo and leb > rhi) or ltb - lea > BRACKET_MAX_ROWS:
             fallback.add(i)
-    good = [g for g in good if g[1] not in fallback]
-    hits: dict[tuple[int, int], dict[int, float]] = {}
-    if good:
+            continue
+        at, inner = vals.setdefault((i, j), {}), []
+        for r in {rlo, rhi}:
+            if r < lea:
+                at[r] = a          # ties at the lower end resolve without touching rows
+            elif r >= ltb:
+                at[r] = b
+            else:
+                inner.append(r)
+        if inner:
+            open_.append((k, i, j, a, b, lea, inner))
+    open_ = [o for o in open_ if o[1] not in fallback]
+    if open_:
         cand = F.array(*[F.struct(F.lit(k).alias("k"), col_of(i).alias("v"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                         for k, i, j, a, b, *_ in good])
-        inb = base.select(F.explode(F.filter(cand, lambda s: s["v"].between(s["a"], s["b"]))).alias("s")) \
+                         for k, i, j, a, b, _, _ in open_])
+        # only rows strictly inside an open bracket leave the scan
+        inb = base.select(F.explode(F.filter(cand, lambda s: (s["v"] > s["a"]) & (s["v"] < s["b"]))).alias("s")) \
             .select("s.k", "s.v")
-        meta = {k: (i, j, rlo, rhi, below) for k, i, j, a, b, rlo, rhi, below in good}
-        want = F.create_map(*[e for k, (_, _, rlo, rhi, below) in meta.items()
-                              for e in (F.lit(k), F.array(F.lit(rlo - below), F.lit(rhi - below)))])
-        w = Window.partitionBy("k").orderBy("v")
-        ranked = inb.withColumn("_r", F.row_number().over(w) - 1)
+        meta = {k: (i, j, lea) for k, i, j, a, b, lea, _ in open_}
+        want = F.create_map(*[e for k, i, j, a, b, lea, inner in open_
+                              for e in (F.lit(k), F.array(*[F.lit(r - lea) for r in inner]))])
+        ranked = inb.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
         for r in ranked.where(F.array_contains(want[F.col("k")], F.col("_r"))).select("k", "_r", "v").collect():
-            i, j, rlo, rhi, below = meta[r["k"]]
-            hits.setdefault((i, j), {})[int(r["_r"]) + below] = float(r["v"])
-    for k, i, j, a, b, rlo, rhi, below in good:
-        at = hits[(i, j)]
+            i, j, lea = meta[r["k"]]
+            vals[(i, j)][int(r["_r"]) + lea] = float(r["v"])
+    for k, (i, j, a, b, rlo, rhi) in enumerate(plan):
+        if i in fallback:
+            continue
+        at = vals[(i, j)]
         h = (int(r1[f"n{i}"]) - 1) * qs[j]
         out.setdefault(cols[i], [None] * len(qs))[j] = at[rlo] + (h - rlo) * (at[rhi] - at[rlo])
     if fallback:
