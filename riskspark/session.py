@@ -66,7 +66,13 @@ def materialize(df, how: str = "persist"):
     from pyspark import StorageLevel
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        # a reliable checkpoint writes in a second job; without the cache that
+        # job would recompute the whole plan
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cached.checkpoint(eager=True)
+        finally:
+            cached.unpersist()
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
