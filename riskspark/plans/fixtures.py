@@ -125,9 +125,14 @@ def split_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     every fit downstream, so it is computed once per query into the shared
     checkpoint folder (survives executor loss, cuts the join lineage)."""
     from riskspark.operators.split import stratified_split
+    return stratified_split(loans_table(spark, sf_dir), "label", "row_id", 0.2, SPLIT_SEED)
+
+
+def loans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labeled loans computed once into the shared checkpoint folder, for
+    queries that run several jobs over the view."""
     from riskspark.session import materialize
-    lab = materialize(labeled_loans(spark, sf_dir), "checkpoint")
-    return stratified_split(lab, "label", "row_id", 0.2, SPLIT_SEED)
+    return materialize(labeled_loans(spark, sf_dir), "checkpoint")
 
 
 def with_cte(*parts: str) -> str:

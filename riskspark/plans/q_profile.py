@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark.operators import profile as P
-from riskspark.plans.fixtures import LABELED_SQL, LOAN_VIEW_SQL, NUMERIC_COLS, labeled_loans, loan_view, table, \
-    with_cte
+from riskspark.plans.fixtures import LABELED_SQL, LOAN_VIEW_SQL, NUMERIC_COLS, labeled_loans, loan_view, \
+    loans_table, table, with_cte
 from riskspark.plans.registry import register, rounded, rsql
 
 LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -247,7 +247,7 @@ GROUP BY f.label, f.feature, q1, median, q3""", ["q1", "median", "q3", "whisker_
 
 @register("agg18_box_stats", _agg18_sql)
 def agg18_box_stats(spark, d):
-    return rounded(P.box_stats(labeled_loans(spark, d), NUMERIC_COLS, by="label", top_n=12))
+    return rounded(P.box_stats(loans_table(spark, d), NUMERIC_COLS, by="label", top_n=12))
 
 
 # ---------------------------------------------------------------- AGG20 / AGG22
