@@ -27,16 +27,24 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
-               normalize_nan: bool = True) -> DataFrame:
+               normalize_nan: bool | None = None) -> DataFrame:
     """SRC1 + SRC2: parquet when the path ends in ``.parquet`` (file or
-    folder), header CSV otherwise; explicit schema if given, else inferred."""
+    folder), header CSV otherwise; explicit schema if given, else inferred.
+
+    ``normalize_nan`` (default: CSV only) maps NaN to NULL. CSV text ``NaN``
+    parses to NaN; parquet written from pandas / Arrow already stores missing
+    floats as NULL, and wrapping its columns in ``nanvl`` would stop filters
+    from reaching the parquet scan, so parquet is left as is unless asked."""
     p = path.rstrip("/")
-    if p.endswith(".parquet"):
+    is_parquet = p.endswith(".parquet")
+    if is_parquet:
         df = spark.read.schema(schema).parquet(p) if schema is not None else spark.read.parquet(p)
     else:
         rd = spark.read.option("header", True)
         rd = rd.schema(schema) if schema is not None else rd.option("inferSchema", True)
         df = rd.csv(p)
+    if normalize_nan is None:
+        normalize_nan = not is_parquet
     return nan_to_null(df) if normalize_nan else df
 
 
