@@ -246,6 +246,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     b = F.least(F.floor((x - F.lit(mn)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(x.isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # counts has at most `bins` rows (one per bin id): bounded by the parameter, not the data
     return grid.join(F.broadcast(counts), "bin", "left").select(
         "bin", (F.lit(mn) + F.col("bin") * F.lit(width)).alias("lo"),
         (F.lit(mn) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
@@ -299,8 +300,9 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = "label", top_
                                    "fence_lo double, fence_hi double")
     long = df.select(*by_cols, *[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot(by_cols, cols, "feature", "v").where(F.col("v").isNotNull())
-    # fences: groups x features rows - bounded by the caller's label count
-    j = long.join(F.broadcast(fences), by_cols + ["feature"])
+    # fences: groups x features rows, already held on the driver; broadcast only under the row bound
+    fences_side = F.broadcast(fences) if len(rows) <= ranking.BROADCAST_ROW_LIMIT else fences
+    j = long.join(fences_side, by_cols + ["feature"])
     inside = (F.col("v") >= F.col("fence_lo")) & (F.col("v") <= F.col("fence_hi"))
     agg = j.groupBy(*by_cols, "feature").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
