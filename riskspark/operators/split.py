@@ -1,34 +1,25 @@
 """Exact stratified split and folds (WIN3, WIN4) without a global window.
 
 Order inside each label is ``md5(seed|key)`` then ``key`` - shared with the
-SQL oracle. Rows are bucketed by the first 32 bits of the hash (uniform, so
-buckets are balanced even when one label holds most rows); only per-bucket
-counts and one boundary bucket per label are ever ranked.
+SQL oracle. Rows are bucketed by the leading bits of the hash (uniform, so
+buckets are balanced even when one label holds a third of all rows or more).
+
+The bucket count is fixed (:data:`HASH_BUCKETS`): small enough that the
+per-(label, bucket) counts combine map-side (a task emits at most one
+partial row per bucket it touches), large enough that the one boundary
+bucket ranked per label stays task-sized (1e12 rows per label -> about 15M
+rows in that bucket).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.operators.ranking import BROADCAST_ROW_LIMIT, ROWS_PER_BUCKET, hash_bucket, md5_hash
+from riskspark.operators.ranking import hash_bucket, md5_hash
 
 MAX_LABELS = 10_000
-MAX_HASH_BUCKETS = 1 << 20
-
-
-def _label_counts(df: DataFrame, label: str) -> dict:
-    # bound check before the driver sees the rows: one row more than allowed is enough to refuse
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{len(rows)} distinct values in {label!r}: not a class label")
-    return {r[label]: int(r["n"]) for r in rows}
-
-
-def _buckets_for(n_max: int, rows_per_bucket: int) -> int:
-    return int(max(1, min(MAX_HASH_BUCKETS, math.ceil(n_max / max(1, rows_per_bucket)))))
+HASH_BUCKETS = 1 << 16
 
 
 def _label_eq(label: str, v) -> F.Column:
@@ -36,47 +27,43 @@ def _label_eq(label: str, v) -> F.Column:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-                     rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "split") -> DataFrame:
+                     buckets: int = HASH_BUCKETS, out: str = "split") -> DataFrame:
     """WIN3: per label, the first ``round(test_frac * n_label)`` rows in
-    hash order are ``test``, the rest ``train``. Exact, parallel:
+    hash order are ``test``, the rest ``train``. Exact, two scans:
 
-    job 1 counts per label; job 2 counts per (label, hash bucket) and finds
-    each label's boundary bucket; job 3 ranks only the boundary buckets.
-    The result is a projection with a handful of literal cut points.
+    job 1 counts rows per (label, hash bucket); windows over that small
+    table give each label's total, its test size and its boundary bucket,
+    and only the boundary rows (one per label) reach the driver;
+    job 2 ranks the rows of each label's boundary bucket only.
+    The result is a projection with one literal cut point per label.
     """
-    n_by = _label_counts(df, label)
-    want = {lab: int(math.floor(test_frac * n + 0.5)) for lab, n in n_by.items()}
-    b = _buckets_for(max(n_by.values(), default=0), rows_per_bucket)
     h = md5_hash(key, seed)
-    hb = df.select(label, key, h.alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), b))
+    hb = df.select(label, key, h.alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     counts = hb.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_c").over(w))
-    want_map = F.create_map(*[e for lab, k in want.items() if lab is not None for e in (F.lit(lab), F.lit(k))]) \
-        if any(lab is not None for lab in want) else None
-    k_col = want_map[F.col(label)] if want_map is not None else F.lit(None)
-    if None in want:
-        k_col = F.when(F.col(label).isNull(), F.lit(want[None])).otherwise(k_col)
-    bnd = cum.withColumn("_k", k_col).where(
-        (F.col("_k") > 0) & (F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k"))
-    ).select(label, "_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin")).collect()
+    wl = Window.partitionBy(label)
+    cum_w = wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    k = F.floor(F.lit(float(test_frac)) * F.sum("_c").over(wl) + F.lit(0.5))  # round half up, as the oracle
+    cum = counts.select(label, "_b", "_c", F.sum("_c").over(cum_w).alias("_cum"), k.alias("_k"))
+    bnd = (cum.where((F.col("_k") > 0) & (F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
+           .select(label, "_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin"))
+           .limit(MAX_LABELS + 1).collect())  # one row per label: refuse a non-label column before collecting more
+    if len(bnd) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct values in {label!r}: not a class label")
     cuts = {}
     if bnd:
-        cond = None
+        cond = pick = None
         for r in bnd:
             c = _label_eq(label, r[label]) & (F.col("_b") == r["_b"])
             cond = c if cond is None else (cond | c)
-        kin = {r[label]: (r["_b"], r["_kin"]) for r in bnd}
         wr = Window.partitionBy(label).orderBy("_h", key)
         edge = hb.where(cond).withColumn("_rn", F.row_number().over(wr))
-        pick = None
-        for lab, (_, k_in) in kin.items():
-            c = _label_eq(label, lab) & (F.col("_rn") == k_in)
+        for r in bnd:
+            c = _label_eq(label, r[label]) & (F.col("_rn") == r["_kin"])
             pick = c if pick is None else (pick | c)
         for r in edge.where(pick).select(label, "_b", "_h", key).collect():
             cuts[r[label]] = (r["_b"], r["_h"], r[key])
     h_all = md5_hash(key, seed)
-    b_all = hash_bucket(h_all, b)
+    b_all = hash_bucket(h_all, buckets)
     is_test = F.lit(False)
     for lab, (cb, ch, ck) in cuts.items():
         before = (b_all < cb) | ((b_all == cb) & ((h_all < F.lit(ch)) | ((h_all == F.lit(ch)) &
@@ -85,26 +72,25 @@ def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2
     return df.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
-def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
-                    rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "rank") -> DataFrame:
-    """1-based rank of each row inside its label in hash order, computed as
-    bucket offset (small broadcast table) + row_number inside the bucket."""
-    n_by = _label_counts(df, label)
-    b = _buckets_for(max(n_by.values(), default=0), rows_per_bucket)
-    hb = df.withColumn("_h", md5_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), b))
+def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int = HASH_BUCKETS,
+                    out: str = "rank") -> DataFrame:
+    """1-based rank of each row inside its label in hash order: bucket offset
+    (running sum over the small per-(label, bucket) count table) + row_number
+    inside the bucket. No driver round trip; the offsets join is left to
+    AQE, which broadcasts it when its measured size is small."""
+    hb = df.withColumn("_h", md5_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     counts = hb.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wprev = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = counts.select(label, "_b", F.coalesce(F.sum("_c").over(wprev), F.lit(0)).alias("_off"))
-    n_off = b * len(n_by)
-    off = F.broadcast(off) if n_off <= BROADCAST_ROW_LIMIT else off
-    j = hb.join(off, [label, "_b"], "inner")
+    j = hb.join(off, hb[label].eqNullSafe(off[label]) & (hb["_b"] == off["_b"]), "inner") \
+        .drop(off[label]).drop(off["_b"])
     wr = Window.partitionBy(label, "_b").orderBy("_h", key)
     return j.withColumn(out, (F.col("_off") + F.row_number().over(wr)).cast("long")).drop("_h", "_b", "_off")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "fold") -> DataFrame:
+                     buckets: int = HASH_BUCKETS, out: str = "fold") -> DataFrame:
     """WIN4: fold = (rank inside label - 1) mod k, so every fold keeps the
     class shares."""
-    r = stratified_rank(df, label, key, seed, rows_per_bucket, "_rank")
+    r = stratified_rank(df, label, key, seed, buckets, "_rank")
     return r.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")

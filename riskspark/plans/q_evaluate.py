@@ -31,7 +31,7 @@ def win3_split_sizes(spark, d):
 def win3_split_multibucket(spark, d):
     # same split, forced through many hash buckets (the path taken at scale)
     return stratified_split(labeled_loans(spark, d), "label", "row_id", 0.2, SPLIT_SEED,
-                            rows_per_bucket=500).select("row_id", "label", "split")
+                            buckets=16).select("row_id", "label", "split")
 
 
 _FOLDS_SQL = with_cte(LOAN_VIEW_SQL, LABELED_SQL) + f"""
@@ -50,7 +50,7 @@ def win4_stratified_folds(spark, d):
 @register("win4_folds_multibucket", _FOLDS_SQL)
 def win4_folds_multibucket(spark, d):
     return stratified_folds(labeled_loans(spark, d), "label", "row_id", 5, SPLIT_SEED,
-                            rows_per_bucket=700).select("row_id", "label", "fold")
+                            buckets=16).select("row_id", "label", "fold")
 
 
 def _rank_sql(src: str, score: str, by: str) -> str:
