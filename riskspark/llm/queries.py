@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.bpe import encode_documents
 from riskspark.llm.common import table
+from riskspark.llm.dom import extract_main_text
 from riskspark.llm.langid import identify_language
 from riskspark.llm.line_rules import LINE_HOST_PCT, LINE_MIN_DOCS, MIN_LEFT_PCT, quality_rules
+from riskspark.llm.ngram_join import jaccard_components
 from riskspark.llm.packing import pack_documents
 from riskspark.llm.quality import score_quality
+from riskspark.llm.simhash import edited_fingerprints, near_counts
 from riskspark.llm.toxicity import score_toxicity
 from riskspark.llm.warc import warc_round_trip
 
@@ -33,6 +36,43 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+OP1_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3]))
+    END AS sh FROM d
+), t AS (
+  SELECT rid, len(sh) AS n, unnest(sh) AS token FROM s
+), inter AS (
+  SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM t a JOIN t b ON a.token = b.token AND a.rid < b.rid
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL
+), link AS (
+  SELECT a, b FROM inter WHERE 100 * c >= 85 * (na + nb - c)
+), two AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT rid AS a, rid AS b FROM s
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN two e ON r.b = e.a
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach r ON s.rid = r.a JOIN s o ON o.rid = r.b
+GROUP BY s.rid, s.doc_id, len(s.sh)
+"""
+
+
+@query("op1_ngram_join", OP1_SQL)
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
@@ -64,6 +104,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts; ``n_near`` counts the other
+    fingerprints of the table within the Hamming radius, by the block tables."""
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    near = near_counts(out.select("fp"))
+    out = out.join(near, out.fp == near.near_fp, "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                      "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
