@@ -79,6 +79,19 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, mask: Callable) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, for which ``mask(texts)`` holds;
+    decided batch by batch where the rows lie, without a shuffle."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(mask(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def as_iter(x):
     if x is None:
         return ()
@@ -105,7 +118,3 @@ def bounded_sample(labelled: DataFrame, key: str, bound: int) -> DataFrame:
     """The ``bound`` rows with the smallest hash of ``key``: a deterministic
     sample, at most ``bound`` rows (top-k, so nothing else is gathered)."""
     return labelled.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(bound)
-
-
-def pickled_bytes(rows: list) -> bytes:
-    return rows[0][0] if rows else b""

@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text
+from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows
 from riskspark.llm.linear import Ftrl, epochs, probabilities
 from riskspark.llm.quality import fit_task
 
@@ -120,12 +121,11 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return out[:DIM], int(out[DIM])
 
 
-def identify_language(docs: DataFrame, training: DataFrame | None = None, bound: int = BOUND, id_col: str = "doc_id",
-                      text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row of ``docs``; learns from
-    ``training`` (the same table by default), never from the held-out fold."""
-    src = docs if training is None else training
-    train = (src.select(src[id_col].alias("doc_id"), src[text_col].cast("string").alias("text"), src[lang_col].cast("string").alias("lang"))
+def fit_language(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text",
+                 lang_col: str = "lang", folds: int = 3, held: int = 1) -> Broadcast:
+    """The model, broadcast: names and temperature, weights, IDF (fixed size for a
+    given number of languages). Learns from rows outside the held-out fold."""
+    train = (docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
              .where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)
                     & (fold(F.col("doc_id"), folds) != held)))
     df, n = document_frequencies(train)
@@ -142,25 +142,46 @@ def identify_language(docs: DataFrame, training: DataFrame | None = None, bound:
 
     model = fit_task(sample, "doc_id", learn)
     head, _, raw = (model[0] if model else b"").partition(b"\0")
-    sent = docs.sparkSession.sparkContext.broadcast((json.loads(head) if head else {"names": [], "t": 1.0}, raw, idf))
+    return docs.sparkSession.sparkContext.broadcast((json.loads(head) if head else {"names": [], "t": 1.0}, raw, idf))
+
+
+def predictions(texts: list[str | None], model: tuple) -> tuple[list[str], list[float]]:
+    meta, raw, idf = model
+    names, t = meta["names"], meta["t"]
+    w = np.frombuffer(raw, np.float32).reshape(DIM, -1) if names else None
+    langs, scores = [], []
+    for text in texts:
+        if not names or not has_letter(text):
+            langs.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        idx, val = tfidf(features(text), idf)
+        p = probabilities((val @ w[idx])[:len(names)] / t) if len(names) > 1 else np.ones(1)
+        best = int(p.argmax())
+        langs.append(names[best])
+        scores.append(float(p[best]))
+    return langs, scores
+
+
+def identify_language(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text",
+                      lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row of ``docs``."""
+    model = fit_language(docs, bound, id_col, text_col, lang_col, folds, held)
     d = id_text(docs, id_col, text_col)
 
     def predict(b: pa.RecordBatch):
-        meta, raw, idf = sent.value
-        names, t = meta["names"], meta["t"]
-        w = np.frombuffer(raw, np.float32).reshape(DIM, -1) if names else None
-        langs, scores = [], []
-        for text in b.column(1).to_pylist():
-            if not names or not has_letter(text):
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            idx, val = tfidf(features(text), idf)
-            p = probabilities((val @ w[idx])[:len(names)] / t) if len(names) > 1 else np.ones(1)
-            best = int(p.argmax())
-            langs.append(names[best])
-            scores.append(float(p[best]))
+        langs, scores = predictions(b.column(1).to_pylist(), model.value)
         yield {"doc_id": b.column(0).to_pylist(), "lang_pred": langs, "score": scores}
 
     out = arrow_map(d, predict, f"doc_id {dict(d.dtypes)['doc_id']}, lang_pred string, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs``, unchanged, that have a language of at least that score."""
+    model = fit_language(docs, text_col=text_col, **kw)
+
+    def mask(texts):
+        return [lang != UNDETERMINED and s >= least for lang, s in zip(*predictions(texts, model.value))]
+
+    return keep_rows(docs, text_col, mask)

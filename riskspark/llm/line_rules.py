@@ -3,7 +3,7 @@
 Everything here is a composition of DataFrame functions (no Python workers).
 
 Base statistics come from one projection over the text. Cross-document step:
-normalised lines are hashed, the *distinct documents* per (host, line) are
+normalised lines (ASCII lower case, white space squeezed) are hashed, the *distinct documents* per (host, line) are
 counted, lines above both limits are removed, and a document that loses too
 large a share of its words is rejected.
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.common import stored
+
 # ASCII white space, the symbols counted, A-Z for case folding.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -49,9 +51,8 @@ def words_of(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """ASCII lower case, runs of white space as one space, trimmed."""
-    low = F.translate(line, UPPER, UPPER.lower())
-    return F.trim(F.regexp_replace(low, SPACE_RUN, " "))
+    """Runs of white space as one space, trimmed (case is folded in the text)."""
+    return F.trim(F.regexp_replace(line, SPACE_RUN, " "))
 
 
 def has_word(line: Column) -> Column:
@@ -59,41 +60,42 @@ def has_word(line: Column) -> Column:
 
 
 def base_stats(df: DataFrame) -> DataFrame:
-    """``doc_id, host, text`` -> base columns plus a 128-bit content key.
-
-    Repeated 3-word windows: windows are hashed, sorted with their position, and
-    a window equal to a neighbour in that order repeats; the words under repeated
-    windows are the union of ``[p, p+2]``, added up over the sorted starts."""
-    d = df.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("words", words_of(F.col("text")))
-    n = F.size("words")
-    d = d.withColumn("wins", F.when(n >= 3, F.expr(
-        "sort_array(transform(sequence(0, size(words) - 3), i -> "
-        "struct(xxhash64(words[i], words[i + 1], words[i + 2]) AS h, i AS p)))")))
-    d = d.withColumn("starts", F.expr(REPEATED_STARTS))
+    """``doc_id, host, text`` -> base columns plus a content hash ``k``.
+
+    Repeated 3-word windows: most texts have none, which a distinct count of window
+    hashes shows. In the others the windows are sorted with their position, a window
+    equal to a neighbour in that order repeats, and the words under repeated windows
+    are the union of ``[p, p + 2]``, added up over the sorted starts."""
+    d = df.withColumn("words", words_of(F.col("text")))
+    d = d.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))"))
+    d = d.withColumn("win", F.expr(
+        "CASE WHEN size(hashes) >= 3 THEN transform(sequence(0, size(hashes) - 3), "
+        "i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2])) ELSE cast(array() AS array<bigint>) END"))
+    d = d.withColumn("wins", F.expr(
+        "CASE WHEN size(array_distinct(win)) < size(win) THEN sort_array(transform(win, (h, i) -> struct(h, i AS p))) END"))
+    d = d.withColumn("starts", F.expr(f"CASE WHEN wins IS NOT NULL THEN {REPEATED_STARTS} END"))
     covered = F.expr(
         "aggregate(starts, named_struct('last', -3, 'n', 0L), "
         "(a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last)), a -> a.n)")
-    lines = F.filter(F.split("text", "\n"), has_word)
-    d = d.withColumn("lines", lines)
+    d = d.withColumn("lines", F.filter(F.split("text", "\n"), has_word))
     return d.select(
-        "doc_id", "host",
-        F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"),
-        n.cast("long").alias("n_words"),
+        "doc_id", "host", F.xxhash64("text").alias("k"),
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def line_rows(df: DataFrame) -> DataFrame:
-    """One row per line with a word: host, content key, line hash, words in it."""
-    d = df.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.select("host", F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"),
-                 F.explode(F.filter(F.split("text", "\n"), has_word)).alias("line"))
-    norm = normal_line(F.col("line"))
-    return d.select("host", "k1", "k2", F.xxhash64(norm).alias("line"),
-                    (F.length(norm) - F.length(F.translate(norm, " ", "")) + 1).cast("long").alias("w"))
+def document_lines(df: DataFrame) -> DataFrame:
+    """One row per distinct document of a host: ``host, k`` and, for every line with a
+    word, its hash (with the host's name) and its number of words."""
+    low = F.translate(F.col("text"), UPPER, UPPER.lower())
+    d = df.select("host", F.xxhash64("text").alias("k"),
+                  F.transform(F.filter(F.split(low, "\n"), has_word), normal_line).alias("norms"))
+    return d.select("host", "k", F.transform("norms", lambda x: F.struct(
+        F.xxhash64("host", x).alias("line"),
+        (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w"))).alias("lines")).dropDuplicates(["host", "k"])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -103,29 +105,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base statistics and the verdict for every row of ``docs``."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[host_col].cast("string").alias("host"),
                     docs[text_col].cast("string").alias("text"))
-    base = base_stats(d)
-    # (host, document, line) once: copies and repeats collapse map-side, and the
-    # three-part key spreads a line that a third of all documents share
-    per_doc = line_rows(d).groupBy("host", "k1", "k2", "line").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
-    per_line = per_doc.groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    host_docs = (base.select("host", "k1", "k2").distinct()
-                 .groupBy("host").agg(F.count("*").alias("host_docs")))
-    frequent = (per_line.where(F.col("n_docs") > line_min_docs).alias("l")
-                .join(host_docs.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-                .where(F.col("n_docs") * 100 > F.col("host_docs") * line_host_pct)
-                .select(F.col("l.host").alias("host"), "line"))
-    # words that a document loses; a copy's words count once per occurrence in
-    # the text, so divide the sum over equal rows by the number of equal rows
-    copies = base.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows"))
-    lost = (per_doc.alias("p").join(frequent.alias("f"), F.col("p.host").eqNullSafe(F.col("f.host"))
-                                    & (F.col("p.line") == F.col("f.line")))
-            .groupBy(F.col("p.host").alias("host"), "k1", "k2").agg(F.sum("w").alias("lost_all")))
-    lost = (lost.alias("a").join(copies.alias("c"), F.col("a.host").eqNullSafe(F.col("c.host"))
-                                 & (F.col("a.k1") == F.col("c.k1")) & (F.col("a.k2") == F.col("c.k2")))
-            .select(F.col("a.host").alias("host"), F.col("a.k1").alias("k1"), F.col("a.k2").alias("k2"),
-                    F.expr("lost_all div rows").alias("lost")))
-    out = base.alias("b").join(lost.alias("x"), F.col("b.host").eqNullSafe(F.col("x.host"))
-                               & (F.col("b.k1") == F.col("x.k1")) & (F.col("b.k2") == F.col("x.k2")), "left")
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
+    # compact rows (a few hashes per document), read by three steps: a written table
+    lines = stored(document_lines(d), "document-lines")
+    # a line that a third of all documents share is counted map-side first
+    frequent = (lines.select(F.explode(F.array_distinct("lines.line")).alias("line"))
+                .groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_min_docs))
+    host_docs = lines.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "h")
+    lost = (lines.select("host", "k", F.explode("lines").alias("l")).select("host", "k", "l.line", "l.w")
+            .join(frequent, "line").join(host_docs, F.col("host").eqNullSafe(F.col("h")))
+            .where(F.col("n_docs") * 100 > F.col("host_docs") * line_host_pct)
+            .groupBy(F.col("host").alias("lost_host"), F.col("k").alias("lost_k")).agg(F.sum("w").alias("lost")))
+    out = base_stats(d).join(lost, F.col("host").eqNullSafe(F.col("lost_host")) & (F.col("k") == F.col("lost_k")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -578,8 +578,9 @@ def group_links(members: DataFrame, sets, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                        percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` per row of ``docs``; class_id
-    identifies the set (null for an empty one)."""
+    """``doc_id, n_shingles, component_id, class_id, group_id, text_hash`` per row of
+    ``docs``. ``class_id`` identifies the set and ``group_id`` the component (null
+    without a token)."""
     spark = docs.sparkSession
     d = id_text(docs, id_col, text_col)
     kind = dict(d.dtypes)["doc_id"]
@@ -591,9 +592,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             nodes.append(class_key(s) if len(s) else None)
             ns.append(len(s))
             maps.append(parity_bitmap(s) if len(s) else None)
-        yield {"doc_id": ids, "node": nodes, "n": ns, "bitmap": maps}
+        yield {"doc_id": ids, "text_hash": b.column(2).to_pylist(), "node": nodes, "n": ns, "bitmap": maps}
 
-    rows = stored(arrow_map(d, describe, f"doc_id {kind}, node long, n long, bitmap array<long>"), "classes")
+    rows = stored(arrow_map(d.withColumn("text_hash", F.xxhash64("text")), describe,
+                            f"doc_id {kind}, text_hash long, node long, n long, bitmap array<long>"), "classes")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
                                                                       F.first("bitmap").alias("bitmap")), "nodes")
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
@@ -606,8 +608,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets(needed: DataFrame) -> DataFrame:
         """Whole sets of the needed classes, from the text of one document each."""
         want = stored(nodes.join(needed.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("rep")), "needed")
-        side = F.broadcast(want) if want.count() <= BROADCAST_NODES else want
-        j = d.join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+        j = d.join(small(want), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
         def make(b: pa.RecordBatch):
             have, raw = [], []
@@ -626,7 +627,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = connected_components(links)
     of_node = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    comp = of_node.join(ids, "label").select(F.col("node").alias("class_id"), "component_id")
+    comp = of_node.join(ids, "label").select(F.col("node").alias("class_id"), F.col("label").alias("group_id"), "component_id")
     return (rows.join(comp, F.col("node") == F.col("class_id"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id"))
+                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    "class_id", "group_id", "text_hash"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs``, unchanged, but one of each group of linked documents: the
+    row with the smallest id (a null id counts as the largest; of equal rows, one).
+    Rows without a token are linked with nothing and all stay."""
+    key = [F.col("doc_id"), F.col("text_hash")]
+    found = stored(jaccard_components(docs, id_col, text_col, **kw).where("group_id IS NOT NULL")
+                   .groupBy("group_id", *key).agg(F.count("*").alias("rows")), "groups")
+    best = found.groupBy(F.col("group_id").alias("g")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best"))
+    judged = found.join(best, F.col("group_id") == F.col("g"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    # rows to take out: all that do not stay, and those that stay more than once,
+    # which are then put back once
+    out = stored(judged.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("out_id"), F.col("text_hash").alias("out_hash"), stays.alias("back")), "taken-out")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(docs[text_col].cast("string")))
+    same = F.col(id_col).eqNullSafe(F.col("out_id")) & (F.col("__text_hash") == F.col("out_hash"))
+    rest = hashed.join(small(out), same, "left_anti")
+    again = hashed.join(small(out.where("back")), same, "left_semi").dropDuplicates([id_col, "__text_hash"])
+    return rest.unionByName(again).select(*docs.columns)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast of a stored table of a few numbers per row if it has at most
+    ``BROADCAST_NODES`` rows; else the table as it is, joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df

@@ -23,15 +23,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, ship, to_arrow
+from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows, ship, to_arrow
 from riskspark.llm.linear import Ftrl, epochs, probabilities
 
 BITS = 18
 DIM = 1 << BITS
 SCALE = 8.0                # frequencies are multiplied by this
+THRESHOLD = 0.3
 BOUND = 2500               # labelled rows the fit may use
 MEMO_WORDS = 400_000
 
@@ -138,21 +140,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         .select("doc_id", "y", "text")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3,
-                  bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = BOUND, id_col: str = "doc_id",
+                text_col: str = "text") -> Broadcast:
+    """The fitted weights, broadcast as ``DIM`` floats (all zero without labels)."""
     def train(rows):
         return fit([r["text"] for r in rows], [r["y"] for r in rows]).tobytes() if rows else None
 
     model = fit_task(labelled_sample(docs, labels, label, bound, 5, id_col, text_col), "doc_id", train)
-    weights = docs.sparkSession.sparkContext.broadcast(model[0] if model else np.zeros(DIM, np.float32).tobytes())
+    return docs.sparkSession.sparkContext.broadcast(model[0] if model else np.zeros(DIM, np.float32).tobytes())
+
+
+def quality_scores(texts: list[str | None], weights: bytes) -> np.ndarray:
+    w = np.frombuffer(weights, np.float32)
+    return probabilities(np.array([logit(t, w) for t in texts], float)[:, None])[:, 0]
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD,
+                  bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+    weights = fit_quality(docs, labels, label, bound, id_col, text_col)
     d = id_text(docs, id_col, text_col)
 
     def score(b: pa.RecordBatch):
-        w = np.frombuffer(weights.value, np.float32)
-        logits = np.array([logit(t, w) for t in b.column(1).to_pylist()])[:, None]
-        yield {"doc_id": b.column(0).to_pylist(), "score": probabilities(logits)[:, 0].tolist()}
+        yield {"doc_id": b.column(0).to_pylist(), "score": quality_scores(b.column(1).to_pylist(), weights.value).tolist()}
 
     out = arrow_map(d, score, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score reaches the threshold."""
+    weights = fit_quality(docs, labels, text_col=text_col, **kw)
+    return keep_rows(docs, text_col, lambda texts: quality_scores(texts, weights.value) >= threshold)
