@@ -43,6 +43,7 @@ LEAST_DOCS = 3             # a string in fewer training documents is left to its
 MAX_STRINGS = 300_000
 DRIFT, HIGHEST, LOWEST = 1.2, 6.0, -2.0
 SIGNIFICANCE = 0.05
+MAX_LAMBDA = 8.0
 MEMO_WORDS = 400_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -139,12 +140,14 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def karlin_lambda(sample: np.ndarray) -> float:
-    """The positive solution of mean(exp(lambda * score)) = 1 over clean tokens."""
-    if not len(sample) or sample.max() <= 0 or sample.mean() >= 0:
+    """The positive solution of mean(exp(lambda * score)) = 1 over clean tokens, at
+    most ``MAX_LAMBDA``: where clean text has next to no positive score, the equation
+    would make any trace of one significant."""
+    if not len(sample) or sample.mean() >= 0:
         return 1.0
-    lo, hi = 1e-6, 1.0
-    while np.exp(hi * sample).mean() < 1 and hi < 64:
-        lo, hi = hi, hi * 2
+    lo, hi = 1e-6, MAX_LAMBDA
+    if np.exp(hi * sample).mean() < 1:
+        return hi
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if np.exp(mid * sample).mean() < 1 else (lo, mid)
