@@ -1,9 +1,9 @@
 """Binary linear discriminant analysis (LDA1-LDA4) in closed form.
 
-Fit is ONE grouped aggregate: per class, the count, the mean and the
-cross-product sums of the features, all centred on the global mean first
-(so large offsets do not cancel). The d x d pooled covariance is solved on
-the driver with a pseudo-inverse (rank-deficient inputs are fine):
+Fit is one grouped aggregate (count and means per class) and the covariance of
+all rows; the within-class scatter is the total scatter less that of the class
+means, so no per-class cross products are needed. The d x d pooled covariance
+is solved on the driver with a pseudo-inverse (rank-deficient inputs are fine):
 
     Sw = (S_0 + S_1) / (n - 2),   w = pinv(Sw) (m_1 - m_0),
     b  = -(m_1 + m_0) . w / 2 + ln(p_1 / p_0)
@@ -17,23 +17,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.scalar import posterior
+from riskspark.operators.columns import col, num
+from riskspark.operators.reduce import covariance
 
 
 @dataclass
 class LDAModel:
+    """All fields are JSON values (lists by class, in the order of ``classes``), so a
+    saved model is equal to the loaded one."""
     features: list[str]
     coef: list[float]
     intercept: float
-    class_counts: dict
-    class_means: dict
-    priors: dict
+    class_counts: list[int]
+    class_means: list[list[float]]
+    priors: list[float]
+    classes: list[int] = field(default_factory=lambda: [0, 1])
     explained_ratio: float = 1.0
 
     def to_params(self) -> dict:
@@ -44,41 +49,30 @@ class LDAModel:
         return cls(**p)
 
 
-def fit_lda(df: DataFrame, cols: Sequence[str], label: str = "label", priors: dict | None = None) -> LDAModel:
+def fit_lda(df: DataFrame, cols: Sequence[str], label: str = "label", priors: Sequence[float] | None = None) -> LDAModel:
+    """LDA1. ``priors``: of classes 0 and 1 (default: their shares)."""
     cols = list(cols)
-    d = len(cols)
-    src = df.select(F.col(label).cast("int").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .dropna()
-    g = src.agg(*[F.avg(c).alias(f"g{i}") for i, c in enumerate(cols)]).first()
-    gm = np.array([float(g[f"g{i}"] or 0.0) for i in range(d)])
-    cx = [F.col(c) - F.lit(float(gm[i])) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    rows = src.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(f"m{i}") for i, e in enumerate(cx)],
-                                 *[F.sum(cx[i] * cx[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()
-    stats = {}
-    for r in rows:
-        m = np.array([float(r[f"m{i}"]) for i in range(d)])
-        s = np.zeros((d, d))
-        for i, j in pairs:
-            s[i, j] = s[j, i] = float(r[f"s{i}_{j}"])
-        stats[int(r["_y"])] = (int(r["n"]), m, s - int(r["n"]) * np.outer(m, m))
-    if set(stats) != {0, 1}:
-        raise ValueError(f"binary LDA needs classes 0 and 1, got {sorted(stats)}")
-    n = stats[0][0] + stats[1][0]
-    sw = (stats[0][2] + stats[1][2]) / max(n - 2, 1)
-    m0, m1 = stats[0][1], stats[1][1]
-    w = np.linalg.pinv(sw) @ (m1 - m0)
-    pri = priors or {0: stats[0][0] / n, 1: stats[1][0] / n}
-    # means back in raw coordinates for the intercept
-    b = -float((m1 + gm + m0 + gm) @ w) / 2.0 + math.log(pri[1] / pri[0])
-    return LDAModel(cols, [float(x) for x in w], b, {k: v[0] for k, v in stats.items()},
-                    {k: (v[1] + gm).tolist() for k, v in stats.items()}, {int(k): float(v) for k, v in pri.items()})
+    src = df.select(col(label).cast("int").alias("_y"), *[num(c).alias(c) for c in cols]).dropna()
+    # two classes and something else to complain about: three rows at most
+    rows = src.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)]) \
+        .orderBy("_y").limit(3).collect()
+    if [r["_y"] for r in rows] != [0, 1]:
+        raise ValueError(f"binary LDA needs classes 0 and 1, got {[r['_y'] for r in rows]}")
+    (n0, m0), (n1, m1) = ((int(r["n"]), np.array([float(r[f"m{i}"]) for i in range(len(cols))])) for r in rows)
+    n, mean, cov = covariance(src, cols)
+    # within-class scatter = total scatter - scatter of the class means
+    between = n0 * np.outer(m0 - mean, m0 - mean) + n1 * np.outer(m1 - mean, m1 - mean)
+    sw = ((n - 1) * cov - between) / max(n - 2, 1)
+    w = np.linalg.pinv(sw, hermitian=True) @ (m1 - m0)
+    p0, p1 = priors or (n0 / n, n1 / n)
+    b = -float((m1 + m0) @ w) / 2.0 + math.log(p1 / p0)
+    return LDAModel(cols, [float(x) for x in w], b, [n0, n1], [m0.tolist(), m1.tolist()], [float(p0), float(p1)])
 
 
 def score(model: LDAModel) -> Column:
     s = F.lit(model.intercept)
     for f, c in zip(model.features, model.coef):
-        s = s + F.lit(c) * F.col(f).cast("double")
+        s = s + F.lit(c) * num(f)
     return s
 
 
@@ -100,6 +94,6 @@ def coefficients(model: LDAModel, spark) -> DataFrame:
 def summary(model: LDAModel, spark) -> DataFrame:
     """LDA4: explained ratio (1.0 for two classes), classes, feature count."""
     return spark.createDataFrame(
-        [(float(model.explained_ratio), ",".join(str(k) for k in sorted(model.class_counts)), len(model.features),
+        [(float(model.explained_ratio), ",".join(str(k) for k in model.classes), len(model.features),
           float(model.intercept))],
         "explained_ratio double, classes string, n_features int, intercept double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.operators.ranking import ROWS_PER_BUCKET, running_totals
-from riskspark.session import materialize
+from riskspark.operators.columns import num
 
 
 def rank_metrics(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = (),
@@ -26,12 +26,12 @@ def rank_metrics(df: DataFrame, score: str, label: str = "label", by: Sequence[s
     """WIN5 + WIN6: (by..., n_pos, n_neg, roc_auc, ap) per group."""
     by = list(by)
     y = F.col(label)
-    g = (df.where(F.col(score).isNotNull() & y.isNotNull())
-         .groupBy(*by, F.col(score).cast("double").alias("_s"))
+    g = (df.where(num(score).isNotNull() & y.isNotNull())
+         .groupBy(*by, num(score).alias("_s"))
          .agg(F.sum((y == 1).cast("long")).alias("_p"), F.sum((y != 1).cast("long")).alias("_n")))
-    # the collapsed scores feed the sizing job and both passes of the running
-    # totals: compute them once (reliable checkpoint, survives executor loss)
-    g = materialize(g, "checkpoint")
+    # the collapsed scores feed the sizing job and both passes of the running totals:
+    # kept while they do (a lost executor's part is recomputed from the input)
+    g = g.persist()
     # one small job sizes the two-level window: rows to order and groups (for the broadcast bound)
     st = g.agg(F.count(F.lit(1)).alias("n"),
                (F.count_distinct(F.struct(*by)) if by else F.lit(1)).alias("k")).first()

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.scalar import clip, cut_right, flag, lookup, ratio, safe_div
 from riskspark.operators import ranking
+from riskspark.operators.columns import col, num
 
-MAX_LEVELS = 1000  # one-hot guard: levels become columns
+MAX_LEVELS = 1000  # wide one-hot: levels become columns
 
 
 # ------------------------------------------------------------ scaler (FE8)
@@ -24,7 +25,7 @@ MAX_LEVELS = 1000  # one-hot guard: levels become columns
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """FE8 fit: mean and *population* std per column (std 0 -> 1)."""
     row = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}"))]
+        F.avg(num(c)).alias(f"m{i}"), F.stddev_pop(num(c)).alias(f"s{i}"))]
                  ).first()
     out = {}
     for i, c in enumerate(cols):
@@ -34,28 +35,30 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, flo
 
 
 def apply_scaler(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({c: (F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, (m, s) in params.items()})
+    return df.withColumns({c: (num(c) - F.lit(m)) / F.lit(s) for c, (m, s) in params.items()})
 
 
 # ------------------------------------------------------------ impute (FE7)
 
-def fit_medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict[str, float | None]:
+def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """FE7 fit: exact per-column medians (one selection job for all columns)."""
-    return {c: v[0] for c, v in ranking.percentiles(df, cols, [0.5], method=method)[()].items()}
+    return {c: v[0] for c, v in ranking.percentiles(df, cols, [0.5])[()].items()}
 
 
 def apply_impute(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
-    return df.fillna({c: float(v) for c, v in values.items() if v is not None})
+    """FE7 apply: missing (NULL or NaN) -> the fitted value, as double, so that an
+    integer column takes a fractional median unharmed."""
+    return df.withColumns({c: F.coalesce(num(c), F.lit(float(v))) for c, v in values.items() if v is not None})
 
 
 # ------------------------------------------------------- ordinal / one-hot
 
 def apply_ordinal(df: DataFrame, maps: Mapping[str, Mapping[str, int]], suffix: str = "_ord") -> DataFrame:
     """FE5: dictionary ordinal code, unknown or missing -> NULL (double)."""
-    return df.withColumns({f"{c}{suffix}": lookup(F.col(c), m).cast("double") for c, m in maps.items()})
+    return df.withColumns({f"{c}{suffix}": lookup(col(c), m).cast("double") for c, m in maps.items()})
 
 
-def lookup_join(df: DataFrame, col: str, dim: DataFrame, dim_key: str, dim_val: str, out: str,
+def lookup_join(df: DataFrame, column: str, dim: DataFrame, dim_key: str, dim_val: str, out: str,
                 default=None, max_broadcast_rows: int = ranking.BROADCAST_ROW_LIMIT) -> DataFrame:
     """JN4 (large dictionary form): left join to a dimension table + default.
 
@@ -63,27 +66,42 @@ def lookup_join(df: DataFrame, col: str, dim: DataFrame, dim_key: str, dim_val:
     n = dim.count()
     d = dim.select(F.col(dim_key).alias("_k"), F.col(dim_val).alias(out))
     d = F.broadcast(d) if n <= max_broadcast_rows else d
-    j = df.join(d, F.col(col) == F.col("_k"), "left").drop("_k")
+    j = df.join(d, col(column) == F.col("_k"), "left").drop("_k")
     return j if default is None else j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
-def fit_onehot(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+def fit_onehot(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
     """FE6 fit: sorted train levels per column; missing is the level ``nan``.
 
-    Levels become columns, so the cardinality is checked (one HLL job)
-    before the distinct levels are brought to the driver."""
-    s = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
-    est = s.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        if est[f"d{i}"] > MAX_LEVELS * 1.1:
-            raise ValueError(f"{c}: about {est[f'd{i}']} levels is too many for one-hot (limit {MAX_LEVELS})")
-    rows = s.unpivot([], list(cols), "f", "v").distinct().collect()
+    The wide form makes a column of every level, so it is for columns with at most
+    ``max_levels`` of them; :func:`onehot_long` has no such bound. One job: at most
+    one level more than allowed per column reaches the driver."""
+    s = df.select(*[F.coalesce(col(c).cast("string"), F.lit("nan")).alias(f"c{i}") for i, c in enumerate(cols)])
+    rows = (s.unpivot([], [f"c{i}" for i in range(len(cols))], "f", "v").distinct()
+            .limit(max_levels * len(cols) + 1).collect())
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
-        out[r["f"]].append(r["v"])
+        out[cols[int(r["f"][1:])]].append(r["v"])
+    for c, v in out.items():
+        if len(v) > max_levels or len(rows) > max_levels * len(cols):
+            raise ValueError(f"{c}: more than {max_levels} levels do not make sensible columns; use onehot_long")
     return {c: sorted(v) for c, v in out.items()}
 
 
+def onehot_long(df: DataFrame, key: str, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
+    """FE6 in long form (key, feature, value): one row per column and row whose level
+    occurs in ``train`` (default: the same rows). Any number of levels; the zeros of
+    the wide form are the rows that are not there."""
+    def long(d, *keep):
+        parts = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(col(c).cast("string"), F.lit("nan")).alias("v")) for c in cols])
+        return d.select(*keep, F.explode(parts).alias("_s")).select(*keep, F.concat_ws("_", "_s.c", "_s.v").alias("feature"))
+
+    out = long(df, key)
+    if train is not None:
+        out = out.join(long(train).distinct(), "feature", "left_semi")
+    return out.select(key, "feature", F.lit(1.0).alias("value"))
+
+
 def onehot_names(levels: Mapping[str, Sequence[str]]) -> list[str]:
     return [f"{c}_{v}" for c, vs in levels.items() for v in vs]
 
@@ -92,7 +110,7 @@ def apply_onehot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFram
     """FE6 apply: one 0/1 double column per train level; unseen -> all zero."""
     cols = {}
     for c, vs in levels.items():
-        v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+        v = F.coalesce(col(c).cast("string"), F.lit("nan"))
         for lvl in vs:
             cols[f"{c}_{lvl}"] = F.when(v == F.lit(lvl), F.lit(1.0)).otherwise(F.lit(0.0))
     return df.withColumns(cols)
@@ -118,16 +136,20 @@ def engineered(df: DataFrame, amount: str, lo: float, hi: float, duration: str =
     })
 
 
+# Names of the engineered columns and of the raw numeric ones.
 ENGINEERED = ["credit_amount_wins", "credit_amount_log", "high_amount_flag", "monthly_payment",
               "credit_per_existing", "installment_rel", "many_dependents_flag"]
 
 
+NUMERIC = ("duration", "credit_amount", "installment_commitment", "residence_since", "age", "existing_credits",
+           "num_dependents")
+
+
 @dataclass
 class FeatureSpec:
     """FE10: declarative featurization (replaces hard-coded column names)."""
     amount: str = "credit_amount"
-    numeric: Sequence[str] = ("duration", "credit_amount", "installment_commitment", "residence_since", "age",
-                              "existing_credits", "num_dependents")
+    numeric: Sequence[str] = NUMERIC
     ordinal: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     onehot: Sequence[str] = ()
     lower_pct: float = 1.0
@@ -142,8 +164,8 @@ class FeatureSpec:
         return apply_ordinal(engineered(df, self.amount, lo, hi), self.ordinal)
 
     def fit(self, train: DataFrame) -> FeatureSpec:
-        """Four small aggregation jobs on train: quantiles, levels, medians, scaler.
-        Train is materialized once so the jobs do not each recompute it."""
+        """Three fits on train, which is materialized once: all quantiles and medians
+        in one selection, the one-hot levels, the scaler."""
         from riskspark.session import materialize
         train = materialize(train)
         try:
@@ -152,20 +174,40 @@ class FeatureSpec:
             train.unpersist()
 
     def _fit(self, train: DataFrame) -> FeatureSpec:
-        lo, hi = ranking.percentile_column(train, self.amount, [self.lower_pct / 100, self.upper_pct / 100])
+        low, high = self.lower_pct / 100, self.upper_pct / 100
+        num_cols = self._numeric_keep()
+        clipped, flagged = f"{self.amount}_wins", "high_amount_flag"
+        # features that need no fences; the two that do follow from the amount's own
+        # middle values, which lie within the fences
+        free = [c for c in num_cols if c not in (clipped, flagged)]
+        ps = ranking.percentiles(self._pre(train, 0.0, 0.0), free, sorted({low, 0.5, high}))[()]
+        at = dict(zip(sorted({low, 0.5, high}), zip(*[ps[c] for c in free])))
+        amount = free.index(self.amount)
+        lo, hi = at[low][amount], at[high][amount]
+        med = dict(zip(free, at[0.5]))
+        if low <= 0.5 <= high:
+            med |= {clipped: med[self.amount], flagged: None if med[self.amount] is None else 0.0}
+        else:
+            med |= fit_medians(self._pre(train, lo, hi), [clipped, flagged])
         levels = fit_onehot(train, self.onehot) if self.onehot else {}
-        pre = apply_onehot(self._pre(train, lo, hi), levels)
-        num = self._numeric_keep()
-        oh = onehot_names(levels)
-        med = fit_medians(pre, num + oh)
-        scale = fit_scaler(apply_impute(pre, med), num)
+        scale = fit_scaler(apply_impute(self._pre(train, lo, hi), med), num_cols)
         self.params = {"winsor": {"column": self.amount, "lower_pct": self.lower_pct, "upper_pct": self.upper_pct,
                                   "lo": lo, "hi": hi},
-                       "levels": levels, "medians": med, "scaler": scale,
+                       "levels": levels, "medians": {c: med[c] for c in num_cols}, "scaler": scale,
                        "ordinal_maps": {k: dict(v) for k, v in self.ordinal.items()},
-                       "feature_list": num + oh}
+                       "feature_list": num_cols + onehot_names(levels)}
         return self
 
+    def to_params(self) -> dict:
+        """Everything that :meth:`transform` needs, as plain JSON values."""
+        return {"amount": self.amount, "numeric": list(self.numeric), "onehot": list(self.onehot),
+                "ordinal": {k: dict(v) for k, v in self.ordinal.items()}, "lower_pct": self.lower_pct,
+                "upper_pct": self.upper_pct, "params": {**self.params, "scaler": {c: list(v) for c, v in self.params["scaler"].items()}}}
+
+    @classmethod
+    def from_params(cls, p: dict) -> FeatureSpec:
+        return cls(**p)
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """One projection: engineered -> ordinal -> one-hot -> impute -> scale."""
         p = self.params
@@ -173,7 +215,7 @@ class FeatureSpec:
         out = apply_onehot(self._pre(df, w["lo"], w["hi"]), p["levels"])
         out = apply_impute(out, p["medians"])
         out = apply_scaler(out, {c: tuple(v) for c, v in p["scaler"].items()})
-        return out.select(*keep, *[F.col(c).cast("double").alias(c) for c in p["feature_list"]])
+        return out.select(*keep, *[num(c).alias(c) for c in p["feature_list"]])
 
 
 VARIANT_NAMES = ("baseline", "winsorize_1_99", "log1p")

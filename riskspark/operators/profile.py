@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators import ranking
+from riskspark.operators.columns import is_missing, join_null_safe, num
 
 _Q3 = [0.25, 0.5, 0.75]
 
@@ -39,26 +40,18 @@ def sample_kurt(n: Column, g2: Column) -> Column:
 
 # ------------------------------------------------------------------- AGG1
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG1: feature, count, mean, std, min, p25, p50, p75, max, nan_count."""
     cols = list(cols)
-    method = ranking.resolve_method(df, cols, (), method)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = num(c)
         aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"),
                  F.stddev_samp(x).alias(f"{i}_std"), F.min(x).alias(f"{i}_min"),
                  F.max(x).alias(f"{i}_max"), F.count_if(x.isNull()).alias(f"{i}_nan_count")]
-        if method == "map":
-            aggs.append(F.percentile(x, F.array(*[F.lit(q) for q in _Q3])).alias(f"{i}_p"))
-    wide = df.agg(*aggs)
-    if method == "map":
-        wide = wide.select("*", *[F.col(f"{i}_p")[k].alias(f"{i}_{n}")
-                                  for i in range(len(cols)) for k, n in enumerate(["p25", "p50", "p75"])])
-    else:
-        ps = ranking.percentiles(df, cols, _Q3, method=method)[()]
-        wide = wide.select("*", *[F.lit(ps[c][k]).cast("double").alias(f"{i}_{n}")
-                                  for i, c in enumerate(cols) for k, n in enumerate(["p25", "p50", "p75"])])
+    ps = ranking.percentiles(df, cols, _Q3)[()]
+    wide = df.agg(*aggs).select("*", *[F.lit(ps[c][k]).cast("double").alias(f"{i}_{n}")
+                                       for i, c in enumerate(cols) for k, n in enumerate(["p25", "p50", "p75"])])
     fields = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "nan_count"]
     return _stack(wide, cols, fields, lambda i, f: f"{i}_{f}")
 
@@ -66,9 +59,10 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "auto") -
 # ------------------------------------------------------------------- AGG2
 
 def missing_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """AGG2: feature, missing_count, missing_pct (of all rows), pct descending."""
+    """AGG2: feature, missing_count, missing_pct (of all rows), pct descending.
+    NULL and NaN are both missing."""
     cols = list(cols or df.columns)
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count_if(F.col(c).isNull()).alias(f"m{i}")
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count_if(is_missing(df, c)).alias(f"m{i}")
                                                for i, c in enumerate(cols)]
     wide = df.agg(*aggs)
     long = _stack(wide.select("*", *[F.col("_n").alias(f"n{i}") for i in range(len(cols))]),
@@ -94,7 +88,7 @@ def categorical_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG4: feature, variance (sample)."""
-    wide = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[F.var_samp(num(c)).alias(f"v{i}") for i, c in enumerate(cols)])
     return _stack(wide, cols, ["variance"], lambda i, f: f"v{i}")
 
 
@@ -123,26 +117,26 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------------- AGG7, AGG8
 
-def quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "auto") -> DataFrame:
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], approx: bool = False) -> DataFrame:
     """AGG7: exact linear-interpolated quantiles -> (q, value);
-    ``method='approx'`` uses ``percentile_approx``."""
+    ``approx`` uses ``percentile_approx``."""
     spark = df.sparkSession
-    if method == "approx":
-        row = df.agg(F.percentile_approx(F.col(col).cast("double"), list(qs), 100_000).alias("p")).first()
+    if approx:
+        row = df.agg(F.percentile_approx(num(col), list(qs), 100_000).alias("p")).first()
         vals = list(row["p"] or [None] * len(qs))
     else:
-        vals = ranking.percentile_column(df, col, qs, method)
+        vals = ranking.percentile_column(df, col, qs)
     return spark.createDataFrame([(float(q), None if v is None else float(v)) for q, v in zip(qs, vals)],
                                  "q double, value double")
 
 
-def medians(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict[str, float | None]:
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """AGG8: per-column exact median as a small dict (a fitted parameter)."""
-    return {c: v[0] for c, v in ranking.percentiles(df, cols, [0.5], method=method)[()].items()}
+    return {c: v[0] for c, v in ranking.percentiles(df, cols, [0.5])[()].items()}
 
 
-def medians_df(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
-    m = medians(df, cols, method)
+def medians_df(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    m = medians(df, cols)
     return df.sparkSession.createDataFrame([(c, m[c]) for c in cols], "feature string, median double")
 
 
@@ -153,7 +147,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     kurtosis (G2), min, max, all_nonneg - all columns in one pass."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = num(c)
         aggs += [F.count(x).alias(f"{i}_count"), F.avg(x).alias(f"{i}_mean"),
                  F.stddev_samp(x).alias(f"{i}_std"), F.skewness(x).alias(f"{i}_g1"),
                  F.kurtosis(x).alias(f"{i}_g2"), F.min(x).alias(f"{i}_min"), F.max(x).alias(f"{i}_max"),
@@ -169,7 +163,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def threshold_counts(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     """AGG12: under (x < lo), over (x > hi), strict, and percentages of rows."""
-    x = F.col(col)
+    x = num(col)
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(x < lo).alias("under_count"),
                   F.count_if(x > hi).alias("over_count")) \
         .select("under_count", "over_count",
@@ -177,28 +171,26 @@ def threshold_counts(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame
                 (F.col("over_count") / F.col("n") * 100.0).alias("over_pct"))
 
 
-def mad(df: DataFrame, col: str, method: str = "auto") -> tuple[float | None, float | None]:
+def mad(df: DataFrame, col: str) -> tuple[float | None, float | None]:
     """AGG13: (median, median(|x - median|)) - two exact selections."""
-    method = ranking.resolve_method(df, [col], (), method)
-    med = ranking.percentile_column(df, col, [0.5], method)[0]
+    med = ranking.percentile_column(df, col, [0.5])[0]
     if med is None:
         return None, None
-    dev = ranking.percentile_column(df.where(F.col(col).isNotNull()),
-                                    F.abs(F.col(col) - F.lit(med)), [0.5], method)[0]
+    dev = ranking.percentile_column(df, F.abs(num(col) - F.lit(med)), [0.5])[0]
     return med, dev
 
 
 # ------------------------------------------------------------------ AGG14
 
-def correlation(df: DataFrame, cols: Sequence[str], top_k: int = 40) -> DataFrame:
-    """AGG14: long Pearson matrix (f1, f2, corr), pairwise-complete; at most
-    ``top_k`` columns, chosen by variance. One aggregate of d(d+1)/2 terms."""
-    cols = top_variance_names(df, cols, top_k) if len(cols) > top_k else list(cols)
+def correlation(df: DataFrame, cols: Sequence[str], top_k: int | None = None) -> DataFrame:
+    """AGG14: long Pearson matrix (f1, f2, corr), pairwise-complete; all columns, or
+    the ``top_k`` with the largest variance. One aggregate of d(d+1)/2 terms."""
+    cols = top_variance_names(df, cols, top_k) if top_k and len(cols) > top_k else list(cols)
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}"))
+            aggs.append(F.corr(num(a), num(b)).alias(f"c{i}_{j}"))
             pairs.append((a, b, f"c{i}_{j}"))
             if i != j:
                 pairs.append((b, a, f"c{i}_{j}"))
@@ -213,7 +205,7 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
-            aggs.append(F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}"))
+            aggs.append(F.covar_samp(num(a), num(b)).alias(f"c{i}_{j}"))
             pairs.append((a, b, f"c{i}_{j}"))
             if i != j:
                 pairs.append((b, a, f"c{i}_{j}"))
@@ -236,7 +228,7 @@ def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """AGG16: fixed-width histogram (bin, lo, hi, count), last bin closed,
     empty bins zero-filled."""
-    x = F.col(col).cast("double")
+    x = num(col)
     mm = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     mn, mx = mm["mn"], mm["mx"]
     spark = df.sparkSession
@@ -259,7 +251,7 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
     One wide aggregate of ``grid_size`` kernel sums over the raw rows: a
     single scan, partial sums combined map-side, no row multiplication.
     """
-    x = F.col(col).cast("double")
+    x = num(col)
     st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
                 F.max(x).alias("mx")).first()
     spark = df.sparkSession
@@ -279,37 +271,27 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
 
 # ------------------------------------------------------------------ AGG18
 
-def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = "label", top_n: int | None = 12,
-              method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = "label", top_n: int | None = None) -> DataFrame:
     """AGG18: box-plot statistics per (group, feature): q1, median, q3,
-    whiskers (extreme values inside the 1.5 IQR fences) and outlier count."""
+    whiskers (extreme values inside the 1.5 IQR fences) and outlier count.
+    All columns by default; ``top_n`` keeps those with the largest variance.
+    Groups, the NULL group among them, stay in tables throughout."""
     cols = top_variance_names(df, cols, top_n) if top_n else list(cols)
     by_cols = [by] if by else []
-    ps = ranking.percentiles(df, cols, _Q3, by=by_cols, method=method)
-    spark = df.sparkSession
-    rows = []
-    for gkey, per in ps.items():
-        for c in cols:
-            q1, q2, q3 = per[c]
-            if q1 is None:
-                continue
-            iqr = q3 - q1
-            rows.append((*gkey, c, float(q1), float(q2), float(q3), q1 - 1.5 * iqr, q3 + 1.5 * iqr))
-    gschema = "".join(f"{b} {df.schema[b].dataType.simpleString()}, " for b in by_cols)
-    fences = spark.createDataFrame(rows, gschema + "feature string, q1 double, median double, q3 double, "
-                                   "fence_lo double, fence_hi double")
-    long = df.select(*by_cols, *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(by_cols, cols, "feature", "v").where(F.col("v").isNotNull())
-    # fences: groups x features rows, already held on the driver; broadcast only under the row bound
-    fences_side = F.broadcast(fences) if len(rows) <= ranking.BROADCAST_ROW_LIMIT else fences
-    j = long.join(fences_side, by_cols + ["feature"])
+    ps = ranking.percentile_table(df, cols, _Q3, by=by_cols)
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    iqr = F.col("q3") - F.col("q1")
+    fences = (ps.groupBy(*by_cols, "feature").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+              .withColumn("fence_lo", F.col("q1") - 1.5 * iqr).withColumn("fence_hi", F.col("q3") + 1.5 * iqr))
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), num(c).alias("v")) for c in cols])
+    long = df.select(*by_cols, F.explode(F.filter(values, lambda s: s["v"].isNotNull())).alias("_s")).select(*by_cols, "_s.*")
+    j = join_null_safe(long, fences, by_cols + ["feature"])     # fences: one row per group and feature
     inside = (F.col("v") >= F.col("fence_lo")) & (F.col("v") <= F.col("fence_hi"))
-    agg = j.groupBy(*by_cols, "feature").agg(
+    return j.groupBy(*by_cols, "feature").agg(
+        *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return fences.join(agg, by_cols + ["feature"]).select(
-        *by_cols, "feature", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
 # ------------------------------------------------------------ AGG20 - AGG22
@@ -320,7 +302,7 @@ def is_standardized(df: DataFrame, cols: Sequence[str], mean_tol: float = 1e-2,
     aggs = [F.count(F.lit(1)).alias("_n")]
     cond = F.lit(True)
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(num(c)).alias(f"m{i}"), F.stddev_pop(num(c)).alias(f"s{i}")]
     wide = df.agg(*aggs)
     for i in range(len(cols)):
         cond = cond & (F.abs(F.col(f"m{i}")) < mean_tol) & (F.col(f"s{i}") > std_lo) & (F.col(f"s{i}") < std_hi)

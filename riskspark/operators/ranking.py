@@ -21,30 +21,25 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.operators.columns import col, join_null_safe, num
+
 #: rows handled by one bucket of a two-level window
 ROWS_PER_BUCKET = 2_000_000
-#: most buckets we cut an ordered column into (the offsets table has one
-#: row per group and bucket and is broadcast only under BROADCAST_ROW_LIMIT)
-MAX_BUCKETS = 1 << 16
-#: largest per-group distinct count for which the built-in exact
-#: ``percentile`` (a value->count map per group) is allowed. Above it the
-#: distributed rank selection is used. HLL error is a few percent, so the
-#: estimate is compared against a bound with head room.
-PERCENTILE_MAP_LIMIT = 1_000_000
-#: ungrouped: largest summed distinct count (over the requested columns) for
-#: which the one-pass exact map is preferred to bracketing
-MAP_TOTAL_LIMIT = 300_000
-#: largest small table we broadcast (rows); checked before every broadcast
-BROADCAST_ROW_LIMIT = 2_000_000
+#: percentiles: rows that one bracket may hold when it is ranked
+BRACKET_ROWS = 1_000_000
+#: percentiles: cut points per narrowing round, and the sketch's resolution
+NARROW_PROBES, SKETCH_ACCURACY = 128, 10_000
+#: largest table of a few numbers per row that we broadcast; checked every time
+BROADCAST_ROW_LIMIT = 100_000
 
 
 def _bucket_count(n: int, rows_per_bucket: int) -> int:
-    return int(max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket)))))
+    return int(max(1, math.ceil(n / max(1, rows_per_bucket))))
 
 
-def range_buckets(df: DataFrame, col: str, n_rows: int | None = None,
+def range_buckets(df: DataFrame, column: str, n_rows: int | None = None,
                   rows_per_bucket: int = ROWS_PER_BUCKET, out: str = "_bucket") -> DataFrame:
-    """Add an integer range-bucket column monotone in ``col``.
+    """Add an integer range-bucket column monotone in ``column``.
 
     Boundaries come from one ``percentile_approx`` sketch (bounded memory);
     balance is approximate, correctness does not depend on it.
@@ -56,14 +51,14 @@ def range_buckets(df: DataFrame, col: str, n_rows: int | None = None,
         return df.withColumn(out, F.lit(0))
     qs = [i / b for i in range(1, b)]
     acc = max(10_000, 4 * b)  # sketch resolution finer than the bucket width
-    bounds = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, acc).alias("b")).first()["b"] or []
+    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), qs, acc).alias("b")).first()["b"] or []
     splits = sorted({float(x) for x in bounds if x is not None and not math.isnan(x)})
     if not splits:
         return df.withColumn(out, F.lit(0))
     splits = [-math.inf] + splits + [math.inf]
     tmp = "_bucket_src"
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = bz.transform(df.withColumn(tmp, F.col(col).cast("double")))
+    res = bz.transform(df.withColumn(tmp, F.col(column).cast("double")))
     return res.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
@@ -89,7 +84,7 @@ def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], by: Seque
     off = tot.select(*by, "_bucket", *[
         F.coalesce(F.sum(f"_t_{s}").over(wprev), F.lit(0)).alias(f"_o_{s}") for s in sums])
     n_off = _bucket_count(n_rows, rows_per_bucket) * max(1, n_groups)
-    joined = bdf.join(_safe_broadcast(off, n_off), by + ["_bucket"], "inner")
+    joined = join_null_safe(bdf, _safe_broadcast(off, n_off), by + ["_bucket"])
     w = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = joined
     for s in sums:
@@ -99,231 +94,119 @@ def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], by: Seque
 
 # ---------------------------------------------------------------- percentiles
 
-def _interp(sorted_at: dict[int, float], n: int, q: float) -> float | None:
-    if n <= 0:
-        return None
-    h = (n - 1) * q
-    lo, hi = math.floor(h), math.ceil(h)
-    a, b = sorted_at[lo], sorted_at[hi]
-    return a + (h - lo) * (b - a)
-
-
-def _ranks(n: int, qs: Sequence[float]) -> list[int]:
-    out = set()
-    for q in qs:
-        h = (n - 1) * q
-        out.add(int(math.floor(h)))
-        out.add(int(math.ceil(h)))
-    return sorted(r for r in out if 0 <= r < n)
-
-
-def max_distinct(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> int:
-    """Upper estimate of the largest per-group distinct count over ``cols``."""
-    aggs = [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]
-    rows = (df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)).collect()
-    best = 0
-    for r in rows:
-        for i in range(len(cols)):
-            best = max(best, int(r[f"d{i}"] or 0))
-    return best
-
-
-def resolve_method(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), method: str = "auto") -> str:
-    """``'auto'``: ungrouped -> ``'map'`` when the summed distinct count is
-    within :data:`MAP_TOTAL_LIMIT`, else ``'bracket'`` (exact, three jobs
-    for any number of columns, falls back to ``'rank'`` by itself); grouped ->
-    ``'map'`` when the largest per-group distinct count is within
-    :data:`PERCENTILE_MAP_LIMIT`, else ``'rank'`` (one cheap HLL job)."""
-    if method != "auto":
-        return method
-    if not by:
-        # the exact map merges every column's value->count map in one task:
-        # quick for a few modest columns, bracketing beyond that (and at scale)
-        aggs = [F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]
-        r = df.agg(*aggs).first()
-        return "map" if sum(int(r[f"d{i}"] or 0) for i in range(len(cols))) <= MAP_TOTAL_LIMIT else "bracket"
-    return "map" if max_distinct(df, cols, by) <= PERCENTILE_MAP_LIMIT else "rank"
+def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by..., feature number, value) without missing values."""
+    parts = F.array(*[F.struct(F.lit(i).alias("f"), num(c).alias("v")) for i, c in enumerate(cols)])
+    return (df.select(*[col(b) for b in by], F.explode(F.filter(parts, lambda s: s["v"].isNotNull())).alias("_s"))
+            .select(*[col(b) for b in by], F.col("_s.f").alias("_f"), F.col("_s.v").alias("_v")))
+
+
+def _narrow(long: DataFrame, open_: DataFrame, keys: list[str], probes: int = NARROW_PROBES) -> DataFrame:
+    """One narrowing round. ``open_``: keys, ``_n``/``_q``/``_s`` (what the rank is
+    wanted for), ``_r`` (wanted rank), ``_a``/``_b`` (the
+    rank's value lies strictly between; NULL is unbounded), ``_below`` (rows at or
+    under ``_a``), ``_inner`` (rows strictly between). Sketched cut points split every
+    bracket; exact counts between them say where each rank lies. A rank that falls
+    on a cut point gets that value; the others get a bracket without cut points."""
+    spans = open_.select(*keys, "_a", "_b").distinct()
+    inside = join_null_safe(long, spans, keys).where(
+        (F.col("_a").isNull() | (F.col("_v") > F.col("_a"))) & (F.col("_b").isNull() | (F.col("_v") < F.col("_b"))))
+    bk = [*keys, "_a", "_b"]
+    qs = [i / probes for i in range(1, probes)]
+    cuts = inside.groupBy(*bk).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", qs, SKETCH_ACCURACY))).alias("_cuts"))
+    at = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    # rows per gap and per cut point, in order: gap 0, cut 0, gap 1, cut 1, ...
+    place = at * 2 + F.coalesce(F.get("_cuts", at) == F.col("_v"), F.lit(False)).cast("int")
+    counts = (join_null_safe(inside, cuts, bk).groupBy(*bk, place.alias("_place")).agg(F.count("*").alias("_c")))
+    w = Window.partitionBy(*bk).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    runs = counts.withColumn("_to", F.sum("_c").over(w))        # at most 2 * probes rows per bracket
+    j = join_null_safe(join_null_safe(open_, runs, bk), cuts, bk)
+    r = F.col("_r") - F.col("_below")
+    k = F.floor(F.col("_place") / 2).cast("int")
+    on_cut = F.col("_place") % 2 == 1
+    start = F.col("_below") + F.col("_to") - F.col("_c")
+    return j.where((r >= F.col("_to") - F.col("_c")) & (r < F.col("_to"))).select(
+        *[col(c) for c in keys], "_n", "_q", "_s", "_r", F.when(on_cut, F.get("_cuts", k)).alias("_value"),
+        F.when(k > 0, F.get("_cuts", k - 1)).otherwise(F.col("_a")).alias("_a"),
+        F.coalesce(F.get("_cuts", k), F.col("_b")).alias("_b"), start.alias("_below"),
+        F.when(on_cut, F.lit(0)).otherwise(F.col("_c")).alias("_inner"))
+
+
+def percentile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
+                     bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """Exact linear-interpolated percentiles: (by..., feature, q, value).
+
+    One way at every size. Each wanted rank has a bracket, at first unbounded; while
+    a bracket holds more than ``bracket_rows`` rows it is narrowed (a sketch inside
+    the bracket, then exact counts between its cut points: two scans that shrink a
+    bracket some hundredfold). Then the rows inside the brackets are counted per
+    value and ranked inside their bracket. No value map and no bracket meets in one
+    task beyond that bound; groups, NULL groups among them, stay in tables.
+    Missing values (NULL, NaN) do not count; a feature without values has no row."""
+    cols, by, qs = list(cols), list(by), [float(q) for q in qs]
+    keys = [*by, "_f"]
+    k = [col(c) for c in keys]
+    long = _long(df, cols, by)
+    sizes = long.groupBy(*k).agg(F.count("*").alias("_n")).persist()
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    # a row per (feature, quantile) and end of its interval: the wanted rank and its bracket
+    h = (F.col("_n") - 1) * F.col("_q")
+    ends = F.array(F.struct(F.lit(0).alias("s"), F.floor(h).cast("long").alias("r")), F.struct(F.lit(1).alias("s"), F.ceil(h).cast("long").alias("r")))
+    nothing = F.lit(None).cast("double")
+    open_ = (sizes.select("*", F.explode(F.array(*[F.lit(q) for q in qs])).alias("_q"))
+             .select(*k, "_n", "_q", F.explode(ends).alias("_e"))
+             .select(*k, "_n", "_q", F.col("_e.s").alias("_s"), F.col("_e.r").alias("_r"), nothing.alias("_value"), nothing.alias("_a"),
+                     nothing.alias("_b"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inner")))
+    done, inside, bk = [], long, keys
+    while largest > bracket_rows:
+        state = _narrow(long, open_, keys).persist()
+        done.append(state.where(F.col("_value").isNotNull()))
+        open_ = state.where(F.col("_value").isNull())
+        largest = open_.agg(F.max("_inner")).first()[0] or 0
+        bk = [*keys, "_a", "_b"]
+        inside = join_null_safe(long, open_.select(*[col(c) for c in bk]).distinct(), keys).where(
+            (F.col("_a").isNull() | (F.col("_v") > F.col("_a"))) & (F.col("_b").isNull() | (F.col("_v") < F.col("_b"))))
+    b = [col(c) for c in bk]
+    counts = inside.groupBy(*b, "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*b).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    runs = counts.withColumn("_to", F.sum("_c").over(w))        # at most bracket_rows rows per bracket
+    r = F.col("_r") - F.col("_below")
+    hit = join_null_safe(runs, open_, bk).where((r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))
+    found = hit.select(*k, "_n", "_q", "_s", F.col("_v").alias("_value"))
+    for d in done:
+        found = found.unionByName(d.select(*k, "_n", "_q", "_s", "_value"))
+    at = lambda side: F.max(F.when(F.col("_s") == side, F.col("_value")))
+    names = F.array(*[F.lit(c) for c in cols])
+    part = h - F.floor(h)
+    return (found.groupBy(*k, "_n", "_q").agg(at(0).alias("_x"), at(1).alias("_y"))
+            .select(*[col(c) for c in by], names[F.col("_f")].alias("feature"), F.col("_q").alias("q"),
+                    (F.col("_x") + part * (F.col("_y") - F.col("_x"))).alias("value")))
+
+
+#: most fitted values that may become a driver-side parameter set
+MAX_PARAMETERS = 1_000_000
 
 
 def percentiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
-                method: str = "auto", rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
-    """Exact linear-interpolated percentiles (pandas ``quantile`` / DuckDB
-    ``quantile_cont``), NULLs ignored.
-
-    Returns ``{group_tuple: {col: [v_q for q in qs]}}`` - a small parameter set.
-
-    ``method``: ``'map'`` uses the built-in exact ``percentile`` (one pass,
-    memory = distinct values per group); ``'rank'`` uses distributed rank
-    selection; ``'auto'`` checks the distinct count first and picks.
-    """
+                bracket_rows: int = BRACKET_ROWS) -> dict:
+    """:func:`percentile_table` as a parameter set ``{group_tuple: {col: [v_q for q in
+    qs]}}`` for use in literal expressions. For groups whose number is not small by
+    their meaning, use the table."""
     cols, by, qs = list(cols), list(by), [float(q) for q in qs]
-    method = resolve_method(df, cols, by, method)
-    if method == "bracket" and not by:
-        return {(): _percentiles_by_bracket(df, cols, qs, rows_per_bucket)}
-    if method == "map":
-        aggs = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs])).alias(f"p{i}")
-                for i, c in enumerate(cols)]
-        rows = (df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)).collect()
-        out: dict = {}
-        for r in rows:
-            key = tuple(r[b] for b in by)
-            out[key] = {c: (list(r[f"p{i}"]) if r[f"p{i}"] is not None else [None] * len(qs))
-                        for i, c in enumerate(cols)}
-        return out
-    return _percentiles_by_rank(df, cols, qs, by, rows_per_bucket)
-
-
-#: sketch resolution of the bracket probes (GK rank error <= n / accuracy)
-BRACKET_ACCURACY = 10_000
-#: most rows one (column, quantile) bracket may hold before that column
-#: falls back to the distributed rank selection
-BRACKET_MAX_ROWS = 5_000_000
-
-
-def _percentiles_by_bracket(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
-                            rows_per_bucket: int = ROWS_PER_BUCKET) -> dict:
-    """Exact percentiles by approximate bracketing, ungrouped.
-
-    job 1: per column, count + ``percentile_approx`` at q -/+ 2/accuracy
-           (GK bounds the rank error, so the exact rank lies between them);
-    job 2: per (column, q), rows below and inside the bracket - verifies it;
-    job 3: only bracket rows leave the scan (a filtered generator), are
-           ranked per (column, q) by a window, and the 1-2 hit rows return.
-    A column whose bracket fails the check or holds more than
-    :data:`BRACKET_MAX_ROWS` rows is answered by the rank selection instead.
-    """
-    cols, qs = list(cols), [float(q) for q in qs]
-    d = 2.0 / BRACKET_ACCURACY
-    xs = [F.col(c).cast("double") for c in cols]
-    base = df.select(*[e.alias(f"_c{i}") for i, e in enumerate(xs)])
-    probes = sorted({min(1.0, max(0.0, q + s)) for q in qs for s in (-d, d)})
-    pidx = {p: k for k, p in enumerate(probes)}
-    r1 = base.agg(*[e for i in range(len(cols)) for e in (
-        F.count(f"_c{i}").alias(f"n{i}"),
-        F.percentile_approx(f"_c{i}", probes, BRACKET_ACCURACY).alias(f"a{i}"))]).first()
-    out: dict[str, list] = {}
-    plan = []  # (i, j, lo_val, hi_val, r_lo, r_hi)
-    for i, c in enumerate(cols):
-        n = int(r1[f"n{i}"])
-        if n == 0:
-            out[c] = [None] * len(qs)
-            continue
-        ap = r1[f"a{i}"]
-        for j, q in enumerate(qs):
-            h = (n - 1) * q
-            plan.append((i, j, float(ap[pidx[min(1.0, max(0.0, q - d))]]),
-                         float(ap[pidx[min(1.0, max(0.0, q + d))]]), int(math.floor(h)), int(math.ceil(h))))
-    if not plan:
-        return out
-    col_of = lambda i: F.col(f"_c{i}")
-    r2 = base.agg(*[e for k, (i, j, a, b, _, _) in enumerate(plan) for e in (
-        F.count_if(col_of(i) < F.lit(a)).alias(f"lta{k}"), F.count_if(col_of(i) <= F.lit(a)).alias(f"lea{k}"),
-        F.count_if(col_of(i) < F.lit(b)).alias(f"ltb{k}"), F.count_if(col_of(i) <= F.lit(b)).alias(f"leb{k}"))]
-                  ).first()
-    vals: dict[tuple[int, int], dict[int, float]] = {}
-    open_ = []  # brackets with a rank strictly inside (a, b): (k, i, j, a, b, le_a, ranks)
-    fallback = set()
-    for k, (i, j, a, b, rlo, rhi) in enumerate(plan):
-        lta, lea, ltb, leb = (int(r2[f"{p}{k}"]) for p in ("lta", "lea", "ltb", "leb"))
-        if not (lta <= rlo and leb > rhi) or ltb - lea > BRACKET_MAX_ROWS:
-            fallback.add(i)
-            continue
-        at, inner = vals.setdefault((i, j), {}), []
-        for r in {rlo, rhi}:
-            if r < lea:
-                at[r] = a          # ties at the lower end resolve without touching rows
-            elif r >= ltb:
-                at[r] = b
-            else:
-                inner.append(r)
-        if inner:
-            open_.append((k, i, j, a, b, lea, inner))
-    open_ = [o for o in open_ if o[1] not in fallback]
-    if open_:
-        cand = F.array(*[F.struct(F.lit(k).alias("k"), col_of(i).alias("v"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                         for k, i, j, a, b, _, _ in open_])
-        # only rows strictly inside an open bracket leave the scan
-        inb = base.select(F.explode(F.filter(cand, lambda s: (s["v"] > s["a"]) & (s["v"] < s["b"]))).alias("s")) \
-            .select("s.k", "s.v")
-        meta = {k: (i, j, lea) for k, i, j, a, b, lea, _ in open_}
-        want = F.create_map(*[e for k, i, j, a, b, lea, inner in open_
-                              for e in (F.lit(k), F.array(*[F.lit(r - lea) for r in inner]))])
-        ranked = inb.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
-        for r in ranked.where(F.array_contains(want[F.col("k")], F.col("_r"))).select("k", "_r", "v").collect():
-            i, j, lea = meta[r["k"]]
-            vals[(i, j)][int(r["_r"]) + lea] = float(r["v"])
-    for k, (i, j, a, b, rlo, rhi) in enumerate(plan):
-        if i in fallback:
-            continue
-        at = vals[(i, j)]
-        h = (int(r1[f"n{i}"]) - 1) * qs[j]
-        out.setdefault(cols[i], [None] * len(qs))[j] = at[rlo] + (h - rlo) * (at[rhi] - at[rlo])
-    if fallback:
-        fb = [cols[i] for i in sorted(fallback)]
-        out.update(_percentiles_by_rank(df, fb, qs, (), rows_per_bucket)[()])
-    return out
+    rows = percentile_table(df, cols, qs, by, bracket_rows).limit(MAX_PARAMETERS + 1).collect()
+    if len(rows) > MAX_PARAMETERS:
+        raise ValueError("too many groups for a parameter set; use percentile_table")
+    out: dict = {} if by else {(): {}}
+    for r in rows:
+        out.setdefault(tuple(r[:len(by)]), {}).setdefault(r["feature"], {})[r["q"]] = float(r["value"])
+    return {g: {c: [per.get(c, {}).get(q) for q in qs] for c in cols} for g, per in out.items()}
 
 
-def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    if len(cols) == 1:
-        return df.select(*by, F.lit(cols[0]).alias("_feature"), F.col(cols[0]).cast("double").alias("_v"))
-    casted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    return casted.unpivot(list(by), list(cols), "_feature", "_v")
-
-
-def _percentiles_by_rank(df: DataFrame, cols, qs, by, rows_per_bucket) -> dict:
-    """Distributed exact selection: (value, count) rows -> two-level running
-    count -> keep only rows whose rank interval holds a wanted rank."""
-    g = list(by) + ["_feature"]
-    long = _long(df, cols, by).where(F.col("_v").isNotNull())
-    counts = long.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.persist()
-    try:
-        sizes = counts.groupBy(*g).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("d")).collect()
-        n_by = {tuple(r[c] for c in g): int(r["n"]) for r in sizes}
-        n_rows = sum(int(r["d"]) for r in sizes)
-        targets = [(*k, _ranks(n, qs)) for k, n in n_by.items()]
-        spark = df.sparkSession
-        tdf = spark.createDataFrame(targets, schema=None if targets else "x int") if targets else None
-        if tdf is None:
-            hits = []
-        else:
-            tdf = tdf.toDF(*g, "_ranks")
-            cum = running_totals(counts, "_v", ["_c"], by=g, rows_per_bucket=rows_per_bucket,
-                                 n_rows=n_rows, n_groups=len(targets))
-            cum = cum.join(_safe_broadcast(tdf, len(targets)), g, "inner")
-            lo = F.col("cum__c") - F.col("_c")
-            hit = cum.where(F.exists("_ranks", lambda r: (r >= lo) & (r < F.col("cum__c"))))
-            hits = hit.select(*g, "_v", "_c", "cum__c").collect()
-    finally:
-        counts.unpersist()
-    # expand the few hit rows into rank -> value on the driver (tiny)
-    per: dict = {}
-    for r in hits:
-        key = tuple(r[c] for c in g)
-        per.setdefault(key, []).append((int(r["cum__c"]) - int(r["_c"]), int(r["cum__c"]), float(r["_v"])))
-    out: dict = {}
-    for key, n in n_by.items():
-        at: dict[int, float] = {}
-        for rk in _ranks(n, qs):
-            for lo_, hi_, v in per.get(key, []):
-                if lo_ <= rk < hi_:
-                    at[rk] = v
-                    break
-        gkey, feat = key[:-1], key[-1]
-        out.setdefault(gkey, {})[feat] = [_interp(at, n, q) for q in qs]
-    for gkey in list(out) or ([()] if not by else []):
-        for c in cols:
-            out.setdefault(gkey, {}).setdefault(c, [None] * len(qs))
-    return out
-
-
-def percentile_column(df: DataFrame, col: str | Column, qs: Sequence[float], method: str = "auto",
-                      rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float | None]:
+def percentile_column(df: DataFrame, column: str | Column, qs: Sequence[float], bracket_rows: int = BRACKET_ROWS) -> list[float | None]:
     """Percentiles of one (possibly derived) column over the whole frame."""
-    name = col if isinstance(col, str) else "_pc"
-    src = df if isinstance(col, str) else df.select(col.alias(name))
-    return percentiles(src, [name], qs, (), method, rows_per_bucket)[()][name]
+    name = column if isinstance(column, str) else "_pc"
+    src = df if isinstance(column, str) else df.select(column.alias(name))
+    return percentiles(src, [name], qs, (), bracket_rows)[()][name]
 
 
 # ------------------------------------------------------------ hash ordering

@@ -1,10 +1,8 @@
 """Principal components (PCA1-PCA9, WIN1, WIN2).
 
-Fit = two aggregation jobs (means, then the centred cross-product sums of
-all column pairs); the d x d eigen-decomposition runs on the driver, which
-only ever holds d^2 numbers. Wide inputs (more than ``GRAM_MAX_D``
-columns, e.g. embedding vectors) use Spark ML's ``PCA`` estimator, whose
-covariance is a tree aggregate on the executors. Scores are one projection.
+Fit = two tree aggregates over row vectors (moments, correlation), the same
+for every width; the d x d eigen-decomposition runs on the driver, which only
+ever holds d^2 numbers. Scores are one projection.
 
 Conventions: components sorted by variance (descending); each component's
 sign is chosen so its largest-magnitude loading is positive; variance uses
@@ -17,11 +15,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: above this many input columns the pairwise aggregate is replaced by ML PCA
-GRAM_MAX_D = 32
+from riskspark.operators.columns import num
 
 # Component naming rules (first match wins) and their names.
 NAMING_RULES = [
@@ -61,52 +60,39 @@ def _sign_fix(vecs: np.ndarray) -> np.ndarray:
 def _exprs(df: DataFrame, cols: Sequence[str] | None, vector: str | None):
     if vector is not None:
         d = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()[0]
-        return [F.col(vector)[i].cast("double") for i in range(d)], [f"{vector}_{i}" for i in range(d)]
-    return [F.col(c).cast("double") for c in cols], list(cols)
+        return [num(F.col(vector)[i]) for i in range(d)], [f"{vector}_{i}" for i in range(d)]
+    return [num(c) for c in cols], list(cols)
 
 
 def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, sample covariance) of complete rows: two fused aggregates."""
-    x = [F.col(c).cast("double") for c in cols]
-    d = len(cols)
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)]).first()
-    n = int(r["n"])
-    mean = np.array([float(r[f"m{i}"] or 0.0) for i in range(d)])
-    cx = [e - F.lit(float(mean[i])) for i, e in enumerate(x)]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    g = df.agg(*[F.sum(cx[i] * cx[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((d, d))
-    for i, j in pairs:
-        v = float(g[f"s{i}_{j}"] or 0.0) / max(n - 1, 1)
-        cov[i, j] = cov[j, i] = v
-    return n, mean, cov
+    """(n, mean, sample covariance) of complete rows, one way for every width: the
+    rows become vectors, Spark ML's summarizer gives count, means and variances, and
+    its correlation (a tree aggregate of the Gram matrix on the executors) the rest.
+    The driver holds d * d numbers."""
+    va = VectorAssembler(inputCols=list(cols), outputCol="_vec", handleInvalid="skip")
+    v = va.transform(df.select(*[num(c).alias(c) for c in cols]).dropna()).select("_vec")
+    s = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_vec")).alias("s")).first()["s"]
+    d, n = len(cols), int(s["count"])
+    if n == 0:
+        return 0, np.zeros(d), np.zeros((d, d))
+    mean, var = np.array(s["mean"].toArray()), np.array(s["variance"].toArray())
+    if n < 2:
+        return n, mean, np.zeros((d, d))
+    corr = np.nan_to_num(Correlation.corr(v, "_vec").first()[0].toArray())      # constant columns have none
+    sd = np.sqrt(var)
+    cov = corr * sd[:, None] * sd[None, :]
+    cov[np.diag_indices(d)] = var
+    return n, mean, (cov + cov.T) / 2
 
 
 def fit_pca(df: DataFrame, cols: Sequence[str] | None = None, vector: str | None = None) -> PCAModel:
     """PCA1/PCA2: full fit (k = d) on rows without missing values."""
     exprs, names = _exprs(df, cols, vector)
-    src = df.select(*[e.alias(n) for e, n in zip(exprs, names)]).dropna()
-    d = len(names)
-    if d <= GRAM_MAX_D:
-        n, mean, cov = covariance(src, names)
-        vals, vecs = np.linalg.eigh(cov)
-        order = np.argsort(vals)[::-1]
-        vals, comps = vals[order], vecs[:, order].T
-    else:
-        from pyspark.ml.feature import PCA, VectorAssembler
-        va = VectorAssembler(inputCols=names, outputCol="_vec", handleInvalid="skip")
-        vdf = va.transform(src).select("_vec")
-        m = PCA(k=d, inputCol="_vec", outputCol="_pc").fit(vdf)
-        r = src.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-                    *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(names)]).first()
-        n = int(r["n"])
-        mean = np.array([float(r[f"m{i}"] or 0.0) for i in range(d)])
-        comps = m.pc.toArray().T
-        # ML reports ratios; the total variance (trace) turns them back into variances
-        total = sum(float(r[f"v{i}"] or 0.0) for i in range(d))
-        vals = np.array(m.explainedVariance.toArray()) * total
-    vals = np.clip(vals, 0.0, None)
-    comps = _sign_fix(np.asarray(comps, dtype=float))
+    src = df.select(*[e.alias(n) for e, n in zip(exprs, names)])
+    n, mean, cov = covariance(src, names)
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1]
+    vals, comps = np.clip(vals[order], 0.0, None), _sign_fix(np.asarray(vecs[:, order].T, dtype=float))
     tot = float(vals.sum())
     ratio = vals / tot if tot > 0 else np.zeros_like(vals)
     return PCAModel(names, mean.tolist(), comps.tolist(), vals.tolist(), ratio.tolist(), n)
@@ -148,7 +134,7 @@ def score_columns(model: PCAModel, k: int, prefix: str = "PC", names: Sequence[s
     (stays inside whole-stage codegen)."""
     out = []
     for i in range(k):
-        terms = [F.lit(float(c)) * (F.col(f).cast("double") - F.lit(float(m)))
+        terms = [F.lit(float(c)) * (num(f) - F.lit(float(m)))
                  for f, c, m in zip(model.features, model.components[i], model.mean)]
         s = terms[0]
         for t in terms[1:]:

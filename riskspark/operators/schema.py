@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from riskspark.functions.scalar import target_rule
+from riskspark.operators.columns import col as named
 
 # Target name lists and token sets of the three discovery rules.
 TARGET_NAMES = {
@@ -46,7 +47,7 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """PRJ6: tolerant cast of the columns (default: all) to double, bad text
     -> NULL; other columns are kept as they are."""
     cols = list(cols or df.columns)
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
+    return df.withColumns({c: named(c).try_cast("double") for c in cols})
 
 
 def numeric_or_coerced(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -62,9 +63,9 @@ def onehot_like(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[list[
     """PRJ7: split into (numeric, one-hot): one-hot = every non-null value in
     {0, 1} AND an underscore in the name. One aggregate for all columns."""
     cols = list(cols or numeric_columns(df, drop_keys=False))
-    row = df.agg(*[F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True)).alias(f"b{i}")
+    row = df.agg(*[F.coalesce(F.bool_and(named(c).isin(0, 1)), F.lit(True)).alias(f"b{i}")
                    for i, c in enumerate(cols)]).first()
-    oh = [c for i, c in enumerate(cols) if row[f"b{i}"] and "_" in c and len(c.split("_")) >= 2]
+    oh = [c for i, c in enumerate(cols) if row[f"b{i}"] and "_" in c]
     return [c for c in cols if c not in oh], oh
 
 
@@ -78,7 +79,7 @@ def domain_subset(df: DataFrame, cols: Sequence[str], domain: Sequence[str], low
     """PRD1: is every non-null value (as text) inside ``domain``?"""
     dom = [d.lower() for d in domain] if lower else list(domain)
     def txt(c):
-        t = F.col(c).cast("string")
+        t = named(c).cast("string")
         return F.lower(t) if lower else t
     row = df.agg(*[F.coalesce(F.bool_and(txt(c).isin(*dom)), F.lit(True)).alias(f"b{i}")
                    for i, c in enumerate(cols)]).first()
@@ -94,13 +95,13 @@ def identify_target(df: DataFrame, rule: str = "eda", max_levels: int = 3) -> st
         if name in df.columns:
             return name
     cols = list(df.columns)
-    approx = df.agg(*[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    approx = df.agg(*[F.approx_count_distinct(named(c)).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     small = [c for i, c in enumerate(cols) if (approx[f"a{i}"] or 0) <= max_levels + 2]
     if not small:
         return None
     # bounded: every column here has at most a handful of distinct values
     row = df.agg(*[e for i, c in enumerate(small) for e in (
-        F.count_distinct(c).alias(f"n{i}"), F.collect_set(F.col(c).cast("string")).alias(f"s{i}"))]).first()
+        F.count_distinct(named(c)).alias(f"n{i}"), F.collect_set(named(c).cast("string")).alias(f"s{i}"))]).first()
     for i, c in enumerate(small):
         n, vals = int(row[f"n{i}"]), set(row[f"s{i}"])
         if n < 2:
@@ -109,31 +110,24 @@ def identify_target(df: DataFrame, rule: str = "eda", max_levels: int = 3) -> st
             return c
         if rule == "featurize" and n == 2:
             return c
-        if rule == "inline" and n <= 3 and {_num_text(v) for v in vals} <= set(INLINE_TOKENS):
+        if rule == "inline" and n <= 3 and vals <= set(INLINE_TOKENS):
             return c
     return None
 
 
-def _num_text(v: str) -> str:
-    # pandas renders an integer column as '0'/'1' and a float one as '0.0'/'1.0'
-    return v
-
-
 def normalize_target(df: DataFrame, col: str, rule: str = "contains_strict", out: str = "label",
                      drop_missing: bool = True) -> DataFrame:
     """TGT2a/b/c: numeric 0/1 domain -> int as is; otherwise the text rule.
     Missing labels are dropped (reported by the caller), not mapped to 0."""
-    numeric_domain = {"contains_strict": ["0", "1", "0.0", "1.0"], "contains_loose": ["0", "1", "0.0", "1.0"],
-                      "exact": ["0", "1", "0.0", "1.0"]}[rule]
-    is_num01 = domain_subset(df, [col], numeric_domain, lower=False)[col]
+    is_num01 = domain_subset(df, [col], ["0", "1", "0.0", "1.0"], lower=False)[col]
     if is_num01:
-        lab = F.col(col).cast("double").cast("int")
+        lab = named(col).cast("double").cast("int")
     else:
-        lab = target_rule(F.col(col), rule)
+        lab = target_rule(named(col), rule)
     res = df.withColumn(out, lab)
     return res.where(F.col(out).isNotNull()) if drop_missing else res
 
 
 def target_mapping(df: DataFrame, col: str, label: str = "label") -> DataFrame:
     """TGT2 mapping report: distinct (value, label) pairs."""
-    return df.select(F.col(col).cast("string").alias("value"), F.col(label)).distinct()
+    return df.select(named(col).cast("string").alias("value"), named(label)).distinct()

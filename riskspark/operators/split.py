@@ -13,84 +13,81 @@ rows in that bucket).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.operators.columns import col, join_null_safe
 from riskspark.operators.ranking import hash_bucket, md5_hash
+from riskspark.session import materialize
 
-MAX_LABELS = 10_000
 HASH_BUCKETS = 1 << 16
 
 
-def _label_eq(label: str, v) -> F.Column:
-    return F.col(label).isNull() if v is None else (F.col(label) == F.lit(v))
+def order_hash(key: str, seed: int, tie: Sequence[str] = ()) -> Column:
+    """The order key of a row. A NULL key is replaced by ``tie`` columns (or by a
+    fixed token, which puts all such rows next to each other), so no row is lost."""
+    k = col(key).cast("string")
+    rest = F.concat_ws("|", F.lit("null"), *[F.coalesce(col(t).cast("string"), F.lit("")) for t in tie])
+    return md5_hash(F.coalesce(k, rest), seed)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-                     buckets: int = HASH_BUCKETS, out: str = "split") -> DataFrame:
+                     buckets: int = HASH_BUCKETS, out: str = "split", tie: Sequence[str] = ()) -> DataFrame:
     """WIN3: per label, the first ``round(test_frac * n_label)`` rows in
     hash order are ``test``, the rest ``train``. Exact, two scans:
 
-    job 1 counts rows per (label, hash bucket); windows over that small
-    table give each label's total, its test size and its boundary bucket,
-    and only the boundary rows (one per label) reach the driver;
-    job 2 ranks the rows of each label's boundary bucket only.
-    The result is a projection with one literal cut point per label.
+    the first counts rows per (label, hash bucket); windows over that small table
+    give each label's total, its test size and its boundary bucket; the second ranks
+    the rows of the boundary buckets only. The cut points (one row per label, any
+    number of labels, NULL among them) are computed once and joined back.
     """
-    h = md5_hash(key, seed)
-    hb = df.select(label, key, h.alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+    order = [key, *tie]
+    h = order_hash(key, seed, tie)
+    hb = df.select(label, *order, h.alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     counts = hb.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wl = Window.partitionBy(label)
     cum_w = wl.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     k = F.floor(F.lit(float(test_frac)) * F.sum("_c").over(wl) + F.lit(0.5))  # round half up, as the oracle
     cum = counts.select(label, "_b", "_c", F.sum("_c").over(cum_w).alias("_cum"), k.alias("_k"))
-    bnd = (cum.where((F.col("_k") > 0) & (F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
-           .select(label, "_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin"))
-           .limit(MAX_LABELS + 1).collect())  # one row per label: refuse a non-label column before collecting more
-    if len(bnd) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct values in {label!r}: not a class label")
-    cuts = {}
-    if bnd:
-        cond = pick = None
-        for r in bnd:
-            c = _label_eq(label, r[label]) & (F.col("_b") == r["_b"])
-            cond = c if cond is None else (cond | c)
-        wr = Window.partitionBy(label).orderBy("_h", key)
-        edge = hb.where(cond).withColumn("_rn", F.row_number().over(wr))
-        for r in bnd:
-            c = _label_eq(label, r[label]) & (F.col("_rn") == r["_kin"])
-            pick = c if pick is None else (pick | c)
-        for r in edge.where(pick).select(label, "_b", "_h", key).collect():
-            cuts[r[label]] = (r["_b"], r["_h"], r[key])
-    h_all = md5_hash(key, seed)
-    b_all = hash_bucket(h_all, buckets)
-    is_test = F.lit(False)
-    for lab, (cb, ch, ck) in cuts.items():
-        before = (b_all < cb) | ((b_all == cb) & ((h_all < F.lit(ch)) | ((h_all == F.lit(ch)) &
-                                                                          (F.col(key) <= F.lit(ck)))))
-        is_test = is_test | (_label_eq(label, lab) & before)
-    return df.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    edge = (cum.where((F.col("_k") > 0) & (F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
+            .select(label, "_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_kin")))
+    wr = Window.partitionBy(label, "_b").orderBy("_h", *order)
+    cuts = (join_null_safe(hb, edge, [label, "_b"]).withColumn("_rn", F.row_number().over(wr)).where("_rn = _kin")
+            .select(label, F.col("_h").alias("_ch"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(order)]))
+    cuts = materialize(cuts)
+    j = join_null_safe(df.withColumn("_h", h), cuts, [label], "left")
+    before = F.col("_h") < F.col("_ch")
+    same = F.col("_h") == F.col("_ch")
+    for i, c in enumerate(order):       # NULL sorts first, as in the window
+        mine, cut = col(c), F.col(f"_c{i}")
+        lower = F.coalesce(mine < cut, mine.isNull() & cut.isNotNull())
+        before = before | (same & lower)
+        same = same & mine.eqNullSafe(cut)
+    is_test = F.coalesce(before | same, F.lit(False))
+    return j.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(
+        "_h", "_ch", *[f"_c{i}" for i in range(len(order))])
 
 
 def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42, buckets: int = HASH_BUCKETS,
-                    out: str = "rank") -> DataFrame:
+                    out: str = "rank", tie: Sequence[str] = ()) -> DataFrame:
     """1-based rank of each row inside its label in hash order: bucket offset
     (running sum over the small per-(label, bucket) count table) + row_number
     inside the bucket. No driver round trip; the offsets join is left to
     AQE, which broadcasts it when its measured size is small."""
-    hb = df.withColumn("_h", md5_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+    hb = df.withColumn("_h", order_hash(key, seed, tie)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     counts = hb.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wprev = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = counts.select(label, "_b", F.coalesce(F.sum("_c").over(wprev), F.lit(0)).alias("_off"))
-    j = hb.join(off, hb[label].eqNullSafe(off[label]) & (hb["_b"] == off["_b"]), "inner") \
-        .drop(off[label]).drop(off["_b"])
-    wr = Window.partitionBy(label, "_b").orderBy("_h", key)
+    j = join_null_safe(hb, off, [label, "_b"])
+    wr = Window.partitionBy(label, "_b").orderBy("_h", key, *tie)
     return j.withColumn(out, (F.col("_off") + F.row_number().over(wr)).cast("long")).drop("_h", "_b", "_off")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     buckets: int = HASH_BUCKETS, out: str = "fold") -> DataFrame:
+                     buckets: int = HASH_BUCKETS, out: str = "fold", tie: Sequence[str] = ()) -> DataFrame:
     """WIN4: fold = (rank inside label - 1) mod k, so every fold keeps the
     class shares."""
-    r = stratified_rank(df, label, key, seed, buckets, "_rank")
+    r = stratified_rank(df, label, key, seed, buckets, "_rank", tie)
     return r.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.scalar import target_rule
+from riskspark.operators.features import NUMERIC
 from riskspark.operators.ranking import md5_hash
 from riskspark.sources.io import read_table
 
@@ -23,8 +24,7 @@ SAVINGS_ORDINAL = {"5-LOW": 0, "4-NOT SPECIFIED": 1, "3-MEDIUM": 2, "2-HIGH": 3}
 EMPLOYMENT_ORDINAL = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3}
 ORDINAL_MAPS = {"savings_status": SAVINGS_ORDINAL, "employment": EMPLOYMENT_ORDINAL}
 ONEHOT_COLS = ["purpose", "housing"]
-NUMERIC_COLS = ["duration", "credit_amount", "installment_commitment", "residence_since", "age",
-                "existing_credits", "num_dependents"]
+NUMERIC_COLS = list(NUMERIC)
 SPLIT_SEED = 42
 
 
@@ -119,20 +119,15 @@ def labeled_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labeled loans with the exact stratified ``split`` column.
-
-    The loan view is a four-table join read by the three split jobs and by
-    every fit downstream, so it is computed once per query into the shared
-    checkpoint folder (survives executor loss, cuts the join lineage)."""
+    """Labeled loans with the exact stratified ``split`` column. Lazy: a consumer's
+    scans read the columns it needs; the split itself keeps one cut point per label."""
     from riskspark.operators.split import stratified_split
-    return stratified_split(loans_table(spark, sf_dir), "label", "row_id", 0.2, SPLIT_SEED)
+    return stratified_split(labeled_loans(spark, sf_dir), "label", "row_id", 0.2, SPLIT_SEED)
 
 
 def loans_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labeled loans computed once into the shared checkpoint folder, for
-    queries that run several jobs over the view."""
-    from riskspark.session import materialize
-    return materialize(labeled_loans(spark, sf_dir), "checkpoint")
+    """Labeled loans for queries that run several jobs over the view."""
+    return labeled_loans(spark, sf_dir)
 
 
 def with_cte(*parts: str) -> str:

@@ -113,7 +113,7 @@ def agg7_quantiles(spark, d):
 @register("agg7_quantiles_approx")
 def agg7_quantiles_approx(spark, d):
     # approximate twin (percentile_approx sketch); no exact oracle by design
-    return rounded(P.quantiles(table(spark, d, "events"), "value", AGG7_QS, method="approx"))
+    return rounded(P.quantiles(table(spark, d, "events"), "value", AGG7_QS, approx=True))
 
 
 @register("agg8_medians", rsql(_ua([f"SELECT '{c}' AS feature, median({c}) AS median FROM lineitem"
@@ -307,7 +307,7 @@ def top3_first_reaching(spark, d):
     r = v.select("feature", F.row_number().over(w).alias("idx"),
                  (F.sum("variance").over(w.rowsBetween(Window.unboundedPreceding, 0)) /
                   F.sum("variance").over(Window.partitionBy())).alias("cum"))
-    return r.where(F.col("cum") >= 0.95).agg(F.min("idx").cast("int").alias("k"))
+    return spark.createDataFrame([(P.first_reaching(r, "idx", "cum", 0.95),)], "k int")
 
 
 # ---------------------------------------------------------------- SMP1 / SMP2

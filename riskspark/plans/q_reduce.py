@@ -167,7 +167,7 @@ def pca1_loan_features_variance(spark, d):
 @register("pca1_embeddings_variance")
 def pca1_embeddings_variance(spark, d):
     emb = table(spark, d, "embeddings")
-    return rounded(R.variance_table(R.fit_pca(emb, vector="embedding"), spark, limit=20))
+    return rounded(R.variance_table(R.fit_pca(emb, vector="embedding"), spark))
 
 
 @register("pca7_projection_2d")
@@ -278,7 +278,7 @@ def pipeline_featurize_pca_lda(spark, d):
     s = split_loans(spark, d)
     spec = loan_spec().fit(_train(s))
     num = [c for c in spec.params["feature_list"] if c in spec.params["scaler"]]
-    feats = materialize(spec.transform(s, keep=["row_id", "split", "label"]), "checkpoint")
+    feats = materialize(spec.transform(s, keep=["row_id", "split", "label"]))
     pca = R.fit_pca(feats.where(F.col("split") == "train"), num)
     k = R.choose_k(pca.ratio, 0.95, "min2", max_k=20)
     pcs = [f"PC{i + 1}" for i in range(k)]

@@ -140,25 +140,20 @@ _PRD1 = [("orders", "o_orderstatus", ["f", "o", "p"]), ("orders", "o_orderpriori
     f"SELECT '{t}' AS tab, '{c}' AS feature, coalesce(bool_and(lower(CAST({c} AS VARCHAR)) IN ({_sql_list(dom)})), "
     f"true) AS in_domain FROM {t}" for t, c, dom in _PRD1))
 def prd1_domain_subset(spark, d):
-    out = None
-    for t, c, dom in _PRD1:
-        df = table(spark, d, t)
-        part = df.agg(F.coalesce(F.bool_and(F.lower(F.col(c).cast("string")).isin(*dom)), F.lit(True))
-                      .alias("in_domain")).select(F.lit(t).alias("tab"), F.lit(c).alias("feature"), "in_domain")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [(t, c, SC.domain_subset(table(spark, d, t), [c], dom)[c]) for t, c, dom in _PRD1]
+    return spark.createDataFrame(rows, "tab string, feature string, in_domain boolean")
 
 
 # ------------------------------------------------------------ targets
 
 _TGT1_CASES = [("labels", "eda"), ("labels", "featurize"), ("labels", "inline"), ("embeddings", "eda"),
                ("embeddings", "inline"), ("orders", "featurize")]
-_ATOMIC = {"labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "label"],
-           "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]}
+_TGT1_COLS = {"labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "embedding", "label"],
+              "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]}
 
 
 def _tgt1_sql(t: str, rule: str) -> str:
-    cols = _ATOMIC[t]
+    cols = _TGT1_COLS[t]
     named = [n for n in SC.TARGET_NAMES[rule] if n in cols]
     if named:
         # name rule: resolved from the schema; the scan proves the table is readable
@@ -180,7 +175,7 @@ def _tgt1_sql(t: str, rule: str) -> str:
 def tgt1_identify_target(spark, d):
     rows = []
     for t, rule in _TGT1_CASES:
-        df = table(spark, d, t).select(*_ATOMIC[t])
+        df = table(spark, d, t)
         rows.append((t, rule, SC.identify_target(df, rule, max_levels=2 if rule == "featurize" else 3)))
     return spark.createDataFrame(rows, "tab string, rule string, target string")
 
@@ -265,11 +260,15 @@ def scl2_log1p(spark, d):
 
 
 @register("scl3_safe_div", rsql(_LV + """
-SELECT row_id, credit_amount / (duration + 1e-8) AS per_month FROM loan_view""", ["per_month"],
-    overrides={"per_month": 0}))
+SELECT row_id, CASE WHEN duration <> 0 THEN credit_amount / (duration + 1e-8) END AS per_month,
+       CASE WHEN duration = 0 THEN credit_amount / (duration + 1e-8) END AS by_zero FROM loan_view""",
+    ["per_month", "by_zero"], overrides={"by_zero": 0}))
 def scl3_safe_div(spark, d):
-    return rounded(loan_view(spark, d).select("row_id", S.safe_div("credit_amount", "duration").alias("per_month")),
-                   overrides={"per_month": 0})
+    """Ordinary rows at six digits; a zero duration divides by 1e-8, so those results
+    are compared as whole numbers."""
+    v = S.safe_div("credit_amount", "duration")
+    return rounded(loan_view(spark, d).select("row_id", F.when(F.col("duration") != 0, v).alias("per_month"),
+                                              F.when(F.col("duration") == 0, v).alias("by_zero")), overrides={"by_zero": 0})
 
 
 @register("scl4_zero_to_one", _LV + """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,20 +43,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
-
-    The cluster names it in ``spark.checkpoint.dir``; we only create our own
-    (a fresh local scratch folder) when the setting is absent, as in tests.
-    """
+    """The folder that the driver and all executors share, from
+    ``spark.checkpoint.dir``. Only a local master (tests) may run without the
+    setting, in a scratch folder; on a cluster its absence is an error, because
+    files in a machine-local folder would be missed by others."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="riskspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that workers
+    can import it wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskspark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(here)
+    target = os.path.join(tempfile.mkdtemp(prefix="riskspark-"), "riskspark_pkg.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, top))
+    sc.addPyFile(target)  # the driver serves the file; executors fetch it
+    sc._riskspark_shipped = True
+
+
 def materialize(df, how: str = "persist"):
     """Compute ``df`` once before several jobs read it.
 

@@ -7,8 +7,8 @@ nothing here touches data until an action runs downstream.
 from __future__ import annotations
 
 import json
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -27,14 +27,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
-               normalize_nan: bool | None = None) -> DataFrame:
+               normalize_nan: bool = False) -> DataFrame:
     """SRC1 + SRC2: parquet when the path ends in ``.parquet`` (file or
     folder), header CSV otherwise; explicit schema if given, else inferred.
 
-    ``normalize_nan`` (default: CSV only) maps NaN to NULL. CSV text ``NaN``
-    parses to NaN; parquet written from pandas / Arrow already stores missing
-    floats as NULL, and wrapping its columns in ``nanvl`` would stop filters
-    from reaching the parquet scan, so parquet is left as is unless asked."""
+    NaN is left in the data, whatever the format, so that filters reach the scan: the
+    operators treat NaN as missing. ``normalize_nan`` maps it to NULL on reading."""
     p = path.rstrip("/")
     is_parquet = p.endswith(".parquet")
     if is_parquet:
@@ -43,20 +41,19 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
         rd = spark.read.option("header", True)
         rd = rd.schema(schema) if schema is not None else rd.option("inferSchema", True)
         df = rd.csv(p)
-    if normalize_nan is None:
-        normalize_nan = not is_parquet
     return nan_to_null(df) if normalize_nan else df
 
 
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """SRC3: read an earlier stage's output, failing clearly if it is absent."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    if not fs.exists(hadoop_path):
-        raise FileNotFoundError(f"stage output missing: {path}; run the producing stage first")
-    if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return spark.read.format(fmt).load(path)
+    try:
+        if fmt == "csv":
+            return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"stage output missing: {path}; run the producing stage first") from e
+        raise
 
 
 def clean_labels(df: DataFrame, col: str, out: str = "label") -> DataFrame:
@@ -103,7 +100,3 @@ def write_report(spark: SparkSession, rows: list[tuple], path: str) -> DataFrame
                                "section string, ord int, key string, value string")
     df.coalesce(1).write.mode("overwrite").parquet(path)
     return df
-
-
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)

@@ -19,17 +19,39 @@ def data(spark):
 QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
 
-@pytest.mark.parametrize("method", ["map", "rank"])
-def test_percentiles_match_numpy(data, method):
-    df, rows = data
-    got = ranking.percentiles(df, ["v"], QS, method=method, rows_per_bucket=200)[()]["v"]
-    ref = np.quantile([v for _, v in rows if v is not None], QS)
+@pytest.mark.parametrize("rows", [1_000_000, 400, 7])
+def test_percentiles_match_numpy(data, rows):
+    """The same way with and without narrowing rounds."""
+    df, raw = data
+    got = ranking.percentiles(df, ["v"], QS, bracket_rows=rows)[()]["v"]
+    ref = np.quantile([v for _, v in raw if v is not None], QS)
     assert np.allclose(got, ref, rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 50])
+def test_null_group_and_nan(spark, rows):
+    raw = [(None if k % 5 == 0 else k % 2, float("nan") if k % 11 == 0 else None if k % 13 == 0 else float(k * 37 % 101)) for k in range(600)]
+    df = spark.createDataFrame(raw, "`g.x` int, `v.w` double").withColumn("none", F.lit(None).cast("double"))
+    got = ranking.percentiles(df.withColumnRenamed("g.x", "g"), ["v.w", "none"], [0.25, 0.5], by=["g"], bracket_rows=rows)
+    assert set(got) == {(None,), (0,), (1,)}
+    for g in (None, 0, 1):
+        ref = np.quantile([v for k, v in raw if k == g and v is not None and v == v], [0.25, 0.5])
+        assert np.allclose(got[(g,)]["v.w"], ref) and got[(g,)]["none"] == [None, None]
+
+
+def test_no_rows(spark):
+    assert ranking.percentiles(spark.createDataFrame([], "v double"), ["v"], [0.5]) == {(): {"v": [None]}}
+
+
+def test_no_value_map_meets_in_one_task(data):
+    df, _ = data
+    plan = ranking.percentile_table(df, ["v"], QS)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "SinglePartition" not in plan
+
+
 def test_grouped_rank_percentiles(data):
     df, rows = data
-    got = ranking.percentiles(df, ["v"], [0.5, 0.75], by=["g"], method="rank", rows_per_bucket=100)
+    got = ranking.percentiles(df, ["v"], [0.5, 0.75], by=["g"])
     for g in range(3):
         ref = np.quantile([v for gg, v in rows if gg == g and v is not None], [0.5, 0.75])
         assert np.allclose(got[(g,)]["v"], ref)
@@ -46,8 +68,8 @@ def test_running_totals_multibucket(spark):
 
 def test_same_result_after_repartition(data):
     df, _ = data
-    a = ranking.percentiles(df, ["v"], QS, method="rank", rows_per_bucket=150)[()]["v"]
-    b = ranking.percentiles(df.repartition(7), ["v"], QS, method="rank", rows_per_bucket=150)[()]["v"]
+    a = ranking.percentiles(df, ["v"], QS)[()]["v"]
+    b = ranking.percentiles(df.repartition(7), ["v"], QS)[()]["v"]
     assert a == b
 
 
@@ -60,13 +82,6 @@ def test_bracket_matches_numpy_many_columns(spark):
     rows = [(float(x), float(y), None if np.isnan(z) else float(z)) for x, y, z in zip(a, b, c)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
     qs = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
-    got = ranking.percentiles(df, ["a", "b", "c"], qs, method="bracket")[()]
+    got = ranking.percentiles(df, ["a", "b", "c"], qs)[()]
     for name, v in (("a", a), ("b", b), ("c", c[~np.isnan(c)])):
         assert np.allclose(got[name], np.quantile(v, qs), atol=1e-12)
-
-
-def test_bracket_fallback_to_rank(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BRACKET_MAX_ROWS", 1)
-    df = spark.createDataFrame([(float(i % 17),) for i in range(500)], "v double")
-    got = ranking.percentiles(df, ["v"], [0.5, 0.9], method="bracket", rows_per_bucket=50)[()]["v"]
-    assert np.allclose(got, np.quantile([float(i % 17) for i in range(500)], [0.5, 0.9]))
