@@ -57,7 +57,7 @@ RARE_BELOW = 32            # least document frequency of a frequent token
 MAX_FREQUENT = 1_000_000   # frequent tokens that are broadcast; F doubles until they fit
 SMALL = 32                 # a key with at most so many sets gives pairs
 SALT_ROWS = 100_000        # a pair of tokens more frequent than this is dealt to several parts
-FLUSH = 1 << 21            # tokens gathered in a task before they are sent on
+FLUSH = 1 << 20            # tokens gathered in a task before they are sent on
 PART_TOKENS = 1 << 22      # tokens of a part, on average
 SLICE = 1 << 20            # bytes hashed at a time
 BITMAP = 1024
@@ -153,10 +153,20 @@ def class_key(tokens: np.ndarray) -> int:
 
 
 def parity_bitmap(tokens: np.ndarray) -> list[int]:
-    odd = np.bincount((tokens & U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    """Which of the bits are hit by an odd number of tokens; at least two bits per
+    token. The bitmap with half the bits is the exclusive or of the two halves."""
+    bits = max(BITMAP, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def folded(x, y):
+    """Bitmap ``x`` brought to the size of ``y``, which is as large or half as large
+    (sizes of sets that may be linked are within a factor of two)."""
+    half = (F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+
 def allowance(n: int, percent: int = PERCENT) -> int:
     """How many tokens of a set of n tokens a linked set may miss."""
     return n - (percent * n + 99) // 100
@@ -406,26 +416,19 @@ def linked(common, a, b, percent: int):
 
 
 def verified_pairs(pairs: DataFrame, nodes: DataFrame, sets, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that are links. ``sets(needed)`` fetches whole sets."""
+    """Pairs ``a, b`` that are links. ``sets(needed)`` fetches whole sets. Rows stream
+    through the joins one by one, however large the sets are."""
     maps = nodes.select("node", "bitmap")
     p = (pairs.join(maps.select(F.col("node").alias("a"), F.col("bitmap").alias("ma")), "a")
          .join(maps.select(F.col("node").alias("b"), F.col("bitmap").alias("mb")), "b"))
+    p = p.select("a", "b", "na", "nb", folded(F.col("ma"), F.col("mb")).alias("ma"), folded(F.col("mb"), F.col("ma")).alias("mb"))
     differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     left = stored(p.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b"), "close-pairs")
-    needed = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = sets(needed)
-
-    def check(b: pa.RecordBatch):
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-        k = np.flatnonzero(keep)
-        yield {"a": b.column(0).to_numpy()[k], "b": b.column(1).to_numpy()[k]}
-
+    whole = sets(left.select(F.explode(F.array("a", "b")).alias("node")))
     j = (left.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-         .join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb"))
-    return stored(arrow_map(j, check, "a long, b long"), "links")
+         .join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    return stored(j.where(linked(common, F.size("ta"), F.size("tb"), percent)).select("a", "b"), "links")
 
 
 def size_class(n, percent: int):
@@ -500,7 +503,9 @@ def block_links(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         side = np.array(t.column("side").to_pylist())
         node = t.column("node").to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("tokens").to_pylist()]
+        lists = t.column("tokens").combine_chunks()
+        values, edge = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        sets = [values[a:b] for a, b in zip(edge, edge[1:])]
         ix, iy = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
         x = [sets[i] for i in ix]
         y = [sets[i] for i in iy] or x
@@ -616,10 +621,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 s = token_set(text, size)
                 if len(s) and class_key(s) == node:     # ids may repeat with other texts
                     have.append(node)
-                    raw.append(s.tobytes())
+                    raw.append(s.view(np.int64))
             yield {"node": have, "tokens": raw}
 
-        return stored(arrow_map(j, make, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+        # a repeated row gives its set twice, which only repeats a comparison
+        return stored(arrow_map(j, make, "node long, tokens array<long>"), "sets")
 
     pairs = found.where("NOT large").select("a", "b", "na", "nb").distinct()
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("nb").alias("n")).distinct()
