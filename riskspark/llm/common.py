@@ -1,12 +1,10 @@
 """Helpers shared by the training-data operators: table access, shared-folder
-tables, shipping the package to executors, Arrow mapping and bounded samples."""
+tables, Arrow mapping and bounded samples."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,23 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers
-    can import it (and keep per-process caches) wherever the driver started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_riskspark_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(prefix="riskspark-"), "riskspark_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "riskspark")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, top))
-    sc.addPyFile(target)  # the driver serves the file; executors fetch it
-    sc._riskspark_shipped = True
+from riskspark.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
