@@ -12,7 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.session import ship
+from riskspark.session import ship as ship_package
+
+ARROW_BYTES = 8 << 20      # bytes of an Arrow batch, so that a worker's memory does not follow the texts' lengths
+
+
+def ship(spark: SparkSession) -> None:
+    """Before Python runs on the executors: they get this package, and the session's
+    Arrow batches are bounded by bytes (lowered only, never raised)."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,8 +57,8 @@ RARE_BELOW = 32            # least document frequency of a frequent token
 MAX_FREQUENT = 1_000_000   # frequent tokens that are broadcast; F doubles until they fit
 SMALL = 32                 # a key with at most so many sets gives pairs
 SALT_ROWS = 100_000        # a pair of tokens more frequent than this is dealt to several parts
-FLUSH = 1 << 20            # tokens gathered in a task before they are sent on
-PART_TOKENS = 1 << 22      # tokens of a part, on average
+FLUSH = 1 << 19            # tokens gathered in a task before they are sent on
+PART_TOKENS = 1 << 20      # tokens of a part, on average
 SLICE = 1 << 20            # bytes hashed at a time
 BITMAP = 1024
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 22

@@ -35,7 +35,7 @@ DIM = 1 << BITS
 SCALE = 8.0                # frequencies are multiplied by this
 THRESHOLD = 0.3
 BOUND = 2500               # labelled rows the fit may use
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 RUN_UP = re.compile(r"[^\W\d_a-zà-öø-ÿ]{2,}")
 RUN_LOW = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")

@@ -44,7 +44,7 @@ MAX_STRINGS = 300_000
 DRIFT, HIGHEST, LOWEST = 1.2, 6.0, -2.0
 SIGNIFICANCE = 0.05
 MAX_LAMBDA = 8.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
