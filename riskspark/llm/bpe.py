@@ -31,17 +31,20 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import arrow_map, id_text, stored
 
-MEMO_PIECES = 600_000      # entries of a worker's memo; it is emptied beyond that
+MEMO_PIECES = 600_000     # entries of a worker's memo; it is emptied beyond that
 GROUP_CHARS = 1 << 20      # texts are encoded in groups of about this many characters
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
 
-DOUBLE_SPACE = re.compile(r"\s ")
+DOUBLE_SPACE = re.compile(r"\s\s")
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 SPACE = re.compile(r"\s")
 
 
 class Encoder:
-    """Exact ids of a byte-level BPE tokenizer, with a memo of space-led pieces."""
+    """Exact ids of a byte-level BPE tokenizer, with a memo of its pieces.
+
+    White space that stands alone parts a text for good: a space belongs to the word
+    after it, a line feed is a token of its own, and no pre-token spans either."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,39 +59,36 @@ class Encoder:
                           and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or SPACE.search(a["content"])
                                       for a in spec.get("added_tokens", [])))
         self.newline = self.tok.token_to_id("Ċ")
-        self.memo: dict[str, bytes] = {}
+        # ids of pieces at the start of a line or standing alone, and after a space
+        self.bare: dict[str, bytes] = {}
+        self.led: dict[str, bytes] = {}
+        self.feed = b"" if self.newline is None else self.direct("\n")
         self.strings: list[str] = []
         self.bytes_of: list[bytes] = []
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def pieces(self, text: str) -> list[str]:
-        """Cut at safe borders; every piece but the first starts with white space."""
-        if not DOUBLE_SPACE.search(text) and text[:1] != " ":
-            first, *rest = text.split(" ")
-            return [first, *[" " + r for r in rest]]
-        return SAFE_CUT.split(text)
-
-    def learn(self, missing: set[str]) -> None:
-        plain = [m for m in missing if m[:1] == " " and not SPACE.search(m, 1) and len(m) > 1]
-        if self.newline is None:
-            plain = []
+    def learn(self, missing: list[str], into: dict[str, bytes], lead: str) -> None:
+        """Ids of ``lead + piece``; pieces without white space are encoded together,
+        set apart by line feeds, whose ids part the result again."""
+        plain = [m for m in missing if m and not SPACE.search(m)] if self.newline is not None else []
         for at in range(0, len(plain), 2000):
             part = plain[at:at + 2000]
-            # pieces without a line feed, separated by single ones: their ids are
-            # split again at the id of the line feed
-            ids = np.asarray(self.tok.encode("\n".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            joined = lead + ("\n" + lead).join(part)
+            ids = np.asarray(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
             if len(ends) != len(part):
                 plain = plain[:at]
                 break
-            start = 0
-            for piece, end in zip(part, ends.tolist()):
-                self.memo[piece] = ids[start:end].tobytes()
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, ends):
+                into[piece] = raw[4 * start:4 * end]
                 start = end + 1
-        for piece in missing.difference(plain):
-            self.memo[piece] = self.direct(piece)
+        done = set(plain)
+        for piece in missing:
+            if piece not in done:
+                into[piece] = self.direct(lead + piece)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if not self.separable:
@@ -103,16 +103,41 @@ class Encoder:
         return out + self.encode_group(group)
 
     def encode_group(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo
-        missing = {p for ps in cut for p in ps if p not in memo}
-        missing.discard("")
-        memo[""] = b""
-        if missing:
-            self.learn(missing)
-        return [np.frombuffer(b"".join(map(memo.__getitem__, ps)), np.uint32) for ps in cut]
+        """Where white space is single, a line is a first word and space-led words;
+        other texts are cut at safe borders into pieces kept as they are."""
+        if len(self.bare) + len(self.led) > MEMO_PIECES:
+            self.bare.clear()
+            self.led.clear()
+        simple = [not (t[:1].isspace() or DOUBLE_SPACE.search(t)) for t in texts]
+        cut = [[line.split(" ") for line in t.split("\n")] if s else SAFE_CUT.split(t) for t, s in zip(texts, simple)]
+        first: set[str] = set()
+        rest: set[str] = set()
+        for c, s in zip(cut, simple):
+            if s:
+                first.update(line[0] for line in c)
+                for line in c:
+                    rest.update(line[1:])
+            else:
+                first.update(c)
+        if new := list(first - self.bare.keys()):
+            self.learn(new, self.bare, "")
+        if new := list(rest - self.led.keys()):
+            self.learn(new, self.led, " ")
+        bare, led, feed = self.bare, self.led.__getitem__, self.feed
+        out = []
+        for c, s in zip(cut, simple):
+            if s:
+                parts = []
+                for line in c:
+                    words = iter(line)
+                    parts.append(bare[next(words)])
+                    parts.extend(map(led, words))
+                    parts.append(feed)
+                parts.pop()
+            else:
+                parts = map(bare.__getitem__, c)
+            out.append(np.frombuffer(b"".join(parts), np.uint32))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
