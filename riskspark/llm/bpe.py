@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,31 +264,42 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     (and ``ids`` with ``keep_ids``). ``tokenizer_path`` names a tokenizers JSON
     file with a byte-level BPE that every worker can open."""
     d = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("th", F.xxhash64("text"))
+    # the key of a row: hashes of its id and of its text (never null)
+    d = d.select("doc_id", "text", F.xxhash64("doc_id").alias("ih"), F.xxhash64("text").alias("th"))
+    kind = dict(d.dtypes)["doc_id"]
 
     def refs_of(b: pa.RecordBatch):
-        cols = {k: [] for k in ("doc_id", "th", "pos", "key")}
-        for i, t, th in zip(*(b.column(k).to_pylist() for k in range(3))):
+        cols = {k: [] for k in ("ih", "th", "pos", "key")}
+        for t, ih, th in zip(*(b.column(k).to_pylist() for k in range(3))):
             for pos, chunk in zip(*split_chunks(t)):
-                for k, v in zip(cols, (i, th, pos, chunk_key(chunk))):
+                for k, v in zip(cols, (ih, th, pos, chunk_key(chunk))):
                     cols[k].append(v)
         yield cols
 
-    kind = dict(d.dtypes)["doc_id"]
-    refs = stored(arrow_map(d, refs_of, f"doc_id {kind}, th long, pos long, key binary"), "chunk-refs")
+    refs = stored(arrow_map(d.select("text", "ih", "th"), refs_of, "ih long, th long, pos long, key binary"), "chunk-refs")
     # chunks that occur more than once, with one place where each stands
-    shared = (refs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+    shared = (refs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ih", "th", "pos")).alias("at"))
               .where("n > 1"))
-    wanted = (shared.select(F.col("at.doc_id").alias("wd"), F.col("at.th").alias("wt"), F.struct(F.col("at.pos").alias("pos"), "key").alias("c"))
-              .groupBy("wd", "wt").agg(F.collect_list("c").alias("wanted")))
-    # the texts are dealt out once by (doc_id, text hash); both joins use that
+    wanted = (shared.select("at.ih", "at.th", F.struct(F.col("at.pos").alias("pos"), "key").alias("c"))
+              .groupBy("ih", "th").agg(F.collect_list("c").alias("wanted")))
+
+    def pack(b: pa.RecordBatch):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        yield {"doc_id": b.column(0).to_pylist(), "ih": b.column(2).to_pylist(), "th": b.column(3).to_pylist(),
+               "packed": [squeeze(t.encode("utf-8")) for t in b.column(1).to_pylist()]}
+
+    # the texts, compressed, are dealt out once by their key; both joins use that
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = d.repartition(width, "doc_id", "th")
+    dealt = arrow_map(d, pack, f"doc_id {kind}, ih long, th long, packed binary").repartition(width, "ih", "th")
+
+    def unpack(column):
+        loose = zstandard.ZstdDecompressor().decompress
+        return [loose(x).decode("utf-8") for x in column.to_pylist()]
 
     def encode_shared(b: pa.RecordBatch):
         enc = encoder(tokenizer_path)
         keys, chunks, done = [], [], set()
-        for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for t, want in zip(unpack(b.column(0)), b.column(1).to_pylist()):
             parts = dict(zip(*split_chunks(t)))
             for w in want:
                 if w["key"] not in done:
@@ -296,15 +308,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     chunks.append(parts[w["pos"]])
         yield {"key": keys, "ids": [x.tobytes() for x in enc.encode_many(chunks)]}
 
-    same = F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt"))
-    encoded = arrow_map(dealt.join(wanted, same).select("text", "wanted"), encode_shared, "key binary, ids binary")
+    # rows that repeat share their key: their chunks are encoded once all the same
+    encoded = arrow_map(dealt.join(wanted, ["ih", "th"]).select("packed", "wanted"), encode_shared, "key binary, ids binary").dropDuplicates(["key"])
     # one row per document: the ids of its shared chunks
-    ready = (refs.join(encoded, "key").select(F.col("doc_id").alias("wd"), F.col("th").alias("wt"), F.struct("pos", "ids").alias("c"))
-             .groupBy("wd", "wt").agg(F.collect_list("c").alias("ready")))
+    ready = (refs.join(encoded, "key").select("ih", "th", F.struct("pos", "ids").alias("c"))
+             .groupBy("ih", "th").agg(F.collect_list("c").alias("ready")))
 
     def assemble(b: pa.RecordBatch):
         enc = encoder(tokenizer_path)
-        doc_ids, texts, readies = (b.column(k).to_pylist() for k in range(3))
+        doc_ids, texts, readies = b.column(0).to_pylist(), unpack(b.column(1)), b.column(2).to_pylist()
         cols = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chunks", "n_reused", "ids")}
         for i, t, r in zip(doc_ids, texts, readies):
             have = {x["pos"]: np.frombuffer(x["ids"], np.uint32) for x in r or ()}
@@ -323,4 +335,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     schema = (f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks long, n_reused long"
               + ", ids array<int>" * keep_ids)
-    return arrow_map(dealt.join(ready, same, "left").select("doc_id", "text", "ready"), assemble, schema)
+    return arrow_map(dealt.join(ready, ["ih", "th"], "left").select("doc_id", "packed", "ready"), assemble, schema)
