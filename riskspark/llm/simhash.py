@@ -26,6 +26,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.llm.common import stored
+
 SHINGLE = 5
 LANES = 32
 LANE_MASK = 0x0000000100000001
@@ -117,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     ranked = d.withColumn("rn", F.row_number().over(w)).withColumn("lead_text", F.lead("text").over(w))
     firsts = ranked.where("rn = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"))
-    after = successor(d.select("bucket").distinct(), "bucket").select("bucket", F.col("next").alias("next_bucket"))
+    after = successor(stored(d.select("bucket").distinct(), "buckets"), "bucket").select("bucket", F.col("next").alias("next_bucket"))
     border = after.join(firsts, "next_bucket").select("bucket", "next_bucket", "first_text")
     last = F.col("lead_text").isNull()
     return (ranked.join(border, "bucket")
@@ -145,6 +147,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         *[F.first(c).alias(c) for c in ("doc_id", "next_bucket", "next_rn", "n_chars", "edited_sha256")],
         F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"),
         F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
+    # a few numbers per document, read twice below and by any search: a written table
+    pair = stored(pair, "fingerprints")
     nxt = pair.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("fp").alias("next_fp"))
     return pair.join(nxt, ["next_bucket", "next_rn"]).select(
         "doc_id", "n_chars", "edited_sha256", "fp", hex_of(F.col("fp")).alias("fingerprint"),
