@@ -23,6 +23,7 @@ from riskspark.llm.quality import keep_good
 from riskspark.llm.queries import TOKENIZER
 
 MIN_LANGUAGE_SCORE = 0.5   # a best language less likely than this is no decision
+NEAR_WORDS, NEAR_PERCENT = 5, 80   # near copies: Jaccard of word 5-shingles (op1's query has its own 4 and 85)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays."""
-    return one_per_group(docs)
+    """Of each group of linked documents (5-word Jaccard >= 0.8), the one with the
+    smallest id stays."""
+    return one_per_group(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

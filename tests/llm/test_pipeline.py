@@ -42,3 +42,18 @@ def test_stages_keep_what_their_operators_keep(spark):
     assert {r.doc_id for r in four.select("doc_id").distinct().collect()} == {r.doc_id for r in three.collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "doc_tokens").distinct().collect())) == \
         sorted(map(tuple, four.select("doc_id", "doc_tokens").distinct().collect()))
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, words):
+    """A copy with a fifth of its words appended (0.83 at 5 words) goes, one with a third
+    appended (0.75) stays, as brute force over 5-word shingles says."""
+    line = [f"{w}{k}" for k, w in enumerate(words)]
+    texts = {1: line[:200], 2: line[:240], 3: line[240:340], 4: line[240:373], 5: line[:198] + ["new"] * 9, 6: line[390:393]}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    gone = {j for _, j in near}
+    assert (1, 2) in near and (3, 4) not in near and 5 in gone
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    (_, join) = corpus_pipeline.STAGES[2]
+    assert sorted(r.doc_id for r in join(spark, docs, SF).collect()) == sorted(set(texts) - gone)
