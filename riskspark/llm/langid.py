@@ -4,8 +4,10 @@ n-grams, FTRL-trained with an elastic net, temperature-calibrated.
 Texts are lower-cased, runs of anything but letters become one gap, and all
 character 1-, 2- and 3-grams are hashed to ``DIM`` features. Document frequencies
 (the IDF part) come from all training documents by a distributed sum of ``DIM``
-counters; the weights are fitted in one task on at most ``bound`` training rows (a
-documented parameter), a fifth of which is kept aside to fit the temperature.
+counters; the weights are fitted in one task on the ``bound`` training rows with the
+smallest hashes (a documented parameter) and, so that every language is learned, on
+at least ``PER_LANGUAGE`` rows (or all) of each. A fifth of a language's rows is kept
+aside to fit the temperature.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0.
 Documents without a language are not learned from. With no training document at
@@ -21,16 +23,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows
+from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows, stored
 from riskspark.llm.linear import Ftrl, epochs, probabilities
 from riskspark.llm.quality import fit_task
 
 BITS = 14
 DIM = 1 << BITS
 BOUND = 2000
+PER_LANGUAGE = 100         # rows of each language that are learned whatever its share
 SLICE = 1 << 20            # characters turned into features at a time
 UNDETERMINED = "und"
 
@@ -87,7 +90,10 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, passes: int = 2) ->
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rows = [tfidf(features(t), idf) for t in texts]
-    aside = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 else np.zeros(len(rows), bool)
+    # dealt by language, so that none is known from rows kept aside alone
+    aside = np.zeros(len(rows), bool)
+    for k in range(len(names)):
+        aside[np.flatnonzero(y == k)[4::5]] = True
     train = np.flatnonzero(~aside)
     # a class more than one column: with one language softmax needs a rival
     k = max(2, len(names))
@@ -121,6 +127,20 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return out[:DIM], int(out[DIM])
 
 
+def language_sample(train: DataFrame, bound: int, each: int = PER_LANGUAGE) -> DataFrame:
+    """The rows to learn from, as (doc_id, lang): the ``bound`` smallest hashes of all, and
+    the ``each`` smallest of every language. What is ranked within a language is cut
+    to about ``2 * each + 100`` rows by the hash before, so no language fills a task."""
+    ids = stored(train.where("doc_id IS NOT NULL").select("doc_id", "lang").distinct(), "language-ids")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    h, some = F.xxhash64(F.col("doc_id").cast("string")), 2 * each + 100
+    low = ids.join(F.broadcast(counts), "lang").where(
+        (F.col("n") <= some) | (h < (F.lit(2.0 * some) / F.col("n") - 1) * float(1 << 63)))
+    least = Window.partitionBy("lang").orderBy(h, "doc_id")
+    of_each = low.withColumn("r", F.row_number().over(least)).where(F.col("r") <= each).select("doc_id", "lang")
+    return bounded_sample(ids, "doc_id", bound).union(of_each).distinct()
+
+
 def fit_language(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang", folds: int = 3, held: int = 1) -> Broadcast:
     """The model, broadcast: names and temperature, weights, IDF (fixed size for a
@@ -130,8 +150,9 @@ def fit_language(docs: DataFrame, bound: int = BOUND, id_col: str = "doc_id", te
                     & (fold(F.col("doc_id"), folds) != held)))
     df, n = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    chosen = bounded_sample(train.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", bound)
-    sample = train.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
+    lettered = train.where(F.col("text").rlike(r"\p{L}"))
+    chosen = language_sample(lettered, bound)
+    sample = lettered.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "text", "lang")
 
     def learn(rows):
         rows = [r for r in rows if has_letter(r["text"])]

@@ -167,6 +167,20 @@ def test_languages_held_out(spoken):
     assert all(r.lang_pred == "xx" for r in out if r.doc_id == 903)
 
 
+def test_a_rare_language_is_learned(spark):
+    """Six documents among 600 (one without a letter), a sample of 40: still a language."""
+    rng = random.Random(4)
+    say = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(40))
+    rows = [(k, say(["ka", "to", "ri"]) if k % 2 else say(["sch", "ung", "lich"]), "aa" if k % 2 else "bb") for k in range(600)]
+    rare = [i for i in range(1000, 1100) if held(i, 3) != 1][:6]
+    rows += [(i, "12 !" if i == rare[0] else say(["ñu", "xe", "žo"]), "rr") for i in rare]
+    rows += [(2000 + k, say(["ñu", "xe", "žo"]), None) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in langid.identify_language(docs, bound=40).collect()}
+    assert [out[2000 + k] for k in range(5)] == ["rr"] * 5
+    assert np.mean([out[i] == lang for i, _, lang in rows[:600]]) > 0.97
+
+
 def test_language_features_of_slices_add_up():
     text = "abc déf, ghi! " * 50
     whole = langid.features(text)
