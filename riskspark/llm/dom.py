@@ -58,6 +58,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "option": {"select"}}
+IN_HEAD = frozenset("title style script noscript template noframes".split())      # besides void ones
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What attribute tokens commonly say about a box.
 TOKEN_GROUPS = {
@@ -104,12 +105,15 @@ class Page:
         parts: list[str] = []
         linked = 0
         at, lower = 0, None
+        bare = 0                 # the body implied by text directly under the root
 
         def flush():
-            nonlocal parts, linked
+            nonlocal parts, linked, bare
             if parts:
                 text = " ".join("".join(parts).split())
                 node = stack[-1]
+                if text and node == 0:
+                    node = bare = bare or self.open("body", "", 0)
                 if text and not self.hidden[node]:
                     self.blocks.append((node, text))
                     own = self.own[node]
@@ -123,6 +127,8 @@ class Page:
         def add(text):
             nonlocal linked
             if text:
+                if self.tag[stack[-1]] == "head" and text.strip():
+                    stack.pop()      # text cannot stand in head
                 if "&" in text:
                     text = entities.unescape(text)
                 parts.append(text)
@@ -174,8 +180,11 @@ class Page:
         return m.start() if m else -1
 
     def imply_end(self, stack: list[int], name: str) -> None:
-        """Close what the start of ``name`` closes: a paragraph before any block, and
-        list items or table parts up to their list or table."""
+        """Close what the start of ``name`` closes: the head before anything that cannot
+        stand in it, a paragraph before any block, and list items or table parts up
+        to their list or table."""
+        if self.tag[stack[-1]] == "head" and name not in IN_HEAD:
+            stack.pop()
         closes, stop = CLOSES.get(name, ()), SCOPE.get(name, ())
         if self.tag[stack[-1]] == "p" or (self.tag[stack[-1]] in HEADINGS and name in HEADINGS):
             stack.pop()
@@ -501,6 +510,21 @@ def builtin_pages() -> list[str]:
     return out
 
 
+def builtin_fragments() -> list[tuple[str, int]]:
+    """Inline markup without any box, and whether it is main text: prose is, bare
+    links and a few words are not."""
+    rng = np.random.default_rng(12)
+    syllables = "ta re mi so la ko ne du vi pan ter lum".split()
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))
+    say = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
+    out = []
+    for _ in range(10):
+        out.append((" ".join(f"{say(2, 7)} <b>{word()}</b>, {say(2, 7)}." for _ in range(int(rng.integers(3, 30)))), 1))
+        out.append((" ".join(f'<a href="#">{say(1, 4)}</a>' for _ in range(int(rng.integers(2, 12)))), 0))
+        out.append((say(1, 5), 0))
+    return out
+
+
 def fit(sources: list[str], variants: int = 3) -> Trees:
     sources = [s for s in sources if s] + builtin_pages()
     foreign = [" ".join(t for _, t in Page(s).blocks)[:4000] for s in sources[:200]]
@@ -524,6 +548,9 @@ def fit(sources: list[str], variants: int = 3) -> Trees:
             if made := redressed(s, foreign, 1000 * v + k):
                 page = Page(made[0])
                 learn(page, redressed_labels(page, made[1]))
+    for s, main in builtin_fragments():
+        page = Page(s)
+        learn(page, np.array([-1, main]))
     return boost(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
 
 

@@ -50,6 +50,20 @@ def test_parser_closes_what_browsers_close():
     assert [t for _, t in dom.Page("a<SCRIPT>b</scRipt >c<textarea><p>d</textarea>e<!-- > f -->g<a title='>x'>h</a>").blocks] == ["a", "c", "egh"]
 
 
+def test_head_without_its_end_tag(trees):
+    assert dom.main_text(page().replace("</head>", ""), trees) == TEXT
+    assert dom.main_text(page().replace("</head><body>", ""), trees) == TEXT
+    assert [t for _, t in dom.Page("<head><title>t</title><meta a=b><style>s</style> \n<b>c</b> d<p>e").blocks] == ["c d", "e"]
+    assert [t for _, t in dom.Page("<head><title>t</title><script>s</script></head>c").blocks] == ["c"]
+
+
+def test_text_directly_under_the_root(trees):
+    text = "First paragraph, with several words in it. And a line, closing the story with a few more words, too. " * 4
+    assert dom.main_text(text.replace("several", "<b>several</b>"), trees) == text.strip()
+    p = dom.Page("a <i>b</i><div>c</div>d")
+    assert [t for _, t in p.blocks] == ["a b", "c", "d"] and all(node for node, _ in p.blocks) and not p.own[0][0]
+
+
 def test_decoding_is_consistent():
     import numpy as np
     rng = np.random.default_rng(1)
