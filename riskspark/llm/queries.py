@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.bpe import encode_documents
 from riskspark.llm.common import table
+from riskspark.llm.conversation import damage, repair_report
 from riskspark.llm.dom import extract_main_text
 from riskspark.llm.langid import identify_language
 from riskspark.llm.line_rules import LINE_HOST_PCT, LINE_MIN_DOCS, MIN_LEFT_PCT, quality_rules
@@ -70,7 +71,7 @@ GROUP BY s.rid, s.doc_id, len(s.sh)
 
 @query("op1_ngram_join", OP1_SQL)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP2_SQL = """
@@ -190,3 +191,9 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged as the contract says, then repaired."""
+    return repair_report(damage(table(spark, sf_dir, "conversations")))
