@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm.bpe import encode_documents
+from riskspark.llm.collocations import HELD_PCT, LEAST, TOP, collocations
 from riskspark.llm.common import table
 from riskspark.llm.conversation import damage, repair_report
 from riskspark.llm.dom import extract_main_text
@@ -197,3 +198,51 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged as the contract says, then repaired."""
     return repair_report(damage(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p
+), f1 AS (
+  SELECT lang, word, count(*) AS f FROM (SELECT lang, unnest(ws) AS word FROM w) GROUP BY ALL
+), f2 AS (
+  SELECT lang, g.a AS w1, g.b AS w2, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: {{'a': ws[i], 'b': ws[i+1]}})) AS g FROM w) GROUP BY ALL
+), f3 AS (
+  SELECT lang, g.a AS w1, g.b AS w2, g.c AS w3, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {{'a': ws[i], 'b': ws[i+1], 'c': ws[i+2]}})) AS g FROM w)
+  GROUP BY ALL HAVING count(*) >= {LEAST}
+), totals AS (
+  SELECT lang, sum(f) AS n FROM f1 GROUP BY lang
+), cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f3 t JOIN f1 x ON t.lang = x.lang AND t.w1 = x.word JOIN f2 y ON t.lang = y.lang AND t.w2 = y.w1 AND t.w3 = y.w2
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM f3 t JOIN f2 x ON t.lang = x.lang AND t.w1 = x.w1 AND t.w2 = x.w2 JOIN f1 y ON t.lang = y.lang AND t.w3 = y.word
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2, t.f, 1, x.f, y.f
+  FROM f2 t JOIN f1 x ON t.lang = x.lang AND t.w1 = x.word JOIN f1 y ON t.lang = y.lang AND t.w2 = y.word
+  WHERE t.f >= {LEAST}
+    AND NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = t.lang AND z.w1 = t.w1 AND z.w2 = t.w2 AND 100 * z.f >= {HELD_PCT} * t.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = t.lang AND z.w2 = t.w1 AND z.w3 = t.w2 AND 100 * z.f >= {HELD_PCT} * t.f)
+), scored AS (
+  SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, score
+FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= {TOP}
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
