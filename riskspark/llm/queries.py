@@ -18,6 +18,7 @@ from riskspark.llm.langid import identify_language
 from riskspark.llm.line_rules import LINE_HOST_PCT, LINE_MIN_DOCS, MIN_LEFT_PCT, quality_rules
 from riskspark.llm.ngram_join import jaccard_components
 from riskspark.llm.packing import pack_documents
+from riskspark.llm.personal_data import personal_data_digest
 from riskspark.llm.quality import score_quality
 from riskspark.llm.simhash import edited_fingerprints, near_counts
 from riskspark.llm.toxicity import score_toxicity
@@ -246,3 +247,8 @@ FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= {TOP}
 @query("op12_collocations", OP12_SQL)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
