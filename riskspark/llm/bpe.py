@@ -32,20 +32,29 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import arrow_map, id_text, stored
 
-MEMO_PIECES = 600_000     # entries of a worker's memo; it is emptied beyond that
-GROUP_CHARS = 1 << 20      # texts are encoded in groups of about this many characters
+LONG_TEXT = 100_000        # longer texts are encoded in portions, cut at safe borders
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
 
-DOUBLE_SPACE = re.compile(r"\s\s")
+# Fixed value: the pre-token pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 SPACE = re.compile(r"\s")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in the vocabulary: printable bytes for
+    themselves, the others by the code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Exact ids of a byte-level BPE tokenizer, with a memo of its pieces.
+    """Exact ids of a byte-level BPE tokenizer, given as a tokenizers JSON file.
 
-    White space that stands alone parts a text for good: a space belongs to the word
-    after it, a line feed is a token of its own, and no pre-token spans either."""
+    If ids number the merges in order (checked, see ``merge_ranks``), tiktoken runs the
+    same merges some times faster, without a memo; any other file is left to the
+    tokenizers library. Both give the same ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,102 +64,69 @@ class Encoder:
         self.tok.no_padding()
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.separable = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                           and not spec.get("normalizer")
                           and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or SPACE.search(a["content"])
                                       for a in spec.get("added_tokens", [])))
-        self.newline = self.tok.token_to_id("Ċ")
-        # ids of pieces at the start of a line or standing alone, and after a space
-        self.bare: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}
-        self.feed = b"" if self.newline is None else self.direct("\n")
-        self.strings: list[str] = []
         self.bytes_of: list[bytes] = []
+        self.strings: list[str] = []
+        self.fast = self.merge_ranks(spec["model"]) if self.separable else None
+
+    def merge_ranks(self, model: dict):
+        """The tiktoken encoding of the same merges, or None where it would differ."""
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
+                                                                     "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [vocab["".join(m)] for m in merges]
+        if any(x >= y for x, y in zip(made, made[1:])) or made and min(made) < 256 or len(vocab) - len(self.added.keys() & vocab.keys()) != 256 + len(made):
+            return None
+        import tiktoken
+        byte_of = byte_alphabet()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.added}
+        fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+        # every token's own text must come out as the library gives it
+        probe = [t for t in (b.decode("utf-8", "ignore") for b in ranks) if t]
+        same = all(fast.encode(t, allowed_special="all") == x.ids
+                   for t, x in zip(probe, self.tok.encode_batch_fast(probe, add_special_tokens=False)))
+        return fast if same else None
 
-    def direct(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def learn(self, missing: list[str], into: dict[str, bytes], lead: str) -> None:
-        """Ids of ``lead + piece``; pieces without white space are encoded together,
-        set apart by line feeds, whose ids part the result again."""
-        plain = [m for m in missing if m and not SPACE.search(m)] if self.newline is not None else []
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            joined = lead + ("\n" + lead).join(part)
-            ids = np.asarray(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            if len(ends) != len(part):
-                plain = plain[:at]
+    def encode(self, text: str) -> np.ndarray:
+        if not self.separable or len(text) <= LONG_TEXT:
+            return self.portion(text)
+        return np.concatenate([self.portion(p) for p in self.portions(text)])
+
+    def portion(self, text: str) -> np.ndarray:
+        if self.fast is not None and len(text) <= 2 * LONG_TEXT:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    @staticmethod
+    def portions(text: str) -> list[str]:
+        """Parts of a long text, cut at safe borders at least half of LONG_TEXT apart;
+        a part without a border may be longer."""
+        parts, at = [], 0
+        while len(text) - at > LONG_TEXT:
+            cut = SAFE_CUT.search(text, at + LONG_TEXT // 2)
+            if cut is None:
                 break
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends):
-                into[piece] = raw[4 * start:4 * end]
-                start = end + 1
-        done = set(plain)
-        for piece in missing:
-            if piece not in done:
-                into[piece] = self.direct(lead + piece)
+            parts.append(text[at:cut.start()])
+            at = cut.start()
+        return [*parts, text[at:]]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.separable:
-            return [np.frombuffer(self.direct(t), np.uint32) for t in texts]
-        out, group, size = [], [], 0
+        """Equal texts are encoded once."""
+        known: dict[str, np.ndarray] = {}
         for t in texts:
-            group.append(t)
-            size += len(t)
-            if size >= GROUP_CHARS:
-                out += self.encode_group(group)
-                group, size = [], 0
-        return out + self.encode_group(group)
-
-    def encode_group(self, texts: list[str]) -> list[np.ndarray]:
-        """Where white space is single, a line is a first word and space-led words;
-        other texts are cut at safe borders into pieces kept as they are."""
-        if len(self.bare) + len(self.led) > MEMO_PIECES:
-            self.bare.clear()
-            self.led.clear()
-        simple = [not (t[:1].isspace() or DOUBLE_SPACE.search(t)) for t in texts]
-        cut = [[line.split(" ") for line in t.split("\n")] if s else SAFE_CUT.split(t) for t, s in zip(texts, simple)]
-        first: set[str] = set()
-        rest: set[str] = set()
-        for c, s in zip(cut, simple):
-            if s:
-                first.update(line[0] for line in c)
-                for line in c:
-                    rest.update(line[1:])
-            else:
-                first.update(c)
-        if new := list(first - self.bare.keys()):
-            self.learn(new, self.bare, "")
-        if new := list(rest - self.led.keys()):
-            self.learn(new, self.led, " ")
-        bare, led, feed = self.bare, self.led.__getitem__, self.feed
-        out = []
-        for c, s in zip(cut, simple):
-            if s:
-                parts = []
-                for line in c:
-                    words = iter(line)
-                    parts.append(bare[next(words)])
-                    parts.extend(map(led, words))
-                    parts.append(feed)
-                parts.pop()
-            else:
-                parts = map(bare.__getitem__, c)
-            out.append(np.frombuffer(b"".join(parts), np.uint32))
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+            if t not in known:
+                known[t] = self.encode(t)
+        return [known[t] for t in texts]
 
     def tables(self) -> None:
         """Decimal text and bytes of every id (added tokens by their content)."""
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        # the byte alphabet: printable bytes stand for themselves, the others for
-        # the code points from 256 on
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in printable}
-        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        byte_of = byte_alphabet()
         added = {a["id"]: a["content"].encode() for a in json.loads(self.tok.to_str()).get("added_tokens", [])}
         self.bytes_of = [b""] * size
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -170,7 +146,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file; its memo outlives a task."""
+    """One encoder per worker process and file."""
     return Encoder(path)
 
 
@@ -288,7 +264,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         yield {"doc_id": b.column(0).to_pylist(), "ih": b.column(2).to_pylist(), "th": b.column(3).to_pylist(),
                "packed": [squeeze(t.encode("utf-8")) for t in b.column(1).to_pylist()]}
 
-    # the texts, compressed, are dealt out once by their key; both joins use that
+    # the texts, compressed, are dealt out once by their key; both joins use that one
+    # exchange (each reads all its columns, or they would be two)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = arrow_map(d, pack, f"doc_id {kind}, ih long, th long, packed binary").repartition(width, "ih", "th")
 
@@ -299,7 +276,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def encode_shared(b: pa.RecordBatch):
         enc = encoder(tokenizer_path)
         keys, chunks, done = [], [], set()
-        for t, want in zip(unpack(b.column(0)), b.column(1).to_pylist()):
+        for t, want in zip(unpack(b.column(1)), b.column(2).to_pylist()):
             parts = dict(zip(*split_chunks(t)))
             for w in want:
                 if w["key"] not in done:
@@ -309,7 +286,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         yield {"key": keys, "ids": [x.tobytes() for x in enc.encode_many(chunks)]}
 
     # rows that repeat share their key: their chunks are encoded once all the same
-    encoded = arrow_map(dealt.join(wanted, ["ih", "th"]).select("packed", "wanted"), encode_shared, "key binary, ids binary").dropDuplicates(["key"])
+    encoded = arrow_map(dealt.join(wanted, ["ih", "th"]).select("doc_id", "packed", "wanted"), encode_shared, "key binary, ids binary").dropDuplicates(["key"])
     # one row per document: the ids of its shared chunks
     ready = (refs.join(encoded, "key").select("ih", "th", F.struct("pos", "ids").alias("c"))
              .groupBy("ih", "th").agg(F.collect_list("c").alias("ready")))
