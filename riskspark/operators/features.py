@@ -18,6 +18,7 @@ from riskspark.operators import ranking
 from riskspark.operators.columns import col, num
 
 MAX_LEVELS = 1000  # wide one-hot: levels become columns
+MAX_FOLDS = 1000   # folds of one cross-validation
 
 
 # ------------------------------------------------------------ scaler (FE8)
@@ -224,19 +225,61 @@ VARIANT_NAMES = ("baseline", "winsorize_1_99", "log1p")
 def variants(train: DataFrame, cols: Sequence[str], names: Sequence[str] = VARIANT_NAMES) -> dict:
     """FE11 fit: baseline (impute + scale), winsorize_1_99 (+clip), log1p
     (+train shift), each scaled on train. Returns params per requested variant."""
-    from riskspark.operators.outlier import apply_log_shift, apply_winsorize, fit_log_shift, fit_winsorize
-    med = fit_medians(train, cols)
-    filled = apply_impute(train, med)
+    return _fit_variants(train, cols, names)[()]
+
+
+def fold_variants(folds: DataFrame, cols: Sequence[str], names: Sequence[str] = VARIANT_NAMES, fold: str = "fold") -> dict[int, dict]:
+    """FE11 parameters of every leave-one-fold-out training set: fold -> variant -> params.
+
+    A row counts for each training set that it is in, combined map-side, so all
+    sets are fitted by the same few jobs, however many folds and variants there are."""
+    ids = [r[0] for r in folds.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(ids) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
+    sets = folds.select(*[col(c) for c in cols], col(fold), F.explode(F.array(*[F.lit(i) for i in sorted(ids)])).alias("_without"))
+    fitted = _fit_variants(sets.where(F.col("_without") != col(fold)).drop(fold), cols, names, "_without")
+    return {group[0]: params for group, params in fitted.items()}
+
+
+def _fit_variants(rows: DataFrame, cols: Sequence[str], names: Sequence[str], by: str | None = None) -> dict[tuple, dict]:
+    """Parameters per group: medians, then quantiles and minimum of the filled columns,
+    then mean and deviation of every variant's columns in one aggregate."""
+    keys, cols = [by] if by else [], list(cols)
+    med = {g: {c: v[0] for c, v in per.items()} for g, per in ranking.percentiles(rows, cols, [0.5], keys).items()}
+
+    def pick(values: dict):
+        """A group's own number, as a literal per group."""
+        if not by:
+            return F.lit(values.get(())).cast("double")
+        out = F.lit(None).cast("double")
+        for g, v in values.items():
+            out = F.when(F.col(by) == g[0], F.lit(v)).otherwise(out)
+        return out
+
+    filled = rows.select(*keys, *[F.coalesce(num(c), pick({g: m[c] for g, m in med.items()})).alias(f"c{i}") for i, c in enumerate(cols)])
+    mine = [f"c{i}" for i in range(len(cols))]
+    ps = ranking.percentiles(filled, mine, [0.0, 0.01, 0.99], keys) if set(names) - {"baseline"} else {}
+    bounds = {g: {c: (per[m][1], per[m][2]) for c, m in zip(cols, mine)} for g, per in ps.items()}
+    shift = {g: {c: -per[m][0] if per[m][0] is not None and per[m][0] < 0 else 0.0 for c, m in zip(cols, mine)} for g, per in ps.items()}
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(mine[i])
+        lo, hi = (pick({g: b[c][side] for g, b in bounds.items()}) for side in (0, 1))
+        forms = {"baseline": x, "winsorize_1_99": F.when(x.isNotNull(), F.greatest(F.least(x, hi), lo)),
+                 "log1p": F.log1p(x + pick({g: s[c] for g, s in shift.items()}))}
+        for v in names:
+            aggs += [F.avg(forms[v]).alias(f"m{i}_{v}"), F.stddev_pop(forms[v]).alias(f"s{i}_{v}")]
     out = {}
-    if "baseline" in names:
-        out["baseline"] = {"medians": med, "scaler": fit_scaler(filled, cols)}
-    if "winsorize_1_99" in names:
-        b = fit_winsorize(filled, cols, 0.01, 0.99)
-        out["winsorize_1_99"] = {"medians": med, "bounds": b,
-                                 "scaler": fit_scaler(apply_winsorize(filled, b), cols)}
-    if "log1p" in names:
-        sh = fit_log_shift(filled, cols)
-        out["log1p"] = {"medians": med, "shift": sh, "scaler": fit_scaler(apply_log_shift(filled, sh), cols)}
+    for r in filled.groupBy(*keys).agg(*aggs).limit(MAX_FOLDS + 1).collect():
+        g = (r[by],) if by else ()
+
+        def scaler(v, r=r):
+            pairs = ((c, r[f"m{i}_{v}"], r[f"s{i}_{v}"]) for i, c in enumerate(cols))
+            return {c: (0.0 if m is None else float(m), 1.0 if not s else float(s)) for c, m, s in pairs}
+
+        more = {"baseline": {}, "winsorize_1_99": {"bounds": bounds.get(g)}, "log1p": {"shift": shift.get(g)}}
+        nothing = dict.fromkeys(cols)
+        out[g] = {v: {"medians": med.get(g, nothing), **more[v], "scaler": scaler(v)} for v in names}
     return out
 
 

@@ -6,38 +6,37 @@
   inside the model (the variants are already scaled).
 * MDL3 boosted trees (re-aimed from XGBoost: 100 rounds, depth 6, step 0.3),
   MDL4 random forest (200 trees).
-* MDL5 k-fold CV: every fold refits its preprocessing on the fold's own
-  training part, scores its held-out part, and all fold scores are ranked
-  in ONE grouped job (exact AUC / step-wise AP). Logistic fits overlap on a
-  small driver thread pool; the boosted trees of the whole grid are one job
-  (:mod:`riskspark.operators.boosting`, bounded fit rows).
+* MDL5 k-fold CV: the preprocessing of every training set is fitted by the
+  same few jobs (:func:`riskspark.operators.features.fold_variants`), both
+  kinds of model see all rows of one materialised fold table, a bounded
+  number of fits runs at once, each in a scheduler pool of its own, and all
+  fold scores are ranked in ONE grouped job (exact AUC / step-wise AP).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators import boosting
-from riskspark.operators.columns import num
+from riskspark.operators.columns import col
 from riskspark.operators.evaluate import rank_metrics
+from riskspark.operators.features import MAX_FOLDS
 from riskspark.operators.split import stratified_folds
-from riskspark.session import ship
 
 SEED = 42
 # Model settings of the compared estimators.
 LOGISTIC_C = 1.0
 GBT_ROUNDS, GBT_DEPTH, GBT_STEP = 100, 6, 0.3
+# In a CV grid a fit ends before GBT_ROUNDS when a tenth of its training rows, by the hash
+# of their key, gains less than this share of its loss by a round.
+GBT_HELD_SHARE, GBT_TOLERANCE = 10, 0.01
 RF_TREES = 200
 # The compared forest grows full trees; Spark's deepest setting is 30. Depth 12 parts the
 # rows of these tables nearly fully at a bounded number of nodes per level.
@@ -62,11 +61,14 @@ def _assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_model(train: DataFrame, cols: Sequence[str], kind: str, label: str = "label"):
-    """Fit one estimator on ``train`` (a DataFrame of numeric ``cols``)."""
+def fit_model(train: DataFrame, cols: Sequence[str], kind: str, label: str = "label", counts: dict | None = None,
+              held: str | None = None):
+    """Fit one estimator on ``train`` (a DataFrame of numeric ``cols``). ``counts``: its
+    rows per class, if they are known; ``held``: a boolean column of rows on which
+    boosted trees decide when to stop (all rounds without it)."""
     t = _assemble(train, cols)
     if kind == "logistic":
-        counts = _class_counts(train, label)
+        counts = counts or _class_counts(train, label)
         t = _with_weight(t, balanced_weights(counts), label)
         total = sum(counts.values())  # balanced weights sum to the row count
         est = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
@@ -74,11 +76,14 @@ def fit_model(train: DataFrame, cols: Sequence[str], kind: str, label: str = "la
                                  maxIter=200)
     elif kind == "gbt":
         # partitions sized to the rows: a tree level is a job, and tiny tasks cost more
-        # than they do; row-to-node ids are kept instead of walking the tree again
-        t = t.select("features", label)
-        t = t.repartition(max(1, -(-t.count() // GBT_PARTITION_ROWS))).persist()
+        # than they do
+        t = t.select("features", label, *([held] if held else []))
+        n = sum(counts.values()) if counts else t.count()
+        t = t.repartition(max(1, -(-n // GBT_PARTITION_ROWS))).persist()
         est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=GBT_ROUNDS, maxDepth=GBT_DEPTH,
-                            stepSize=GBT_STEP, seed=SEED, cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=512)
+                            stepSize=GBT_STEP, seed=SEED, checkpointInterval=-1, maxMemoryInMB=512)
+        if held:
+            est = est.setParams(validationIndicatorCol=held, validationTol=GBT_TOLERANCE)
         try:
             return est.fit(t)
         finally:
@@ -105,86 +110,60 @@ def score(model, df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
 
 def cross_validate(df: DataFrame, cols: Sequence[str], key: str, label: str = "label",
                    models: Sequence[str] = ("logistic", "gbt"), k: int = 5, seed: int = SEED,
-                   prepare: Callable[[DataFrame, DataFrame], dict[str, tuple[DataFrame, DataFrame]]] | None = None,
+                   prepare: Callable[[DataFrame], dict[tuple[str, int], Callable[[DataFrame], DataFrame]]] | None = None,
                    threads: int = 8, folds: DataFrame | None = None) -> DataFrame:
     """MDL5: fold scores (variant, model, fold, n_pos, n_neg, roc_auc, ap).
 
-    ``prepare(train, test)`` returns {variant: (train_x, test_x)} fitted on
-    ``train`` only; the default is one identity variant ``raw``. ``folds``
-    (``df`` with a ``fold`` column) may be passed to reuse one assignment
-    across several CV runs.
-    """
-    own = folds is None
-    folds = (stratified_folds(df, label, key, k, seed) if own else folds).persist()
-    prepare = prepare or (lambda tr, te: {"raw": (tr, te)})
-
-    def prepared(i: int) -> list:
-        tr, te = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        return [(v, i, a, b) for v, (a, b) in prepare(tr, te).items()]
+    ``prepare(folds)`` fits the preprocessing of every cell at once and returns, per
+    (variant, fold), a projection fitted on the other folds; the default is one
+    identity variant ``raw``. ``folds`` (``df`` with a ``fold`` column) may be passed
+    to reuse one assignment across several CV runs. At most ``threads`` fits run at
+    once, whatever the grid; the result has a row per cell and model."""
+    sc = df.sparkSession.sparkContext
+    table = (stratified_folds(df, label, key, k, seed) if folds is None else folds).persist()
 
     def fitted(task) -> DataFrame:
-        variant, i, tr, te, m = task
-        s = score(fit_model(tr, cols, m, label), te, cols, keep=[label])
-        return s.select(F.lit(variant).alias("variant"), F.lit(m).alias("model"), F.lit(i).alias("fold"), label, "score")
+        (variant, i), project, m = task
+        sc.setLocalProperty("spark.scheduler.pool", f"cv-{variant}-{i}-{m}")
+        try:
+            train, test = project(table.where(F.col("fold") != i)), project(table.where(F.col("fold") == i))
+            held = None
+            if m == "gbt":
+                held = "_held"
+                train = train.withColumn(held, F.pmod(F.xxhash64(col(key).cast("string")), F.lit(GBT_HELD_SHARE)) == 0)
+            model = fit_model(train, cols, m, label, counts[i], held)
+            return score(model, test, cols, keep=[label]).select(
+                F.lit(variant).alias("variant"), F.lit(m).alias("model"), F.lit(i).alias("fold"), label, "score")
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
 
     try:
-        # independent fits overlap: each is a chain of small jobs
+        counts = _counts_without(table, label)
+        cells = prepare(table) if prepare else {("raw", i): (lambda d: d) for i in range(k)}
+        # the long fits first
+        tasks = [(c, project, m) for m in sorted(models) for c, project in cells.items()]
         with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-            tasks = [t for ts in pool.map(prepared, range(k)) for t in ts]
-            parts = list(pool.map(fitted, [(*t, m) for t in tasks for m in models if m != "gbt"]))
-        if "gbt" in models:
-            parts.append(boosted_grid(tasks, cols, key, label))
+            parts = list(pool.map(fitted, tasks))
         scored = reduce(lambda a, b: a.unionByName(b), parts)
-        return rank_metrics(scored, "score", label, by=["variant", "model", "fold"])
+        metrics = rank_metrics(scored, "score", label, by=["variant", "model", "fold"])
+        # a row per cell and model: computed before the fold table is released
+        return df.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
     finally:
-        if own:
-            folds.unpersist()
-
-
-def boosted_grid(tasks: Sequence[tuple], cols: Sequence[str], key: str, label: str = "label",
-                 fit_rows: int = boosting.FIT_ROWS) -> DataFrame:
-    """Boosted trees for every (variant, fold, train, test) of a CV grid: one job fits
-    them all, one group each, on at most about ``fit_rows`` rows; the models (a few
-    dozen, of bounded size) then score the held-out rows where they lie."""
-    cols = list(cols)
-
-    def frame(side: int) -> DataFrame:
-        parts = [t[side].select(F.lit(f"{t[0]}|{t[1]}").alias("cell"), F.col(label).cast("int").alias("y"),
-                                F.xxhash64(F.col(key).cast("string")).alias("h"), F.array(*[num(c) for c in cols]).alias("x"))
-                 for t in tasks]
-        return reduce(lambda a, b: a.unionByName(b), parts)
-
-    train = frame(2)
-    ship(train.sparkSession)
-    largest = train.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    rate = min(1.0, fit_rows / max(largest, 1))
-    if rate < 1:
-        train = train.where(F.pmod("h", F.lit(1_000_000)) < int(rate * 1_000_000))
-
-    def matrix(column) -> np.ndarray:
-        return np.array(column.to_pylist(), float).reshape(-1, len(cols))
-
-    def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by("h")
-        m = boosting.fit_trees(matrix(t.column("x")), t.column("y").to_numpy().astype(float), GBT_ROUNDS, GBT_DEPTH, GBT_STEP)
-        return pa.table({"cell": [t.column("cell")[0].as_py()], "model": [boosting.dump(m)]})
-
-    models = dict(map(tuple, train.groupBy("cell").applyInArrow(fit, "cell string, model string").collect()))
-    test = frame(3)
-    sent = test.sparkSession.sparkContext.broadcast(models)
-
-    def predict(batches):
-        for b in batches:
-            cells, x = np.array(b.column("cell").to_pylist(), object), matrix(b.column("x"))
-            out = np.zeros(len(cells))
-            for c in set(cells.tolist()):
-                at = cells == c
-                out[at] = boosting.predict_trees(json.loads(sent.value[c]), x[at])
-            yield pa.RecordBatch.from_pydict({"cell": cells.tolist(), "y": b.column("y"), "score": out})
-
-    s = test.select("cell", "y", "x").mapInArrow(predict, "cell string, y int, score double")
-    at = F.split("cell", r"\|")
-    return s.select(at[0].alias("variant"), F.lit("gbt").alias("model"), at[1].cast("int").alias("fold"), F.col("y").alias(label), "score")
+        table.unpersist()
+
+
+def _counts_without(folds: DataFrame, label: str) -> dict[int, dict]:
+    """Fold -> rows per class of all other folds: totals less the fold's own."""
+    own: dict = {}
+    for r in folds.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES * MAX_FOLDS + 1).collect():
+        own.setdefault(r["fold"], {})[r[label]] = int(r["n"])
+    total: dict = {}
+    for per in own.values():
+        for c, n in per.items():
+            total[c] = total.get(c, 0) + n
+    if len(total) > MAX_CLASSES:
+        raise ValueError(f"{label}: more than {MAX_CLASSES} values are not classes")
+    return {i: {c: n - per.get(c, 0) for c, n in total.items() if n > per.get(c, 0)} for i, per in own.items()}
 
 
 def linear_hint(summary: DataFrame, linear: str = "logistic", tree: str = "gbt",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import boosting, discriminant, evaluate, features, outlier, profile, schema
+from riskspark.operators import discriminant, evaluate, features, outlier, profile, schema
 from riskspark.operators.columns import join_null_safe, num
 from riskspark.operators.split import stratified_folds, stratified_split
 from riskspark.session import checkpoint_dir
@@ -108,15 +108,6 @@ def test_sweep_equals_clipping_one_rule_after_another(spark):
     assert outlier.sweep(df.where("v < 0"), "v", th).collect() == []
 
 
-def test_boosted_trees_learn_an_interaction():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 3))
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
-    m = boosting.fit_trees(x[:3000], y[:3000], 40, 4, 0.3)
-    p = boosting.predict_trees(json.loads(boosting.dump(m)), x[3000:])
-    assert ((p > 0.5) == y[3000:]).mean() > 0.95
-
-
 def test_cluster_needs_a_shared_folder():
     class Context:
         master = "yarn"
