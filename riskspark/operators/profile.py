@@ -10,6 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from riskspark.operators import ranking
 from riskspark.operators.columns import is_missing, join_null_safe, num
 
 _Q3 = [0.25, 0.5, 0.75]
+PLAIN_WIDTH = 24                          # columns up to which all pairs are terms of one aggregate
+SKETCH_K = 4000                           # a KLL sketch of this size ranks within 0.2 % of the rows
+KDE_CELLS, KDE_TERMS, KDE_REACH = 10, 9, 9      # cells per bandwidth, terms of the expansion, reach in bandwidths
 
 
 def _stack(row_df: DataFrame, names: Sequence[str], fields: Sequence[str], prefix_of) -> DataFrame:
@@ -130,6 +136,28 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], approx: bool = False
                                  "q double, value double")
 
 
+def sketch_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: str, k: int = SKETCH_K) -> DataFrame:
+    """AGG7, approximate: quantiles (q, value) from a KLL sketch per ``by`` group, merged.
+    Sketches are small rows, so they can be kept and merged with later ones."""
+    kept = df.where(num(col).isNotNull()).groupBy(by).agg(F.kll_sketch_agg_double(num(col), F.lit(k)).alias("sketch"))
+    merged = kept.agg(F.kll_merge_agg_double("sketch").alias("sketch")).where(F.col("sketch").isNotNull())
+    pairs = [F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value")) for q in qs]
+    return merged.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
+
+
+def rank_errors(df: DataFrame, col: str, quantiles_df: DataFrame) -> DataFrame:
+    """(q, value, error): how far the rank of ``value`` lies from q, as a share of the
+    rows; equal values cover all ranks between the first and the last of them."""
+    v = num(col)
+    qs = quantiles_df.collect()         # a row per wanted quantile
+    wide = df.agg(F.count(v).alias("n"), *[e for i, r in enumerate(qs) for e in (
+        F.count_if(v < F.lit(r["value"])).alias(f"l{i}"), F.count_if(v <= F.lit(r["value"])).alias(f"u{i}"))])
+    n = F.col("n")
+    off = [F.greatest(F.lit(0.0), F.col(f"l{i}") / n - F.lit(r["q"]), F.lit(r["q"]) - F.col(f"u{i}") / n) for i, r in enumerate(qs)]
+    rows = F.array(*[F.struct(F.lit(r["q"]).alias("q"), F.lit(r["value"]).alias("value"), e.alias("error")) for r, e in zip(qs, off)])
+    return wide.select(F.explode(rows).alias("s")).select("s.*")
+
+
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """AGG8: per-column exact median as a small dict (a fitted parameter)."""
     return {c: v[0] for c, v in ranking.percentiles(df, cols, [0.5])[()].items()}
@@ -184,8 +212,11 @@ def mad(df: DataFrame, col: str) -> tuple[float | None, float | None]:
 
 def correlation(df: DataFrame, cols: Sequence[str], top_k: int | None = None) -> DataFrame:
     """AGG14: long Pearson matrix (f1, f2, corr), pairwise-complete; all columns, or
-    the ``top_k`` with the largest variance. One aggregate of d(d+1)/2 terms."""
+    the ``top_k`` with the largest variance. One aggregate of d(d+1)/2 terms, or, for
+    many columns, one masked Gram matrix."""
     cols = top_variance_names(df, cols, top_k) if top_k and len(cols) > top_k else list(cols)
+    if len(cols) > PLAIN_WIDTH:
+        return _wide_pairs(df, cols, "corr")
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
@@ -199,8 +230,61 @@ def correlation(df: DataFrame, cols: Sequence[str], top_k: int | None = None) ->
     return wide.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*")
 
 
+def _wide_pairs(df: DataFrame, cols: Sequence[str], want: str) -> DataFrame:
+    """Pairwise-complete ``corr`` or ``cov`` of many columns from second moments.
+
+    A row becomes the vector ``[z*m, m, z^2*m]`` (m: 1 where the value is present, z: the
+    value less its mean, by its deviation). Spark ML's summarizer and correlation give
+    the vector's mean and covariance, tree aggregates on the executors; every sum over
+    the rows that have both of two columns is one entry of them. The driver holds
+    9 * d * d numbers."""
+    d = len(cols)
+    values = df.select(F.array(*[num(c) for c in cols]).alias("x"))
+
+    def masked(rows):
+        return rows.select(F.concat(
+            F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))), F.transform("x", lambda v: v.isNotNull().cast("double")),
+            F.transform("x", lambda v: F.coalesce(v * v, F.lit(0.0)))).alias("v")).select(array_to_vector("v").alias("v"))
+
+    # a first scan for the centre and scale, which only keep the sums well-conditioned
+    s = masked(values).select(Summarizer.metrics("count", "mean").summary(F.col("v")).alias("s")).first()["s"]
+    about = np.array(s["mean"].toArray() if s["count"] else np.zeros(3 * d)).reshape(3, d)
+    share = np.where(about[1] > 0, about[1], 1.0)
+    mean = about[0] / share
+    scale = np.sqrt(np.clip(about[2] / share - mean ** 2, 0, None))
+    scale[scale == 0] = 1.0
+    centres, scales = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, scale))
+    rows = masked(values.select(F.transform("x", lambda v, i: (v - F.get(centres, i)) / F.get(scales, i)).alias("x")))
+    s = rows.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
+    n = int(s["count"])
+    out = [[None] * d for _ in range(d)]
+    if n > 1:
+        mu, sd = np.array(s["mean"].toArray()), np.sqrt(np.array(s["variance"].toArray()))
+        corr = np.nan_to_num(Correlation.corr(rows, "v").first()[0].toArray())
+        np.fill_diagonal(corr, 1.0)
+        # sums over rows of products of two entries
+        total = corr * np.outer(sd, sd) * (n - 1) + n * np.outer(mu, mu)
+        z, m, q = slice(0, d), slice(d, 2 * d), slice(2 * d, 3 * d)
+        both, sx, sxx, sxy = np.rint(total[m, m]), total[z, m], total[q, m], total[z, z]
+        for i in range(d):
+            for j in range(d):
+                k = both[i, j]
+                if k < 2:
+                    continue
+                cov = (sxy[i, j] - sx[i, j] * sx[j, i] / k) / (k - 1)
+                vi, vj = ((sxx[a, b] - sx[a, b] ** 2 / k) / (k - 1) for a, b in ((i, j), (j, i)))
+                if want == "cov":
+                    out[i][j] = float(cov * scale[i] * scale[j])
+                elif vi > 1e-12 and vj > 1e-12:
+                    out[i][j] = float(min(1.0, max(-1.0, cov / math.sqrt(vi * vj))))
+    return df.sparkSession.createDataFrame([(a, b, out[i][j]) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+                                           f"f1 string, f2 string, {want} double")
+
+
 def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """AGG23: long sample covariance (f1, f2, cov)."""
+    """AGG23: long sample covariance (f1, f2, cov), pairwise-complete."""
+    if len(cols) > PLAIN_WIDTH:
+        return _wide_pairs(df, list(cols), "cov")
     aggs, pairs = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
@@ -248,9 +332,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> DataFrame:
     """AGG17: Gaussian KDE on a regular grid (Scott bandwidth), as plot data.
 
-    One wide aggregate of ``grid_size`` kernel sums over the raw rows: a
-    single scan, partial sums combined map-side, no row multiplication.
-    """
+    A row costs the same whatever the grid: rows are counted in cells of a tenth of the
+    bandwidth, with the power sums of their places in the cell. A cell's kernel sum at a
+    grid point is its Hermite expansion (at |u| <= 1/20 the terms left out are below
+    1e-15), taken only at grid points within ``KDE_REACH`` bandwidths; further ones
+    would get less than 1e-17 of a row."""
     x = num(col)
     st = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"),
                 F.max(x).alias("mx")).first()
@@ -260,13 +346,29 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
         return spark.createDataFrame([], "grid_id int, x double, density double")
     h = sd * n ** (-0.2)
     lo, hi = st["mn"] - cut * h, st["mx"] + cut * h
-    pts = [lo + (hi - lo) * k / (grid_size - 1) for k in range(grid_size)]
-    aggs = [F.sum(F.exp(-F.pow((F.lit(g) - x) / F.lit(h), 2) / 2)).alias(f"k{k}") for k, g in enumerate(pts)]
-    wide = df.where(x.isNotNull()).agg(*aggs)
-    norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    parts = [F.struct(F.lit(k).alias("grid_id"), F.lit(g).alias("x"), (F.col(f"k{k}") * norm).alias("density"))
-             for k, g in enumerate(pts)]
-    return wide.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*")
+    step = (hi - lo) / (grid_size - 1)
+    width = h / KDE_CELLS
+    u = (x - F.lit(lo)) / F.lit(width)
+    placed = df.where(x.isNotNull()).select(F.floor(u).alias("cell"), ((u - F.floor(u) - 0.5) / KDE_CELLS).alias("u"))
+    cells = placed.groupBy("cell").agg(*[F.sum(F.pow("u", k) / math.factorial(k)).alias(f"p{k}") for k in range(KDE_TERMS)])
+    centre = F.lit(lo) + (F.col("cell") + 0.5) * F.lit(width)
+    near = lambda side: (centre + F.lit(side * KDE_REACH * h) - F.lit(lo)) / F.lit(step)
+    ids = F.sequence(F.greatest(F.ceil(near(-1)), F.lit(0)).cast("int"), F.least(F.floor(near(1)), F.lit(grid_size - 1)).cast("int"))
+    some = F.ceil(near(-1)) <= F.floor(near(1))       # a coarse grid may have no point in reach
+    t = (F.lit(lo) + F.col("grid_id") * F.lit(step) - centre) / F.lit(h)
+    at = cells.where(some).select("*", F.explode(ids).alias("grid_id")).withColumn("t", t)
+    # Hermite polynomials, a column each
+    for k in range(2, KDE_TERMS):
+        before = F.col(f"h{k - 1}") if k > 2 else F.col("t")
+        at = at.withColumn(f"h{k}", F.col("t") * before - (k - 1) * (F.col(f"h{k - 2}") if k > 3 else F.col("t") if k == 3 else F.lit(1.0)))
+    terms = F.col("p0") + F.col("p1") * F.col("t")
+    for k in range(2, KDE_TERMS):
+        terms = terms + F.col(f"p{k}") * F.col(f"h{k}")
+    sums = at.groupBy("grid_id").agg(F.sum(F.exp(-F.col("t") * F.col("t") / 2) * terms).alias("kernel"))
+    grid = spark.range(grid_size).select(F.col("id").cast("int").alias("grid_id"), (F.lit(lo) + F.col("id") * F.lit(step)).alias("x"))
+    # sums has at most a row per grid point
+    return grid.join(F.broadcast(sums), "grid_id", "left").select(
+        "grid_id", "x", (F.coalesce("kernel", F.lit(0.0)) / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 # ------------------------------------------------------------------ AGG18

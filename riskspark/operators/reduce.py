@@ -31,6 +31,8 @@ NAMING_RULES = [
 ]
 FALLBACK_PREFIX = "综合因子"  # followed by the component number
 
+PLAIN_WIDTH = 24           # columns up to which all pairs fit one generated aggregate
+
 
 @dataclass
 class PCAModel:
@@ -64,11 +66,29 @@ def _exprs(df: DataFrame, cols: Sequence[str] | None, vector: str | None):
     return [num(c) for c in cols], list(cols)
 
 
+def _plain_covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    d = len(cols)
+    rows = df.select(*[num(c).alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    r = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(d)],
+                 *[F.covar_samp(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs]).first()
+    n = int(r["n"])
+    if n == 0:
+        return 0, np.zeros(d), np.zeros((d, d))
+    cov = np.zeros((d, d))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = r[f"v{i}_{j}"] or 0.0
+    return n, np.array([float(r[f"m{i}"]) for i in range(d)]), cov if n > 1 else np.zeros((d, d))
+
+
 def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, sample covariance) of complete rows, one way for every width: the
     rows become vectors, Spark ML's summarizer gives count, means and variances, and
     its correlation (a tree aggregate of the Gram matrix on the executors) the rest.
-    The driver holds d * d numbers."""
+    Few columns need no vectors: one aggregate in generated code, one scan. The driver
+    holds d * d numbers either way."""
+    if len(cols) <= PLAIN_WIDTH:
+        return _plain_covariance(df, cols)
     va = VectorAssembler(inputCols=list(cols), outputCol="_vec", handleInvalid="skip")
     v = va.transform(df.select(*[num(c).alias(c) for c in cols]).dropna()).select("_vec")
     s = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_vec")).alias("s")).first()["s"]

@@ -116,6 +116,13 @@ def agg7_quantiles_approx(spark, d):
     return rounded(P.quantiles(table(spark, d, "events"), "value", AGG7_QS, approx=True))
 
 
+@register("agg7_sketch_rank_errors", _ua([f"SELECT CAST({q} AS DOUBLE) AS q, true AS within" for q in AGG7_QS]))
+def agg7_sketch_rank_errors(spark, d):
+    """Merged KLL sketches, one per event type: every quantile's rank lies within the bound."""
+    ev = table(spark, d, "events")
+    return P.rank_errors(ev, "value", P.sketch_quantiles(ev, "value", AGG7_QS, "event_type")).select("q", (F.col("error") <= 0.005).alias("within"))
+
+
 @register("agg8_medians", rsql(_ua([f"SELECT '{c}' AS feature, median({c}) AS median FROM lineitem"
                                     for c in LI_COLS]), ["median"]))
 def agg8_medians(spark, d):
@@ -198,6 +205,36 @@ def agg23_covariance(spark, d):
     return rounded(P.covariance(table(spark, d, "lineitem"), LI_COLS), 3)
 
 
+WIDE = 300
+
+
+def _wide_columns(spark, d):
+    """300 columns with missing values, from the 64 places of the embeddings."""
+    e = lambda j: F.col("embedding")[j % 64].cast("double")
+    value = lambda j: e(j) if j < 64 else e(j) * e(7 * j + 1) + e(j // 64)
+    return table(spark, d, "embeddings").select(*[F.when((F.col("vec_id") + j) % 11 != 0, value(j)).alias(f"f{j}") for j in range(WIDE)])
+
+
+def _wide_sql(function, name) -> str:
+    return f"""
+WITH r AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
+l AS (SELECT vec_id, j, CASE WHEN j < 64 THEN e[j % 64 + 1] ELSE e[j % 64 + 1] * e[(7 * j + 1) % 64 + 1] + e[(j // 64) % 64 + 1] END AS v
+      FROM r, (SELECT CAST(range AS INTEGER) AS j FROM range({WIDE})) WHERE (vec_id + j) % 11 <> 0)
+SELECT 'f' || a.j AS f1, 'f' || b.j AS f2, {function}(a.v, b.v) AS {name} FROM l a JOIN l b ON a.vec_id = b.vec_id GROUP BY a.j, b.j"""
+
+
+@register("agg14_correlation_wide", rsql(_wide_sql("corr", "corr"), ["corr"], 5))
+def agg14_correlation_wide(spark, d):
+    w = _wide_columns(spark, d)
+    return rounded(P.correlation(w, w.columns), 5)
+
+
+@register("agg23_covariance_wide", rsql(_wide_sql("covar_samp", "cov"), ["cov"], 5))
+def agg23_covariance_wide(spark, d):
+    w = _wide_columns(spark, d)
+    return rounded(P.covariance(w, w.columns), 5)
+
+
 # ---------------------------------------------------------------- AGG15
 @register("agg15_class_distribution", rsql(
     "SELECT quality AS label, count(*) AS count, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share "

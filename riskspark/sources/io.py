@@ -7,6 +7,7 @@ nothing here touches data until an action runs downstream.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,11 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC3: read an earlier stage's output, failing clearly if it is absent."""
+    """SRC3: read an earlier stage's output, failing clearly if it is absent. A stage
+    written by :func:`commit_stage` is read in its committed version."""
+    version = committed_version(spark, path)
+    if version is not None:
+        path = f"{path.rstrip('/')}/{version}"
     try:
         if fmt == "csv":
             return spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -82,6 +87,54 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.format(fmt).save(path)
 
 
+MANIFEST = "_commit-"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system that holds ``path``, and its package of types."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), fs
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the finished commits in ``path``, oldest first."""
+    files, fs = _files(spark, path)
+    if not files.exists(fs.Path(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(fs.Path(path))]
+    found = [n.removeprefix(MANIFEST).split("-", 1) for n in names if n.startswith(MANIFEST)]
+    return sorted((int(number), version) for number, version in found)
+
+
+def committed_version(spark: SparkSession, path: str) -> str | None:
+    """The folder inside ``path`` that the last finished :func:`commit_stage` wrote."""
+    done = _commits(spark, path.rstrip("/"))
+    return done[-1][1] if done else None
+
+
+def commit_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
+    """SNK1 with a commit: the rows go beside the earlier version, and only then the
+    stage's manifest is switched, by creating one empty file whose name holds the
+    commit's number and its version. A job that fails half way leaves the earlier
+    version in force; a reader never sees parts of two versions. The version before
+    stays for readers that began before the switch; older ones and those of failed
+    jobs are removed (one writer at a time)."""
+    spark, root = df.sparkSession, path.rstrip("/")
+    version = f"version-{uuid.uuid4().hex}"
+    write_table(df, f"{root}/{version}", fmt, "errorifexists", partition_by)
+    files, fs = _files(spark, root)
+    done = _commits(spark, root)
+    number = done[-1][0] + 1 if done else 0
+    if not files.createNewFile(fs.Path(f"{root}/{MANIFEST}{number:012d}-{version}")):
+        raise RuntimeError(f"commit {number} of {root} exists already: another writer is at work")
+    stay = {version, *(v for _, v in done[-1:])}
+    for status in files.listStatus(fs.Path(root)):
+        name = status.getPath().getName()
+        if (name.startswith("version-") or name.startswith(MANIFEST)) and not any(name.endswith(v) for v in stay):
+            files.delete(status.getPath(), True)
+    return version
+
+
 def write_params(spark: SparkSession, params: dict, path: str) -> None:
     """SNK2/SNK3: a fitted parameter set as a one-row JSON table (round-trips
     through :func:`read_params`)."""
