@@ -265,9 +265,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                "packed": [squeeze(t.encode("utf-8")) for t in b.column(1).to_pylist()]}
 
     # the texts, compressed, are dealt out once by their key; both joins use that one
-    # exchange (each reads all its columns, or they would be two)
+    # exchange: each reads all its columns, and the condition that an inner join would
+    # push below it (keys are never null, but the schema does not say so) stands there for both
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = arrow_map(d, pack, f"doc_id {kind}, ih long, th long, packed binary").repartition(width, "ih", "th")
+    dealt = arrow_map(d, pack, f"doc_id {kind}, ih long, th long, packed binary").where("ih IS NOT NULL AND th IS NOT NULL").repartition(width, "ih", "th")
 
     def unpack(column):
         loose = zstandard.ZstdDecompressor().decompress
