@@ -110,10 +110,23 @@ def top_variance_names(df: DataFrame, cols: Sequence[str], n: int) -> list[str]:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """AGG5: feature, n_distinct (NULL excluded). ``approx`` uses HLL."""
-    f = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    wide = df.agg(*[f(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    return _stack(wide, cols, ["n_distinct"], lambda i, _: f"d{i}")
+    """AGG5: feature, n_distinct (NULL excluded). ``approx`` uses HLL.
+
+    Exact counts go through (column, value) rows, deduplicated map-side: a row of the
+    table makes one narrow row per column, where a ``count(DISTINCT)`` of each would
+    make one as wide as all of them. Values are told apart by their text."""
+    cols = list(cols)
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+        return _stack(wide, cols, ["n_distinct"], lambda i, _: f"d{i}")
+    types = dict(df.dtypes)
+    # 0.0 and -0.0 are one value
+    value = lambda c: (F.col(c) + F.lit(0.0).cast(types[c]) if types[c] in ("float", "double") else F.col(c)).cast("string")
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("v")) for i, c in enumerate(cols)])
+    long = df.select(F.explode(F.filter(parts, lambda x: x["v"].isNotNull())).alias("x")).select("x.i", "x.v")
+    counts = long.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n_distinct"))      # a row per column
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, feature string")
+    return names.join(counts, "i", "left").select("feature", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -140,7 +153,7 @@ def sketch_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: str, k: i
     """AGG7, approximate: quantiles (q, value) from a KLL sketch per ``by`` group, merged.
     Sketches are small rows, so they can be kept and merged with later ones."""
     kept = df.where(num(col).isNotNull()).groupBy(by).agg(F.kll_sketch_agg_double(num(col), F.lit(k)).alias("sketch"))
-    merged = kept.agg(F.kll_merge_agg_double("sketch").alias("sketch")).where(F.col("sketch").isNotNull())
+    merged = kept.agg(F.kll_merge_agg_double("sketch").alias("sketch")).where(F.kll_sketch_get_n_double("sketch") > 0)
     pairs = [F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value")) for q in qs]
     return merged.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
 
