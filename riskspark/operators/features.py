@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.scalar import clip, cut_right, flag, lookup, ratio, safe_div
@@ -18,6 +19,7 @@ from riskspark.operators import ranking
 from riskspark.operators.columns import col, num
 
 MAX_LEVELS = 1000  # wide one-hot: levels become columns
+MAX_SPARSE_LEVELS = 2_000_000  # sparse one-hot: a model of them has one coefficient each on the driver
 MAX_FOLDS = 1000   # folds of one cross-validation
 
 
@@ -103,6 +105,41 @@ def onehot_long(df: DataFrame, key: str, cols: Sequence[str], train: DataFrame |
     return out.select(key, "feature", F.lit(1.0).alias("value"))
 
 
+def level_tokens(cols: Sequence[str]) -> Column:
+    """The row's levels, one ``number:value`` per column (missing is ``nan``): the long
+    form before it is exploded."""
+    return F.array(*[F.concat(F.lit(f"{i}:"), F.coalesce(col(c).cast("string"), F.lit("nan"))) for i, c in enumerate(cols)])
+
+
+def fit_sparse_onehot(train: DataFrame, cols: Sequence[str], max_levels: int = MAX_SPARSE_LEVELS,
+                      out: str = "levels") -> CountVectorizerModel:
+    """FE6/FE10 fit for columns of many levels: the train levels of ``cols``, counted on
+    the executors, as the places of one sparse vector. More than ``max_levels`` in all
+    are refused (none is dropped): that many names are broadcast, and a model of them
+    holds as many coefficients. Train without rows is refused too."""
+    tokens = train.select(level_tokens(cols).alias("_tokens"))
+    if tokens.isEmpty():
+        raise ValueError("no rows to take levels from")
+    model = CountVectorizer(inputCol="_tokens", outputCol=out, vocabSize=max_levels + 1, minDF=1.0, binary=True).fit(tokens)
+    if len(model.vocabulary) > max_levels:
+        raise ValueError(f"{', '.join(cols)}: more than {max_levels} levels")
+    return model
+
+
+def sparse_onehot_names(model: CountVectorizerModel, cols: Sequence[str]) -> list[str]:
+    """The wide form's column name of every place of the vector."""
+    return [f"{cols[int(i)]}_{v}" for i, v in (t.split(":", 1) for t in model.vocabulary)]
+
+
+def apply_sparse_onehot(df: DataFrame, model: CountVectorizerModel, cols: Sequence[str]) -> DataFrame:
+    """FE6/FE10 apply: one sparse 0/1 vector column, as wide as the fit has levels; an
+    unseen level has no place. The rows are not moved, and the schema carries the width
+    only, not a name per level."""
+    out = model.getOutputCol()
+    got = model.transform(df.withColumn("_tokens", level_tokens(cols))).drop("_tokens")
+    return got.withColumn(out, F.col(out).alias(out, metadata={"ml_attr": {"num_attrs": len(model.vocabulary)}}))
+
+
 def onehot_names(levels: Mapping[str, Sequence[str]]) -> list[str]:
     return [f"{c}_{v}" for c, vs in levels.items() for v in vs]
 

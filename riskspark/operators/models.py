@@ -62,10 +62,11 @@ def _assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit_model(train: DataFrame, cols: Sequence[str], kind: str, label: str = "label", counts: dict | None = None,
-              held: str | None = None):
-    """Fit one estimator on ``train`` (a DataFrame of numeric ``cols``). ``counts``: its
-    rows per class, if they are known; ``held``: a boolean column of rows on which
-    boosted trees decide when to stop (all rounds without it)."""
+              held: str | None = None, tol: float = 1e-6):
+    """Fit one estimator on ``train`` (a DataFrame of numeric ``cols``; a sparse one-hot
+    vector counts as one of them). ``counts``: its rows per class, if they are known;
+    ``held``: a boolean column of rows on which boosted trees decide when to stop (all
+    rounds without it); ``tol``: where the logistic fit ends."""
     t = _assemble(train, cols)
     if kind == "logistic":
         counts = counts or _class_counts(train, label)
@@ -73,7 +74,7 @@ def fit_model(train: DataFrame, cols: Sequence[str], kind: str, label: str = "la
         total = sum(counts.values())  # balanced weights sum to the row count
         est = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                                  regParam=1.0 / (LOGISTIC_C * total), elasticNetParam=0.0, standardization=False,
-                                 maxIter=200)
+                                 maxIter=200, tol=tol)
     elif kind == "gbt":
         # partitions sized to the rows: a tree level is a job, and tiny tasks cost more
         # than they do

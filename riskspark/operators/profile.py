@@ -260,16 +260,17 @@ def _wide_pairs(df: DataFrame, cols: Sequence[str], want: str) -> DataFrame:
             F.transform("x", lambda v: F.coalesce(v * v, F.lit(0.0)))).alias("v")).select(array_to_vector("v").alias("v"))
 
     # a first scan for the centre and scale, which only keep the sums well-conditioned
-    s = masked(values).select(Summarizer.metrics("count", "mean").summary(F.col("v")).alias("s")).first()["s"]
-    about = np.array(s["mean"].toArray() if s["count"] else np.zeros(3 * d)).reshape(3, d)
+    empty = values.isEmpty()         # the summarizer refuses no rows
+    about = np.zeros((3, d)) if empty else np.array(
+        masked(values).select(Summarizer.mean(F.col("v"))).first()[0].toArray()).reshape(3, d)
     share = np.where(about[1] > 0, about[1], 1.0)
     mean = about[0] / share
     scale = np.sqrt(np.clip(about[2] / share - mean ** 2, 0, None))
     scale[scale == 0] = 1.0
     centres, scales = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, scale))
     rows = masked(values.select(F.transform("x", lambda v, i: (v - F.get(centres, i)) / F.get(scales, i)).alias("x")))
-    s = rows.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
-    n = int(s["count"])
+    s = None if empty else rows.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
+    n = 0 if empty else int(s["count"])
     out = [[None] * d for _ in range(d)]
     if n > 1:
         mu, sd = np.array(s["mean"].toArray()), np.sqrt(np.array(s["variance"].toArray()))

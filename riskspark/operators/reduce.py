@@ -2,7 +2,9 @@
 
 Fit = two tree aggregates over row vectors (moments, correlation), the same
 for every width; the d x d eigen-decomposition runs on the driver, which only
-ever holds d^2 numbers. Scores are one projection.
+ever holds d^2 numbers. A few components of many columns (:func:`fit_pca_truncated`)
+need no d x d matrix: implicit products with the centred rows. Scores are one
+projection.
 
 Conventions: components sorted by variance (descending); each component's
 sign is chosen so its largest-magnitude loading is positive; variance uses
@@ -16,7 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +86,14 @@ def _plain_covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarr
     return n, np.array([float(r[f"m{i}"]) for i in range(d)]), cov if n > 1 else np.zeros((d, d))
 
 
+def _vector_moments(rows: DataFrame, column: str, d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and variances of a vector column (the summarizer refuses no rows)."""
+    if rows.isEmpty():
+        return 0, np.zeros(d), np.zeros(d)
+    s = rows.select(Summarizer.metrics("count", "mean", "variance").summary(F.col(column)).alias("s")).first()["s"]
+    return int(s["count"]), np.array(s["mean"].toArray()), np.array(s["variance"].toArray())
+
+
 def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, sample covariance) of complete rows, one way for every width: the
     rows become vectors, Spark ML's summarizer gives count, means and variances, and
@@ -91,11 +104,8 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.
         return _plain_covariance(df, cols)
     va = VectorAssembler(inputCols=list(cols), outputCol="_vec", handleInvalid="skip")
     v = va.transform(df.select(*[num(c).alias(c) for c in cols]).dropna()).select("_vec")
-    s = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_vec")).alias("s")).first()["s"]
-    d, n = len(cols), int(s["count"])
-    if n == 0:
-        return 0, np.zeros(d), np.zeros((d, d))
-    mean, var = np.array(s["mean"].toArray()), np.array(s["variance"].toArray())
+    d = len(cols)
+    n, mean, var = _vector_moments(v, "_vec", d)
     if n < 2:
         return n, mean, np.zeros((d, d))
     corr = np.nan_to_num(Correlation.corr(v, "_vec").first()[0].toArray())      # constant columns have none
@@ -118,6 +128,84 @@ def fit_pca(df: DataFrame, cols: Sequence[str] | None = None, vector: str | None
     return PCAModel(names, mean.tolist(), comps.tolist(), vals.tolist(), ratio.tolist(), n)
 
 
+def _row_arrays(df: DataFrame, cols: Sequence[str] | None, vector: str | None, out: str, keep: Sequence[str] = (),
+                d: int | None = None) -> tuple[DataFrame, list[str]]:
+    """``keep`` and the row as one array of doubles, rows with a missing value left out."""
+    if vector is None:
+        x, names = F.array(*[num(c) for c in cols]), list(cols)
+    else:
+        if d is None:
+            first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+            d = first[0] if first else 0
+        # shorter vectors end in NULLs and so count as missing, as in the narrow form
+        x = F.transform(F.sequence(F.lit(0), F.lit(max(d, 1) - 1)), lambda i: num(F.get(F.col(vector), i)))
+        names = [f"{vector}_{i}" for i in range(d)]
+    return df.select(*keep, x.alias(out)).where(~F.exists(out, lambda v: v.isNull())), names
+
+
+def fit_pca_truncated(df: DataFrame, k: int, cols: Sequence[str] | None = None, vector: str | None = None) -> PCAModel:
+    """PCA1/PCA7 for ``k`` much smaller than the width: the ``k`` leading components by
+    a truncated singular value decomposition of the centred rows.
+
+    One scan gives count, means and the total variance (so ratios are of the whole);
+    every Lanczos step is then one tree-aggregated product with the rows, persisted
+    once. Neither the driver nor a task holds a d x d matrix once d is 100 or more and
+    k at most d / 2; a narrower Gram matrix is formed, which is then the smaller one.
+    Components beyond the rank of the data are not returned; without any variance the
+    components are unit vectors of variance 0. Missing values as in :func:`fit_pca`."""
+    rows, names = _row_arrays(df, cols, vector, "x")
+    d = len(names)
+    k = min(k, d)
+    n, mean, var = _vector_moments(rows.select(array_to_vector("x").alias("v")), "v", d)
+    total = float(var.sum()) if n > 1 else 0.0
+    if total <= 0:
+        return PCAModel(names, mean.tolist(), np.eye(d)[:k].tolist(), [0.0] * k, [0.0] * k, n)
+    centres = F.array(*[F.lit(float(m)) for m in mean])
+    centred = MLUtils.convertVectorColumnsFromML(
+        rows.select(array_to_vector(F.zip_with("x", centres, lambda v, m: v - m)).alias("v")), "v").persist()
+    try:
+        svd = RowMatrix(centred, n, d).computeSVD(k)
+    finally:
+        centred.unpersist()
+    vals = np.asarray(svd.s.toArray()) ** 2 / (n - 1)
+    comps = _sign_fix(np.asarray(svd.V.toArray()).T)
+    return PCAModel(names, mean.tolist(), comps.tolist(), vals.tolist(), (vals / total).tolist(), n)
+
+
+def eigen_residuals(df: DataFrame, model: PCAModel, cols: Sequence[str] | None = None, vector: str | None = None) -> list[float]:
+    """Largest entry of ``|C v - lambda v|`` per component, as a share of the first
+    variance, from one product of the data with each component."""
+    d, k = len(model.features), len(model.components)
+    rows, _ = _row_arrays(df, cols, vector, "x", d=d)
+    centres = F.array(*[F.lit(float(m)) for m in model.mean])
+    x = rows.select(F.zip_with("x", centres, lambda v, m: v - m).alias("x"))
+    parts = x.select("x", *[_dot(F.col("x"), c).alias(f"t{i}") for i, c in enumerate(model.components)])
+
+    def times(t: Column) -> Column:
+        return array_to_vector(F.transform("x", lambda v: v * t))
+
+    weighted = parts.select(*[times(F.col(f"t{i}")).alias(f"p{i}") for i in range(k)])
+    got = weighted.select(*[Summarizer.mean(F.col(f"p{i}")).alias(f"m{i}") for i in range(k)]).first()
+    top = max(model.explained_variance[:1] + [1e-300])
+    return [float(np.abs(np.array(got[f"m{i}"].toArray()) * model.n / (model.n - 1) - lam * np.array(v)).max() / top)
+            for i, (v, lam) in enumerate(zip(model.components, model.explained_variance))]
+
+
+def _dot(x: Column, weights: Sequence[float]) -> Column:
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def project_arrays(df: DataFrame, model: PCAModel, keep: Sequence[str] = (), cols: Sequence[str] | None = None,
+                   vector: str | None = None) -> DataFrame:
+    """PCA4/PCA7 for wide rows: ``keep`` and PC1.. of every row without missing values.
+    A component is one array literal, so the plan does not grow with d * k terms."""
+    rows, _ = _row_arrays(df, cols, vector, "_x", keep, len(model.features))
+    centres = F.array(*[F.lit(float(m)) for m in model.mean])
+    rows = rows.select(*keep, F.zip_with("_x", centres, lambda v, m: v - m).alias("_x"))
+    return rows.select(*keep, *[_dot(F.col("_x"), c).alias(f"PC{i + 1}") for i, c in enumerate(model.components)])
+
+
 def choose_k(ratio: Sequence[float], threshold: float, rule: str = "min2", max_k: int | None = None) -> int:
     """PCA3a (``rule='min2'``): first k with cumulative >= threshold (1 when
     never reached), at least 2, at most ``max_k``. PCA3b (``rule='cap_d'``):

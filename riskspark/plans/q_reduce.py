@@ -184,6 +184,82 @@ def pca7_projection_2d(spark, d):
     return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+# ------------------------------------------------------------ PCA, 2 of 128 components
+
+_WIDTH, _SQUARINGS = 128, 9
+# Shares of a document's words per bucket of their md5: 128 columns. The oracle squares
+# the covariance matrix nine times, which leaves its leading eigenvector (512th power),
+# takes that part away and squares the rest.
+_WORDS_SRC = f"""w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                       lambda x: x <> '')) AS word FROM documents)""", f"""
+cnt AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 2) AS INTEGER) % {_WIDTH} AS i, count(*) AS c FROM w GROUP BY ALL)""", """
+tot AS (SELECT doc_id, sum(c) AS t FROM cnt GROUP BY doc_id)""", f"""
+x AS MATERIALIZED (SELECT tot.doc_id, r.i, coalesce(c, 0) / CAST(t AS DOUBLE) AS v
+      FROM tot CROSS JOIN (SELECT unnest(range({_WIDTH})) AS i) r LEFT JOIN cnt ON cnt.doc_id = tot.doc_id AND cnt.i = r.i)""", """
+mu AS MATERIALIZED (SELECT i, avg(v) AS m FROM x GROUP BY i)""", """
+xc AS MATERIALIZED (SELECT doc_id, x.i, v - m AS v FROM x JOIN mu ON x.i = mu.i)""", """
+c0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM tot) - 1) AS v
+      FROM xc a JOIN xc b ON a.doc_id = b.doc_id GROUP BY a.i, b.i)"""
+
+
+def _leading_sql(pc: int, c: str) -> tuple[str, ...]:
+    """CTEs ``v{pc}`` (unit vector, sign-fixed) and ``l{pc}`` (eigenvalue) of matrix ``c``."""
+    steps = [f"p{pc}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {c} WHERE i = j) AS v FROM {c})"]
+    for s in range(_SQUARINGS):
+        steps.append(f"q{pc}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{pc}_{s} a JOIN p{pc}_{s} b ON a.j = b.i "
+                     f"GROUP BY a.i, b.j)")
+        steps.append(f"p{pc}_{s + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{pc}_{s} WHERE i = j) AS v FROM q{pc}_{s})")
+    p = f"p{pc}_{_SQUARINGS}"
+    steps.append(f"""v{pc} AS MATERIALIZED (SELECT i, v / sqrt((SELECT max(v) FROM {p} WHERE i = j)) AS v FROM {p}
+      WHERE j = (SELECT i FROM {p} WHERE i = j ORDER BY v DESC LIMIT 1))""")
+    steps.append(f"l{pc} AS MATERIALIZED (SELECT sum(a.v * c.v * b.v) AS lam FROM v{pc} a JOIN {c} c ON a.i = c.i JOIN v{pc} b ON b.i = c.j)")
+    return tuple(steps)
+
+
+_TOP2_SRC = (*_WORDS_SRC, *_leading_sql(1, "c0"), """
+c1 AS MATERIALIZED (SELECT c0.i, c0.j, c0.v - l1.lam * a.v * b.v AS v FROM c0 JOIN v1 a ON a.i = c0.i JOIN v1 b ON b.i = c0.j, l1)""",
+    *_leading_sql(2, "c1"))
+
+
+def _word_shares(spark, d):
+    """doc_id, shares: the share of the document's words in each bucket."""
+    docs = table(spark, d, "documents")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = docs.select("doc_id", F.explode(words).alias("w")) \
+        .groupBy("doc_id", (F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % _WIDTH).alias("b")).count()
+    g = n.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"), F.sum("count").alias("t"))
+    buckets = F.sequence(F.lit(0), F.lit(_WIDTH - 1))
+    return g.select("doc_id", F.transform(buckets, lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("t")).alias("shares"))
+
+
+@register("pca1_truncated_loadings", rsql(with_cte(*_TOP2_SRC) + """
+SELECT 1 AS pc, 'shares_' || i AS feature, lam AS explained_variance, lam / (SELECT sum(v) FROM c0 WHERE i = j) AS ratio, v AS loading, 0.0 AS residual
+FROM v1, l1
+UNION ALL SELECT 2, 'shares_' || i, lam, lam / (SELECT sum(v) FROM c0 WHERE i = j), v, 0.0 FROM v2, l2""",
+    ["explained_variance", "ratio", "loading"], 5))
+def pca1_truncated_loadings(spark, d):
+    """Two of 128 components by implicit products: variances, shares of the total,
+    loadings and the residual of the eigenvalue equation."""
+    x = materialize(_word_shares(spark, d))
+    try:
+        m = R.fit_pca_truncated(x, 2, vector="shares")
+        res = R.eigen_residuals(x, m, vector="shares")
+    finally:
+        x.unpersist()
+    rows = [(i + 1, f, float(m.explained_variance[i]), float(m.ratio[i]), float(v), res[i])
+            for i in range(len(m.components)) for f, v in zip(m.features, m.components[i])]
+    return rounded(spark.createDataFrame(rows, "pc int, feature string, explained_variance double, ratio double, loading double, residual double"), 5)
+
+
+@register("pca7_truncated_projection", rsql(with_cte(*_TOP2_SRC) + """
+SELECT xc.doc_id, sum(xc.v * v1.v) AS PC1, sum(xc.v * v2.v) AS PC2 FROM xc JOIN v1 ON xc.i = v1.i JOIN v2 ON xc.i = v2.i GROUP BY xc.doc_id""",
+    ["PC1", "PC2"], 5))
+def pca7_truncated_projection(spark, d):
+    """Every document with words on the two leading components of its word shares."""
+    x = materialize(_word_shares(spark, d))
+    return rounded(R.project_arrays(x, R.fit_pca_truncated(x, 2, vector="shares"), ["doc_id"], vector="shares"), 5)
+
+
 # ------------------------------------------------------------------ LDA, d = 2
 
 _LDA_PRE = (LOAN_VIEW_SQL, LABELED_SQL, split_sql("labeled"), """

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import features as FE
@@ -63,3 +64,42 @@ def test_feature_spec_fit_is_idempotent(spark):
     assert spec1.params == spec2.params
     out = spec1.transform(df)
     assert out.columns == spec1.params["feature_list"]
+
+
+def test_sparse_onehot_equals_the_long_form(spark):
+    rows = [(i, f"p{i % 7}" if i % 5 else None, f"a:b_{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, p string, `q.r` string")
+    cols = ["p", "q.r"]
+    m = FE.fit_sparse_onehot(df, cols)
+    names = FE.sparse_onehot_names(m, cols)
+    assert len(names) == len(set(names)) == 8 + 3
+    out = FE.apply_sparse_onehot(df, m, cols)
+    assert out.columns == ["id", "p", "q.r", "levels"] and out.schema["levels"].metadata["ml_attr"] == {"num_attrs": 11}
+    got = {(r["id"], names[i]) for r in out.collect() for i in r["levels"].indices}
+    assert got == {(r["id"], r["feature"]) for r in FE.onehot_long(df, "id", cols).collect()}
+    assert {type(r["levels"]).__name__ for r in out.collect()} == {"SparseVector"}
+
+
+def test_sparse_onehot_unseen_bounds_and_empty(spark):
+    train = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "c string, v double")
+    m = FE.fit_sparse_onehot(train, ["c"])
+    new = FE.apply_sparse_onehot(spark.createDataFrame([("z", 0.0), (None, 0.0), ("x", 0.0)], "c string, v double"), m, ["c"]).collect()
+    assert [len(r["levels"].indices) for r in new] == [0, 0, 1] and new[0]["levels"].size == 2
+    with pytest.raises(ValueError, match="more than 1 levels"):
+        FE.fit_sparse_onehot(train, ["c"], max_levels=1)
+    with pytest.raises(ValueError, match="no rows"):
+        FE.fit_sparse_onehot(train.limit(0), ["c"])
+
+
+def test_sparse_onehot_feeds_the_logistic_model(spark):
+    from riskspark.operators import models as M
+    rows = [(i, f"g{i % 4}", int(i % 4 == 0 or i % 11 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, label int")
+    sparse = FE.fit_sparse_onehot(df, ["g"])
+    a = M.score(M.fit_model(FE.apply_sparse_onehot(df, sparse, ["g"]), ["levels"], "logistic", tol=1e-10),
+                FE.apply_sparse_onehot(df, sparse, ["g"]), ["levels"], keep=["id"])
+    levels = FE.fit_onehot(df, ["g"])
+    wide, names = FE.apply_onehot(df, levels), FE.onehot_names(levels)
+    b = M.score(M.fit_model(wide, names, "logistic", tol=1e-10), wide, names, keep=["id"])
+    gap = a.withColumnRenamed("score", "s").join(b, "id").selectExpr("max(abs(s - score))").first()[0]
+    assert gap < 1e-5

@@ -66,3 +66,9 @@ def test_distinct_counts_without_a_wide_expand(spark):
     assert {r.feature: r.n_distinct for r in out.collect()} == {"i": 2, "x": 3, "s": 3}
     assert "Expand" not in out._jdf.queryExecution().toString()
     assert {r.n_distinct for r in P.distinct_counts(df.where("i > 5"), ["i", "s"]).collect()} == {0}
+
+
+def test_wide_correlation_of_no_rows(spark):
+    cols = [f"c{i}" for i in range(30)]
+    out = P.correlation(spark.createDataFrame([], ", ".join(f"{c} double" for c in cols)), cols).collect()
+    assert len(out) == 900 and all(r["corr"] is None for r in out)

@@ -77,3 +77,49 @@ def test_lda_rank_deficient_uses_pinv(spark):
     df = spark.createDataFrame(rows, "label int, a double, b double")
     m = DA.fit_lda(df, ["a", "b"], "label")
     assert all(np.isfinite(m.coef))
+
+
+def _wide_rows(n, d, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, 4)) * np.array([5.0, 3.0, 2.0, 1.0])
+    return base @ rng.normal(size=(4, d)) + rng.normal(size=(n, d)) * 0.1 + np.arange(d)
+
+
+@pytest.mark.parametrize("d", [6, 120])
+def test_truncated_components_match_the_full_decomposition(spark, d):
+    x = _wide_rows(300, d)
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(900, None), (901, [1.0] * (d - 1)), (902, [float("nan")] + [0.0] * (d - 1)), (903, [None] + [0.0] * (d - 1))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    m = R.fit_pca_truncated(df, 3, vector="v")
+    vals, vecs = np.linalg.eigh(np.cov(x.T))
+    assert m.n == 300 and len(m.components) == 3 and m.features[-1] == f"v_{d - 1}"
+    np.testing.assert_allclose(m.explained_variance, vals[::-1][:3], rtol=1e-8)
+    np.testing.assert_allclose(m.ratio, vals[::-1][:3] / vals.sum(), rtol=1e-8)
+    for got, want in zip(m.components, vecs[:, ::-1].T):
+        assert abs(abs(np.dot(got, want)) - 1) < 1e-8 and got[int(np.argmax(np.abs(got)))] > 0
+    assert max(R.eigen_residuals(df, m, vector="v")) < 1e-8
+    s = R.project_arrays(df, m, ["id"], vector="v").orderBy("id").toPandas()
+    assert list(s["id"]) == list(range(300))
+    np.testing.assert_allclose(s[["PC1", "PC2", "PC3"]].to_numpy(), (x - x.mean(0)) @ np.array(m.components).T, atol=1e-8)
+
+
+def test_truncated_by_columns_names_with_dots_and_edges(spark):
+    x = _wide_rows(50, 3)
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x], "`a.b` double, c double, d double")
+    m = R.fit_pca_truncated(df, 2, cols=["a.b", "c", "d"])
+    full = R.fit_pca(df, ["a.b", "c", "d"])
+    np.testing.assert_allclose(m.components, full.components[:2], atol=1e-8)
+    assert len(R.fit_pca_truncated(df, 9, cols=["a.b", "c", "d"]).components) <= 3
+    for rows in ([], [(1.0, 2.0, 3.0)], [(1.0, 2.0, 3.0)] * 4):
+        e = R.fit_pca_truncated(spark.createDataFrame(rows, "x double, y double, z double"), 2, cols=["x", "y", "z"])
+        assert e.n == len(rows) and e.explained_variance == [0.0, 0.0] and e.components == [[1.0, 0, 0], [0, 1.0, 0]]
+    none = R.fit_pca_truncated(spark.createDataFrame([], "v array<double>"), 2, vector="v")
+    assert none.n == 0 and none.components == []
+
+
+@pytest.mark.parametrize("d", [3, 30])
+def test_covariance_of_no_rows_is_zero(spark, d):
+    cols = [f"c{i}" for i in range(d)]
+    n, mean, cov = R.covariance(spark.createDataFrame([], ", ".join(f"{c} double" for c in cols)), cols)
+    assert n == 0 and not mean.any() and cov.shape == (d, d) and not cov.any()
