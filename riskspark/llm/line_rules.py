@@ -4,8 +4,11 @@ Everything here is a composition of DataFrame functions (no Python workers).
 
 Base statistics come from one projection over the text. Cross-document step:
 normalised lines (ASCII lower case, white space squeezed) are hashed, the *distinct documents* per (host, line) are
-counted, lines above both limits are removed, and a document that loses too
-large a share of its words is rejected.
+counted, lines above a limit are removed, and a document that loses too large a
+share of its words is rejected. A line above the absolute limit goes whatever the
+host's size, so boilerplate of the largest host is caught; a line at or below it goes
+if it is in a large share of the documents of a host that is large enough for a share
+to mean something.
 
 Defined cases: a null or empty text has no words, no lines and fails the base
 rule. A null host is a host of its own. Exact copies of a text within a host are
@@ -29,8 +32,10 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-LINE_MIN_DOCS = 20      # a line in fewer distinct documents of a host is never removed
-LINE_HOST_PCT = 5       # nor one in fewer than this share of the host's documents
+LINE_MIN_DOCS = 20      # a line in more distinct documents of a host is removed, however large the host
+LINE_HOST_PCT = 5       # so is one in more than this share of the host's documents,
+SHARE_MIN_DOCS = 10     # from this many of them on,
+SHARE_HOST_DOCS = 100   # in hosts of at least this many
 MIN_LEFT_PCT = 50       # a document keeps at least this share of its words, else it is rejected
 
 
@@ -101,7 +106,8 @@ def document_lines(df: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT,
                   line_min_docs: int = LINE_MIN_DOCS, line_host_pct: int = LINE_HOST_PCT,
-                  min_left_pct: int = MIN_LEFT_PCT) -> DataFrame:
+                  min_left_pct: int = MIN_LEFT_PCT, share_min_docs: int = SHARE_MIN_DOCS,
+                  share_host_docs: int = SHARE_HOST_DOCS) -> DataFrame:
     """Base statistics and the verdict for every row of ``docs``."""
     d = docs.select(docs[id_col].alias("doc_id"), docs[host_col].cast("string").alias("host"),
                     docs[text_col].cast("string").alias("text"))
@@ -110,11 +116,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = stored(document_lines(d), "document-lines")
     # a line that a third of all documents share is counted map-side first
     frequent = (lines.select(F.explode(F.array_distinct("lines.line")).alias("line"))
-                .groupBy("line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_min_docs))
+                .groupBy("line").agg(F.count("*").alias("n_docs")).where((F.col("n_docs") > line_min_docs) | (F.col("n_docs") >= share_min_docs)))
     host_docs = lines.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "h")
     lost = (lines.select("host", "k", F.explode("lines").alias("l")).select("host", "k", "l.line", "l.w")
             .join(frequent, "line").join(host_docs, F.col("host").eqNullSafe(F.col("h")))
-            .where(F.col("n_docs") * 100 > F.col("host_docs") * line_host_pct)
+            .where((F.col("n_docs") > line_min_docs) | ((F.col("n_docs") >= share_min_docs) & (F.col("host_docs") >= share_host_docs)
+                                                        & (F.col("n_docs") * 100 > F.col("host_docs") * line_host_pct)))
             .groupBy(F.col("host").alias("lost_host"), F.col("k").alias("lost_k")).agg(F.sum("w").alias("lost")))
     out = base_stats(d).join(lost, F.col("host").eqNullSafe(F.col("lost_host")) & (F.col("k") == F.col("lost_k")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)

@@ -15,7 +15,7 @@ from riskspark.llm.common import table
 from riskspark.llm.conversation import damage, repair_report
 from riskspark.llm.dom import extract_main_text
 from riskspark.llm.langid import identify_language
-from riskspark.llm.line_rules import LINE_HOST_PCT, LINE_MIN_DOCS, MIN_LEFT_PCT, quality_rules
+from riskspark.llm.line_rules import LINE_HOST_PCT, LINE_MIN_DOCS, MIN_LEFT_PCT, SHARE_HOST_DOCS, SHARE_MIN_DOCS, quality_rules
 from riskspark.llm.ngram_join import jaccard_components
 from riskspark.llm.packing import pack_documents
 from riskspark.llm.personal_data import personal_data_digest
@@ -163,7 +163,8 @@ WITH d AS (
 ), frequent AS (
   SELECT n.host, n.line FROM norm n JOIN hosts h ON n.host IS NOT DISTINCT FROM h.host
   GROUP BY n.host, n.line, h.host_docs
-  HAVING count(DISTINCT n.text) > {LINE_MIN_DOCS} AND count(DISTINCT n.text) * 100 > h.host_docs * {LINE_HOST_PCT}
+  HAVING count(DISTINCT n.text) > {LINE_MIN_DOCS} OR (count(DISTINCT n.text) >= {SHARE_MIN_DOCS}
+         AND h.host_docs >= {SHARE_HOST_DOCS} AND count(DISTINCT n.text) * 100 > h.host_docs * {LINE_HOST_PCT})
 ), lost AS (
   SELECT n.rid, sum(len(string_split(n.line, ' '))) AS lost
   FROM norm n JOIN frequent f ON n.line = f.line AND n.host IS NOT DISTINCT FROM f.host GROUP BY n.rid

@@ -6,13 +6,18 @@ from riskspark.llm.line_rules import quality_rules
 GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def brute(rows, min_docs, host_pct):
+def brute(rows, min_docs, host_pct, share_docs=10, host_docs=100):
     norm = lambda x: " ".join(w for w in GAP.split(re.sub("[A-Z]", lambda m: m[0].lower(), x)) if w)
     lines = lambda t: [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     host = defaultdict(set)
     for _, t, h in rows:
         host[h].add(t or "")
     seen = Counter((h, n) for h, ts in host.items() for t in ts for n in {norm(x) for x in lines(t)})
+
+    def frequent(h, x):
+        n, of = seen[h, x], len(host[h])
+        return n > min_docs or (of >= host_docs and n >= share_docs and n * 100 > host_pct * of)
+
     out = []
     for i, t, h in rows:
         t = t or ""
@@ -21,7 +26,7 @@ def brute(rows, min_docs, host_pct):
         c = Counter(tri)
         rep = len({k + j for k, x in enumerate(tri) if c[x] > 1 for j in range(3)})
         ls = lines(t)
-        lost = sum(len(norm(x).split(" ")) for x in ls if seen[h, norm(x)] > min_docs and seen[h, norm(x)] * 100 > host_pct * len(host[h]))
+        lost = sum(len(norm(x).split(" ")) for x in ls if frequent(h, norm(x)))
         failed = len(w) < 50 or 100 * rep > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(ls) - len(set(ls)), rep, failed,
                     not failed and 100 * (len(w) - lost) >= 50 * len(w), lost))
@@ -48,6 +53,24 @@ def test_frequent_lines_deplete_documents(spark, prose):
     assert any(r[-1] > 0 for r in out) and any(not r[6] and not r[7] for r in out) | any(r[7] for r in out)
 
 
+def hosted(prose, name, n, times):
+    """``n`` documents of a host, the first ``times`` with more words of boilerplate than their own."""
+    lines = "".join("\n" + " ".join(f"{w}{j}" for w in "some shared words of this one host that come again and again".split()) for j in range(7))
+    return [(f"{name}{k}", prose(1000 + k, 60) + (lines if k < times else ""), name) for k in range(n)]
+
+
+def test_limits_by_the_size_of_the_host(spark, prose):
+    rows = hosted(prose, "large", 900, 30)         # 3.3 % of the documents: the absolute limit
+    rows += hosted(prose, "small", 10, 10)         # every document, but a small host
+    rows += hosted(prose, "medium", 120, 12)       # 10 %: the share
+    rows += hosted(prose, "rare", 120, 9)          # too few documents for the share
+    out = quality_rules(spark.createDataFrame(rows, "doc_id string, text string, source string"))
+    got = [tuple(r) for r in out.collect()]
+    assert same(got, brute(rows, 20, 5))
+    rejected = {r[0] for r in got if not r[6] and not r[7]}
+    assert rejected == {f"large{k}" for k in range(30)} | {f"medium{k}" for k in range(12)}
+
+
 def test_copies_do_not_make_their_lines_frequent(spark, prose):
     rows = [(k, prose(1, 80), "h") for k in range(30)]
     out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_min_docs=2, line_host_pct=0)
