@@ -206,3 +206,118 @@ def test_temperature_flattens_overconfident_logits():
     y = rng.integers(0, 3, 3000)
     z = np.eye(3)[np.where(rng.random(3000) < 0.7, y, rng.integers(0, 3, 3000))] * 20
     assert langid.temperature(z, y) > 5
+
+
+# ------------------------------------------------- whole scores, recomputed plainly
+
+M64, M32 = (1 << 64) - 1, (1 << 32) - 1
+
+
+def brute_quality(text, w):
+    """Counts of hashed n-grams times weights, in plain integers."""
+    words = (text or "").split()
+    a = [zlib.crc32(x.lower().encode()) for x in words]
+    s = [2 * zlib.crc32(quality.shape_of(x).encode()) + (i > 0 and a[i] == a[i - 1]) for i, x in enumerate(words)]
+    b, c = 0x100000001B3, 0x9E3779B97F4A7C15
+    families = [a, [x * b + y for x, y in zip(a, a[1:])], s, [x * b + y for x, y in zip(s, s[1:])],
+                [(x * b + y) * c + z for x, y, z in zip(s, s[1:], s[2:])]]
+    logit = float(w[0])
+    for k, grams in enumerate(families, 1):
+        for g in grams:
+            h = (g + k * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & M64
+            place = ((h ^ h >> 29) * 0x94D049BB133111EB & M64) >> 64 - quality.BITS
+            logit += quality.SCALE / len(grams) * float(w[place])
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_scores_of_every_row_against_brute_force(graded):
+    rows, _, docs, table = graded
+    w = np.frombuffer(quality.fit_quality(docs, table).value, np.float32)
+    got = sorted((str(r.doc_id), r.score) for r in quality.score_quality(docs, table).collect())
+    want = sorted((str(i), brute_quality(t, w)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-4
+
+
+def test_a_score_at_the_cut_counts(graded):
+    _, _, docs, table = graded
+    score = sorted(r.score for r in quality.score_quality(docs, table).collect())[150]
+    assert {r.predicted for r in quality.score_quality(docs, table, threshold=score).collect() if r.score == score} == {1}
+    tox = sorted(r.score for r in toxicity.score_toxicity(docs, table).collect())[150]
+    assert {r.predicted for r in toxicity.score_toxicity(docs, table, threshold=tox).collect() if r.score == tox} == {1}
+
+
+def brute_toxicity(text, m):
+    ts = (text or "").lower().split()
+    values = []
+    for i, raw in enumerate(ts):
+        token = toxicity.EDGE.sub("", raw)
+        known = [m["odds"][s] for s in [token, *(token[:k] + "*" for k in (6, 5, 4, 3) if len(token) >= k)] if token and s in m["odds"]]
+        odds = min(max(known[0] if known else 0.0, toxicity.LOWEST), toxicity.HIGHEST)
+        values.append(-toxicity.DRIFT if i and ts[i - 1] == raw else odds - toxicity.DRIFT)
+    # surprise of every segment: -ln(K n exp(-lambda S))
+    found = [m["lam"] * sum(values[a:b]) - m["log_k"] - np.log(len(ts)) for a, b in brute_segments(values)]
+    limit = -np.log(toxicity.SIGNIFICANCE)
+    strong = [x for x in found if x > limit]
+    e = sum(strong) if strong else min(max(found), limit) if found else 0.0
+    return 1 / (1 + np.exp(-(m["slope"] * np.sign(e) * np.log1p(abs(e)) + m["start"]))), len(strong)
+
+
+def test_toxicity_scores_against_brute_segments(graded):
+    rows, _, docs, table = graded
+    sample = [r.asDict() for r in quality.labelled_sample(docs, table, "toxic", toxicity.BOUND).collect()]
+    sample.sort(key=lambda r: (str(r["doc_id"]), str(r)))
+    m = toxicity.fit([r["text"] for r in sample], [r["y"] for r in sample])
+    short = [(i, t) for i, t in rows if len((t or "").split()) < 200]
+    assert len(short) == len(rows) - 1                          # all but the text of 20,000 words
+    got = sorted((str(r.doc_id), r.score, len(r.passages)) for r in toxicity.score_toxicity(docs, table).collect() if r.doc_id != 903)
+    want = sorted((str(i), *brute_toxicity(t, m)) for i, t in short)
+    assert [(i, n) for i, _, n in got] == [(i, n) for i, _, n in want]
+    assert max(abs(a - b) for (_, a, _), (_, b, _) in zip(got, want)) < 1e-6
+
+
+def brute_counts(text):
+    """Hashed 1-, 2- and 3-grams of letters and single gaps, in plain integers."""
+    a = []
+    for ch in f" {text.lower()} ":
+        x = ord(ch) if ord(ch) > 0xFFFF or ch.isalpha() else 0
+        if x or not a or a[-1]:
+            a.append(x)
+    two = [(x * 0x9E3779B1 + y * 0x85EBCA6B) & M32 for x, y in zip(a, a[1:])]
+    grams = [x * 0x165667B1 for x in a[1:-1]] + two + [t * 0xC2B2AE35 + z * 0x27D4EB2F for t, z in zip(two, a[2:])]
+    counts = {}
+    for g in grams:
+        k = (g * 0x9E3779B1 & M32) >> 32 - langid.BITS
+        counts[k] = counts.get(k, 0) + 1
+    return counts
+
+
+def test_languages_of_every_row_against_brute_force(spoken):
+    rows, docs = spoken
+    meta, raw, idf = langid.fit_language(docs).value
+    w = np.frombuffer(raw, np.float32).reshape(langid.DIM, -1)
+    learned = [brute_counts(t) for i, t, lang in rows if t and lang and held(i, 3) != 1]
+    df = np.zeros(langid.DIM)
+    for counts in learned:
+        df[list(counts)] += 1
+    assert np.allclose(idf, np.log((1 + len(learned)) / (1 + df)) + 1)
+    want = []
+    for i, t, _ in rows:
+        if not any(ch.isalpha() for ch in t or ""):
+            want.append((str(i), "und", 0.0))
+            continue
+        val = {k: n ** 0.5 * idf[k] for k, n in brute_counts(t).items()}
+        norm = sum(v * v for v in val.values()) ** 0.5
+        logits = [sum(v / norm * float(w[k, j]) for k, v in val.items()) / meta["t"] for j in range(len(meta["names"]))]
+        p = [1 / sum(np.exp(y - x) for y in logits) for x in logits]
+        want.append((str(i), meta["names"][p.index(max(p))], max(p)))
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in langid.identify_language(docs).collect())
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, want)) < 1e-5
+
+
+def test_equal_probabilities_go_to_the_first_language():
+    flat = np.zeros((langid.DIM, 3), np.float32)
+    model = ({"names": ["aa", "bb", "cc"], "t": 1.0}, flat.tobytes(), np.ones(langid.DIM))
+    assert langid.predictions(["some text"], model) == (["aa"], [pytest.approx(1 / 3)])
