@@ -31,6 +31,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -176,6 +177,9 @@ def read_package(path: str) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
 # ---------------------------------------------------------------- writing
 
 
+EPOCH = "1970-01-01T00:00:00Z"
+
+
 def record_id(key, url: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{url}')}>"
 
@@ -185,16 +189,25 @@ def clean(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def make_record(key, url, payload: bytes, digest: str, size: int, refers_to) -> bytes:
-    """One gzip member; a revisit has no block, its payload is that of ``refers_to``."""
+# Fixed value: the response head that stands before a payload.
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+
+
+def make_record(key, url, payload: bytes, digest: str, size: int, refers_to, refers_to_url=None, date: str = EPOCH) -> bytes:
+    """One gzip member. A response's block is an HTTP response whose body is the
+    payload; a revisit has no block, its payload is that of ``refers_to``."""
     revisit = refers_to is not None
     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(key, clean(url))),
-               ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
+               ("WARC-Date", date), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
                ("X-Record-Key", "" if key is None else str(key)), ("X-Payload-Length", str(size))]
     if revisit:
         headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("X-Refers-To-Key", str(refers_to))]
-    block = b"" if revisit else payload
+                    ("WARC-Refers-To", record_id(refers_to, clean(refers_to_url))),
+                    ("WARC-Refers-To-Target-URI", clean(refers_to_url)), ("X-Refers-To-Key", str(refers_to))]
+        block = b""
+    else:
+        headers.append(("Content-Type", "application/http; msgtype=response"))
+        block = HTTP_HEAD.format(size).encode() + payload
     headers.append(("Content-Length", str(len(block))))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return gzip.compress(text.encode("utf-8") + block + b"\r\n\r\n", 1, mtime=0)
@@ -239,11 +252,13 @@ class PackageWriter:
 MANIFEST = "path string, records long, bytes long"
 
 
-def write_warc(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Write ``key, url, payload, digest, payload_bytes, refers_to`` rows; returns
-    the manifest (one row per package), stored so that it names committed tasks'
-    packages only."""
+def write_warc(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, date: str | None = None) -> DataFrame:
+    """Write ``key, url, payload, digest, payload_bytes, refers_to, refers_to_url``
+    rows; returns the manifest (one row per package), stored so that it names committed
+    tasks' packages only. ``date``: the records' time, by default that of the call, the
+    same in every attempt of a task."""
     ship(records.sparkSession)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     schema = to_arrow(MANIFEST)
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -251,7 +266,8 @@ def write_warc(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYT
         for b in batches:
             for row in b.to_pylist():
                 payload = (row["payload"] or "").encode("utf-8") if row["refers_to"] is None else b""
-                record = make_record(row["key"], row["url"], payload, row["digest"], row["payload_bytes"], row["refers_to"])
+                record = make_record(row["key"], row["url"], payload, row["digest"], row["payload_bytes"], row["refers_to"],
+                                     row["refers_to_url"], date)
                 if done := out.add(row["key"], row["url"], record):
                     yield pa.RecordBatch.from_pydict(done, schema=schema)
         if done := out.close():
@@ -278,8 +294,9 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(headers["X-Payload-Length"])
                     if kind == "response":
-                        size = len(block)
-                        if digest32(block) != digest:
+                        payload = block[block.index(b"\r\n\r\n") + 4:]
+                        size = len(payload)
+                        if digest32(payload) != digest:
                             raise ValueError(f"payload digest differs in {path} at {offset}")
                     key, ref = headers.get("X-Record-Key", ""), headers.get("X-Refers-To-Key")
                     rows.append((int(key) if key else None, headers.get("WARC-Target-URI"), kind,
@@ -316,13 +333,14 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                      F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("sha", F.sha1(F.encode("payload", "UTF-8"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = (p.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("sha", "payload_bytes")
-             .agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-             .select(F.col("sha").alias("s"), F.col("payload_bytes").alias("b"), "first"))
+             .agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("f"), F.count("*").alias("n")).where("n > 1")
+             .select(F.col("sha").alias("s"), F.col("payload_bytes").alias("b"), F.col("f.key").alias("first"), F.col("f.url").alias("first_url")))
     out = p.join(first, (F.col("sha") == F.col("s")) & (F.col("payload_bytes") == F.col("b")), "left")
     ref = F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
     # a revisit's payload is not needed any more: it is dropped before writing
     return out.select("key", "url", F.when(ref.isNull(), F.col("payload")).alias("payload"),
-                      base32_of_hex(F.col("sha")).alias("digest"), "payload_bytes", ref.alias("refers_to"))
+                      base32_of_hex(F.col("sha")).alias("digest"), "payload_bytes", ref.alias("refers_to"),
+                      F.when(ref.isNotNull(), F.col("first_url")).alias("refers_to_url"))
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
