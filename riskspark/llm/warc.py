@@ -160,8 +160,15 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:int(headers["Content-Length"])]
 
 
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block without its HTTP head, if it has one."""
+    if headers.get("Content-Type", "").startswith("application/http"):
+        return block[block.index(b"\r\n\r\n") + 4:]
+    return block
+
+
 def read_package(path: str) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of every record, by its index line."""
+    """(headers, payload, offset, length) of every record, by its index line."""
     package, f = open_package(path)
     try:
         start, length = package.place(INDEX)
@@ -169,7 +176,7 @@ def read_package(path: str) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
             entry = json.loads(line.split(" ", 2)[2])
             raw = package.ranged(ARCHIVE, entry["offset"], entry["length"])
             headers, block = parse_record(raw)
-            yield headers, block, entry["offset"], entry["length"]
+            yield headers, payload_of(headers, block), entry["offset"], entry["length"]
     finally:
         f.close()
 
@@ -289,12 +296,11 @@ def read_warc(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(b.schema.get_field_index("path")).to_pylist():
                 rows = []
-                for headers, block, offset, length in read_package(path):
+                for headers, payload, offset, length in read_package(path):
                     kind = headers["WARC-Type"]
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(headers["X-Payload-Length"])
                     if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4:]
                         size = len(payload)
                         if digest32(payload) != digest:
                             raise ValueError(f"payload digest differs in {path} at {offset}")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from riskspark.llm.common import shared_path
-from riskspark.llm.warc import ARCHIVE, INDEX, Package, plan_records, read_package, read_warc, warc_round_trip, write_warc
+from riskspark.llm.warc import ARCHIVE, INDEX, Package, open_package, parse_record, plan_records, read_package, read_warc, warc_round_trip, write_warc
 
 PAGES = "page_id long, url string, html string, key string, digest int"
 
@@ -90,10 +90,14 @@ def test_empty_table(spark):
 def test_records_have_the_mandatory_headers(spark):
     df = spark.createDataFrame([(a, b, c, "clash", 1) for a, b, c in ROWS], PAGES)
     manifest = write_warc(plan_records(df), shared_path(spark, "warc-headers"), date="2020-02-03T04:05:06Z")
-    records = [(h, block) for r in manifest.collect() for h, block, *_ in read_package(r.path)]
-    by_id = {h["WARC-Record-ID"]: h for h, _ in records if h["WARC-Type"] == "response"}
-    assert len(records) == len(ROWS) and any(h["WARC-Type"] == "revisit" for h, _ in records)
-    for h, block in records:
+    records = []
+    for r in manifest.collect():
+        package, f = open_package(r.path)
+        with f:
+            records += [(*parse_record(package.ranged(ARCHIVE, at, n)), payload) for _, payload, at, n in read_package(r.path)]
+    by_id = {h["WARC-Record-ID"]: h for h, *_ in records if h["WARC-Type"] == "response"}
+    assert len(records) == len(ROWS) and any(h["WARC-Type"] == "revisit" for h, *_ in records)
+    for h, block, read in records:
         assert h["WARC-Date"] == "2020-02-03T04:05:06Z" and h["WARC-Record-ID"].startswith("<urn:uuid:")
         if h["WARC-Type"] == "revisit":
             target = by_id[h["WARC-Refers-To"]]
@@ -101,6 +105,6 @@ def test_records_have_the_mandatory_headers(spark):
             assert target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and block == b""
         else:
             head, _, payload = block.partition(b"\r\n\r\n")
-            assert h["Content-Type"] == "application/http; msgtype=response" and head.startswith(b"HTTP/1.1 200 OK\r\n")
+            assert payload == read and h["Content-Type"] == "application/http; msgtype=response" and head.startswith(b"HTTP/1.1 200 OK\r\n")
             assert f"Content-Length: {len(payload)}".encode() in head
             assert "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() == h["WARC-Payload-Digest"]
