@@ -99,3 +99,47 @@ def test_whole_table(spark):
     assert len(out) == len(rows) and sum(r.text == TEXT for r in out) == 32
     assert all(r.n_chars == len(r.text) for r in out) and {r.text for r in out if r.page_id in (30, 31)} == {""}
     assert dom.extract_main_text(df.where("page_id > 99")).collect() == []
+
+
+def brute_decode(p, odds):
+    """The best total over all consistent assignments, and the main sets that reach it."""
+    import itertools
+    n, allowed = len(p.tag), {0: (0, 1, 2), 1: (1, 2), 2: (2,)}
+    best, sets = None, []
+    for rest in itertools.product((0, 1, 2), repeat=n - 1):
+        state = (0, *rest)
+        if any(state[i] not in allowed[state[p.parent[i]]] for i in range(1, n)):
+            continue
+        total = sum(odds[i] if state[i] == 1 else -odds[i] if state[i] == 2 else -max(odds[i], 0) - 0.1 if p.own[i][0] else 0
+                    for i in range(1, n))
+        kept = tuple(s == 1 for s in state)
+        if best is None or total > best + 1e-9:
+            best, sets = total, [kept]
+        elif abs(total - best) <= 1e-9:
+            sets.append(kept)
+    return sets
+
+
+SMALL = ["<div><p>one two three</p><p>four</p></div><ul><li>menu</li></ul>",
+         "<nav><a href=x>home</a></nav><article><h1>Title of it</h1><p>Words of the story, in a line.</p></article>",
+         "text <div>inside<div>deeper<p>deepest</p></div></div> after", "<div><div><div><p>x y z</p></div></div></div><footer>end</footer>", "", "plain"]
+
+
+def test_decoding_is_the_best_of_all_assignments():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for source in SMALL:
+        p = dom.Page(source)
+        assert len(p.tag) <= 9
+        for _ in range(12):
+            odds = rng.normal(0, 2, len(p.tag))
+            assert tuple(dom.decode(p, odds)) in brute_decode(p, odds.tolist())
+
+
+def test_texts_of_a_table_against_all_assignments(trees):
+    import numpy as np
+    for source, text in zip(SMALL, dom.texts_of(SMALL, trees)):
+        p = dom.Page(source)
+        odds = np.clip(trees.raw(dom.node_features(p)), -8, 8)
+        odds[[i for i in range(len(odds)) if p.hidden[i]]] = -8
+        assert text in {"\n".join(t for node, t in p.blocks if kept[node]) for kept in brute_decode(p, odds.tolist())}
