@@ -135,18 +135,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.length("text")
     e = with_next(d).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(length(text) div 3 AS int))"),
                                                    F.expr("left(next_text, cast(length(text) div 3 AS int))")))
-    both = e.select("doc_id", "bucket", "rn", "next_bucket", "next_rn", n.cast("long").alias("n_chars"),
-                    F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-                    F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"),
-                                      F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
-    flat = both.select("bucket", "rn", "v.kind", F.col("v.text").alias("text"), "doc_id", "next_bucket", "next_rn",
-                       "n_chars", "edited_sha256")
-    info = [F.first(c).alias(c) for c in ("doc_id", "next_bucket", "next_rn", "n_chars", "edited_sha256")]
-    fp = fingerprints(flat, ["bucket", "rn", "kind"], "text", info)
-    pair = fp.groupBy("bucket", "rn").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "next_bucket", "next_rn", "n_chars", "edited_sha256")],
-        F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"),
-        F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
+    # only numbers go through the aggregate over the terms: a string among its buffers would sort every term
+    info = e.select("doc_id", "bucket", "rn", "next_bucket", "next_rn", n.cast("long").alias("n_chars"),
+                    F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    flat = e.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"),
+                                                      F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
+    fp = fingerprints(flat.select("bucket", "rn", "v.kind", F.col("v.text").alias("text")), ["bucket", "rn", "kind"], "text")
+    pair = fp.groupBy("bucket", "rn").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"),
+                                          F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited_fp"))
+    pair = info.join(pair, ["bucket", "rn"])
     # a few numbers per document, read twice below and by any search: a written table
     pair = stored(pair, "fingerprints")
     nxt = pair.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("fp").alias("next_fp"))
