@@ -2,10 +2,13 @@
 
 A package is a ZIP with *stored* (uncompressed) members: ``archive/data.warc.gz``
 holds one gzip member per record, ``indexes/index.cdx`` one line per record with
-its place inside the archive member. The reader never extracts a package: it
-reads the end-of-central-directory record (ZIP64 too), walks the central
-directory, finds the stored members, reads the index and then range-reads single
-records.
+its place inside the archive member, sorted by the reversed host and path of its URL.
+Described packages also hold ``pages/pages.jsonl`` (the responses) and
+``datapackage.json`` (every member's path, size and SHA-256). The reader never
+extracts a package: it reads the end-of-central-directory record (ZIP64 too), walks
+the central directory, finds the stored members, reads the index and then
+range-reads the records, neighbouring ones by one range of up to ``RANGE_BYTES``
+(a larger record is a range of its own).
 
 Tasks write packages into the shared folder under names that no other attempt
 uses and return manifest rows; only packages of committed attempts are listed, so
@@ -15,6 +18,7 @@ Defined cases: a null payload is empty. Among records with equal payloads of at
 least ``min_revisit_bytes`` bytes, the one with the smallest key is the response
 and the others revisit it (rows with that same key are responses too; rows with a
 null key revisit if any key is known). Columns beyond the named ones are ignored.
+A record larger than ``PACKAGE_BYTES`` ends the package that it stands in.
 An empty table writes no package and reads back no record.
 """
 
@@ -32,6 +36,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +46,8 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import shared_path, ship, stored, to_arrow
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+PAGE_LIST, DESCRIPTOR = "pages/pages.jsonl", "datapackage.json"
+RANGE_BYTES = 4 << 20        # neighbouring records are read by one range of at most this size
 PACKAGE_BYTES = 16 << 20     # a package is closed once its archive member reaches this size
 RECORD_SCHEMA = ("key long, url string, record_type string, refers_to long, payload_bytes long, "
                  "payload_digest string, package string, offset long, length long")
@@ -64,6 +71,7 @@ class Package:
     def __init__(self, read, size: int):
         self.read, self.size = read, size
         self.members = dict(self.directory())
+        self.places: dict[str, tuple[int, int]] = {}
 
     def directory(self) -> Iterator[tuple[str, tuple[int, int]]]:
         start = max(0, self.size - (22 + 65535))
@@ -114,7 +122,9 @@ class Package:
         return packed, local
 
     def place(self, name: str) -> tuple[int, int]:
-        """First byte and length of a stored member's data."""
+        """First byte and length of a stored member's data; its local header is read once."""
+        if name in self.places:
+            return self.places[name]
         if name not in self.members:
             raise KeyError(f"no stored member {name!r}")
         local, length = self.members[name]
@@ -122,7 +132,8 @@ class Package:
         if head[:4] != LOCAL:
             raise ValueError("damaged local header")
         n_name, n_extra = struct.unpack("<HH", head[26:30])
-        return local + 30 + n_name + n_extra, length
+        self.places[name] = local + 30 + n_name + n_extra, length
+        return self.places[name]
 
     def ranged(self, name: str, offset: int, length: int) -> bytes:
         start, total = self.place(name)
@@ -167,16 +178,34 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
+def spans(places: Iterable[tuple[int, int]], most: int = RANGE_BYTES) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """``(start, length, places)`` of the ranges to read: places (offset, length) that
+    follow each other without a gap share a range of at most ``most`` bytes."""
+    start = end = 0
+    inside: list[tuple[int, int]] = []
+    for offset, length in sorted(places):
+        if inside and (offset != end or offset + length - start > most):
+            yield start, end - start, inside
+            inside = []
+        if not inside:
+            start = offset
+        inside.append((offset, length))
+        end = offset + length
+    if inside:
+        yield start, end - start, inside
+
+
 def read_package(path: str) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, payload, offset, length) of every record, by its index line."""
+    """(headers, payload, offset, length) of every record that the index names."""
     package, f = open_package(path)
     try:
         start, length = package.place(INDEX)
-        for line in package.read(start, length).decode("utf-8").splitlines():
-            entry = json.loads(line.split(" ", 2)[2])
-            raw = package.ranged(ARCHIVE, entry["offset"], entry["length"])
-            headers, block = parse_record(raw)
-            yield headers, payload_of(headers, block), entry["offset"], entry["length"]
+        entries = [json.loads(line.split(" ", 2)[2]) for line in package.read(start, length).decode("utf-8").splitlines()]
+        for first, total, places in spans((int(e["offset"]), int(e["length"])) for e in entries):
+            data = package.ranged(ARCHIVE, first, total)
+            for at, n in places:
+                headers, block = parse_record(data[at - first:at - first + n])
+                yield headers, payload_of(headers, block), at, n
     finally:
         f.close()
 
@@ -220,19 +249,47 @@ def make_record(key, url, payload: bytes, digest: str, size: int, refers_to, ref
     return gzip.compress(text.encode("utf-8") + block + b"\r\n\r\n", 1, mtime=0)
 
 
+def search_key(url: str) -> str:
+    """The URL as indexes sort it: host labels reversed, then path and query, without
+    spaces; what is no URL stands as it is."""
+    try:
+        u = urlsplit(url)
+        host = u.hostname or ""
+    except ValueError:
+        u, host = None, ""
+    key = f"{','.join(reversed(host.split('.')))}){u.path or '/'}{'?' + u.query if u.query else ''}" if host else url
+    return key.lower().replace(" ", "%20") or "-"
+
+
+def json_lines(rows: Iterable[dict]) -> bytes:
+    return "".join(json.dumps(r) + "\n" for r in rows).encode("utf-8")
+
+
+def descriptor(members: list[tuple[str, bytes]], date: str) -> bytes:
+    """``datapackage.json``: the package's members with their sizes and hashes."""
+    return json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "created": date, "resources": [
+        {"name": os.path.basename(name), "path": name, "hash": f"sha256:{hashlib.sha256(data).hexdigest()}", "bytes": len(data)}
+        for name, data in members]}, indent=1).encode("utf-8")
+
+
 class PackageWriter:
     """Gathers records into packages of bounded size in ``folder``."""
 
-    def __init__(self, folder: str, limit: int):
-        self.folder, self.limit = folder, limit
+    def __init__(self, folder: str, limit: int, date: str = EPOCH, described: bool = False):
+        self.folder, self.limit, self.date, self.described = folder, limit, date, described
         self.reset()
 
     def reset(self) -> None:
-        self.archive, self.lines, self.offset = [], [], 0
-
-    def add(self, key, url, record: bytes) -> dict | None:
-        entry = {"offset": self.offset, "length": len(record)}
-        self.lines.append(f"{json.dumps(clean(url))[1:-1].replace(' ', '%20') or '-'} {key} {json.dumps(entry)}\n")
+        self.archive, self.lines, self.pages, self.offset = [], [], [], 0
+
+    def add(self, key, url, record: bytes, digest: str = "", revisit: bool = False) -> dict | None:
+        url = clean(url)
+        entry = {"url": url, "mime": "warc/revisit" if revisit else "text/html", "digest": f"sha1:{digest}",
+                 "offset": str(self.offset), "length": str(len(record)), "filename": os.path.basename(ARCHIVE)}
+        stamp = "".join(c for c in self.date if c.isdigit())
+        self.lines.append(f"{json.dumps(search_key(url))[1:-1]} {stamp} {json.dumps(entry)}\n")
+        if self.described and not revisit:
+            self.pages.append({"id": record_id(key, url)[len("<urn:uuid:"):-1], "url": url, "ts": self.date})
         self.archive.append(record)
         self.offset += len(record)
         return self.close() if self.offset >= self.limit else None
@@ -240,12 +297,17 @@ class PackageWriter:
     def close(self) -> dict | None:
         if not self.lines:
             return None
+        members = [(ARCHIVE, b"".join(self.archive)), (INDEX, "".join(sorted(self.lines)).encode("utf-8"))]
+        self.archive = []
+        if self.described:
+            head = {"format": "json-pages-1.0", "id": "pages", "title": "All Pages"}
+            members.append((PAGE_LIST, json_lines([head, *self.pages])))
+            members.append((DESCRIPTOR, descriptor(members, self.date)))
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-            for name, parts in ((ARCHIVE, self.archive), (INDEX, [x.encode("utf-8") for x in self.lines])):
+            for name, data in members:
                 with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as member:
-                    for part in parts:
-                        member.write(part)
+                    member.write(data)
         path = f"{self.folder}/{uuid.uuid4().hex}.wacz"
         store, inner = fs.FileSystem.from_uri(local_uri(path))
         store.create_dir(os.path.dirname(inner), recursive=True)
@@ -259,23 +321,25 @@ class PackageWriter:
 MANIFEST = "path string, records long, bytes long"
 
 
-def write_warc(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, date: str | None = None) -> DataFrame:
+def write_warc(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, date: str | None = None,
+               described: bool = False) -> DataFrame:
     """Write ``key, url, payload, digest, payload_bytes, refers_to, refers_to_url``
     rows; returns the manifest (one row per package), stored so that it names committed
     tasks' packages only. ``date``: the records' time, by default that of the call, the
-    same in every attempt of a task."""
+    same in every attempt of a task. ``described``: with the list of pages and the
+    description of all members."""
     ship(records.sparkSession)
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     schema = to_arrow(MANIFEST)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        out = PackageWriter(folder, package_bytes)
+        out = PackageWriter(folder, package_bytes, date, described)
         for b in batches:
             for row in b.to_pylist():
                 payload = (row["payload"] or "").encode("utf-8") if row["refers_to"] is None else b""
                 record = make_record(row["key"], row["url"], payload, row["digest"], row["payload_bytes"], row["refers_to"],
                                      row["refers_to_url"], date)
-                if done := out.add(row["key"], row["url"], record):
+                if done := out.add(row["key"], row["url"], record, row["digest"], row["refers_to"] is not None):
                     yield pa.RecordBatch.from_pydict(done, schema=schema)
         if done := out.close():
             yield pa.RecordBatch.from_pydict(done, schema=schema)
@@ -351,8 +415,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                     min_revisit_bytes: int = 0) -> DataFrame:
-    """Write every page as a record, then read all packages back."""
+    """Write every page as a record of described packages, then read them all back."""
     spark = pages.sparkSession
     manifest = write_warc(plan_records(pages, id_col, url_col, payload_col, min_revisit_bytes),
-                          shared_path(spark, "warc"))
+                          shared_path(spark, "warc"), described=True)
     return read_warc(manifest)

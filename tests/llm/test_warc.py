@@ -1,12 +1,15 @@
 import base64
 import hashlib
 import io
+import json
+import random
 import zipfile
 
 import pytest
 
 from riskspark.llm.common import shared_path
-from riskspark.llm.warc import ARCHIVE, INDEX, Package, open_package, parse_record, plan_records, read_package, read_warc, warc_round_trip, write_warc
+from riskspark.llm.warc import (ARCHIVE, DESCRIPTOR, INDEX, PAGE_LIST, Package, open_package, parse_record, plan_records,
+                                read_package, read_warc, search_key, spans, warc_round_trip, write_warc)
 
 PAGES = "page_id long, url string, html string, key string, digest int"
 
@@ -108,3 +111,68 @@ def test_records_have_the_mandatory_headers(spark):
             assert payload == read and h["Content-Type"] == "application/http; msgtype=response" and head.startswith(b"HTTP/1.1 200 OK\r\n")
             assert f"Content-Length: {len(payload)}".encode() in head
             assert "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() == h["WARC-Payload-Digest"]
+
+
+def test_neighbouring_records_share_a_range():
+    rng = random.Random(3)
+    for most in (1, 50, 10_000):
+        at, places = 0, []
+        for _ in range(200):
+            n = rng.randint(1, 120)
+            places.append((at, n))
+            at += n + (7 if rng.random() < 0.1 else 0)      # a gap now and then
+        rng.shuffle(places)
+        out = list(spans(places, most))
+        assert [p for _, _, inside in out for p in inside] == sorted(places)
+        for start, length, inside in out:
+            assert start == inside[0][0] and start + length == sum(inside[-1]) and length == sum(n for _, n in inside)
+            assert length <= most or len(inside) == 1
+        # no two neighbouring ranges could have been one
+        assert all(a + n != b or n + inside[0][1] > most for (a, n, _), (b, _, inside) in zip(out, out[1:]))
+    assert list(spans([])) == []
+
+
+def test_search_keys():
+    assert search_key("https://www.Example.org:8080/A b?q=1") == "org,example,www)/a%20b?q=1"
+    assert search_key("http://example.org") == "org,example)/"
+    assert search_key("") == "-" and search_key("no url") == "no%20url" and search_key("http://[bad") == "http://[bad"
+
+
+def test_described_packages(spark):
+    rows = [(k, f"http://host{k % 3}.example/p{k}", f"page {k // 2} " * 50) for k in range(40)] + [(40, None, "x" * 9000), (41, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = write_warc(plan_records(df), shared_path(spark, "warc-described"), package_bytes=2000, date="2020-02-03T04:05:06Z", described=True)
+    listed, indexed = [], 0
+    for r in manifest.collect():
+        with zipfile.ZipFile(r.path.removeprefix("file://").removeprefix("file:")) as z:
+            assert z.testzip() is None and set(z.namelist()) == {ARCHIVE, INDEX, PAGE_LIST, DESCRIPTOR}
+            told = json.loads(z.read(DESCRIPTOR))
+            assert {m["path"] for m in told["resources"]} == {ARCHIVE, INDEX, PAGE_LIST}
+            for m in told["resources"]:
+                data = z.read(m["path"])
+                assert m["bytes"] == len(data) and m["hash"] == "sha256:" + hashlib.sha256(data).hexdigest()
+            head, *pages = [json.loads(x) for x in z.read(PAGE_LIST).decode().splitlines()]
+            assert head["format"] == "json-pages-1.0" and all(p["ts"] == told["created"] == "2020-02-03T04:05:06Z" for p in pages)
+            listed += [p["url"] for p in pages]
+            lines = z.read(INDEX).decode().splitlines()
+            assert lines == sorted(lines) and len(lines) == r.records
+            archive = z.read(ARCHIVE)
+            for line in lines:
+                key, stamp, entry = line.split(" ", 2)
+                e = json.loads(entry)
+                h, _ = parse_record(archive[int(e["offset"]):int(e["offset"]) + int(e["length"])])
+                assert stamp == "20200203040506" and key == search_key(e["url"]) and e["url"] == h["WARC-Target-URI"]
+                assert e["digest"] == h["WARC-Payload-Digest"] and (e["mime"] == "warc/revisit") == (h["WARC-Type"] == "revisit")
+                indexed += 1
+    assert indexed == 42 and sorted(listed) == sorted([u or "" for k, u, _ in rows if k % 2 == 0 or k == 41])
+    assert read_warc(manifest).count() == 42
+
+
+def test_a_payload_larger_than_a_package(spark):
+    big = "".join(random.Random(4).choices("abcdefghij ", k=3_000_000))
+    df = spark.createDataFrame([(1, "u1", "a"), (2, "u2", big), (3, "u3", "b"), (4, "u4", big)], "page_id long, url string, html string")
+    manifest = write_warc(plan_records(df), shared_path(spark, "warc-large"), package_bytes=1 << 16)
+    got = {r.key: (r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in read_warc(manifest).collect()}
+    digest = base64.b32encode(hashlib.sha1(big.encode()).digest()).decode()
+    assert got[2] == ("response", 3_000_000, digest, None) and got[4] == ("revisit", 3_000_000, digest, 2) and len(got) == 4
+    assert max(r.bytes for r in manifest.collect()) > 1 << 16
