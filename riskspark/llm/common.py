@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +110,15 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bounded_sample(labelled: DataFrame, key: str, bound: int) -> DataFrame:
-    """The ``bound`` rows with the smallest hash of ``key``: a deterministic
-    sample, at most ``bound`` rows (top-k, so nothing else is gathered)."""
-    return labelled.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(bound)
+    """The ``bound`` rows with the smallest hash of ``key`` (ties by key): a
+    deterministic sample, all rows of a table that has no more.
+
+    Rows are counted by the length of their hash in bits (64 numbers). Lengths double
+    the range of hashes, so the shortest ones that hold ``bound`` rows hold some two
+    times as many, whatever the table's size and partitions; only these are sorted."""
+    least = F.xxhash64(F.col(key).cast("string"))
+    length = F.length(F.bin(least.bitwiseXOR(F.lit(-(1 << 63)))))      # of the hash, moved to start at 0
+    counts = dict(labelled.groupBy(length.alias("length")).agg(F.count("*").alias("n")).collect())
+    within = accumulate(counts.get(k, 0) for k in range(1, 65))
+    cut = next((k for k, n in enumerate(within, 1) if n >= bound), 64)
+    return labelled.where(length <= cut).orderBy(least, F.col(key)).limit(bound)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows, stored
+from riskspark.llm.common import arrow_map, bounded_sample, fold, id_text, keep_rows, ship, stored, to_arrow
 from riskspark.llm.linear import Ftrl, epochs, probabilities
 from riskspark.llm.quality import fit_task
 
@@ -110,17 +110,21 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, passes: int = 2) ->
 
 
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
-    """How many training documents have each feature: partial counters per batch,
-    summed by feature (``DIM`` rows at most reach the driver)."""
-    def part(b: pa.RecordBatch):
-        df, n = np.zeros(DIM, np.int64), 0
-        for t in b.column(0).to_pylist():
-            df += features(t) > 0
-            n += 1
-        yield {"f": [*range(DIM), DIM], "n": [*df.tolist(), n]}
-
-    # a handful of partial rows per task would do; sums merge map-side anyway
-    rows = arrow_map(train.select("text"), part, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    """How many training documents have each feature: one counter per task, sent at
+    its end and summed by feature (``DIM + 1`` rows reach the driver)."""
+    ship(train.sparkSession)
+    schema = to_arrow("f int, n long")
+
+    def count(batches):
+        df = np.zeros(DIM + 1, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                df[:DIM] += features(t) > 0
+                df[DIM] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen])], schema=schema)
+
+    rows = train.select("text").mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIM + 1, np.int64)
     for f, n in rows:
         out[f] = n

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.llm import langid, quality, toxicity
-from riskspark.llm.common import fold
+from riskspark.llm.common import bounded_sample, fold
 from riskspark.llm.linear import Ftrl, epochs, platt, probabilities
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -321,3 +321,37 @@ def test_equal_probabilities_go_to_the_first_language():
     flat = np.zeros((langid.DIM, 3), np.float32)
     model = ({"names": ["aa", "bb", "cc"], "t": 1.0}, flat.tobytes(), np.ones(langid.DIM))
     assert langid.predictions(["some text"], model) == (["aa"], [pytest.approx(1 / 3)])
+
+
+def test_bounded_samples_are_the_smallest_hashes(spark):
+    rows = [(k,) for k in range(3000)] + [(None,), (7,), (7,)]
+    df = spark.createDataFrame(rows, "k long").repartition(13)
+    every = [r.k for r in df.orderBy(F.xxhash64(F.col("k").cast("string")), "k").collect()]
+    for bound in (1, 2, 160, 2000, 3003, 5000):
+        assert sorted((r.k for r in bounded_sample(df, "k", bound).collect()), key=str) == sorted(every[:bound], key=str)
+    same = spark.createDataFrame([("a",)] * 50, "k string")
+    assert bounded_sample(same, "k", 20).count() == 20 and bounded_sample(same, "k", 99).count() == 50
+    assert bounded_sample(df.where("k < 0"), "k", 10).count() == 0
+
+
+def test_a_bounded_sample_sorts_few_rows_whatever_the_partitions(spark):
+    """What reaches the sort: the rows whose hash is short enough, about twice the bound."""
+    df = spark.range(40_000).repartition(200)
+    for bound in (50, 500):
+        plan = bounded_sample(df, "id", bound)._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "Filter":
+            plan = plan.children().head()
+        short = plan.condition().sql()
+        kept = df.where(short).count()
+        assert bound <= kept <= 3 * bound
+
+
+def test_document_frequencies_count_documents(spark, graded):
+    texts = [t for _, t in graded[0] if t]
+    got, n = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = np.zeros(langid.DIM, np.int64)
+    for t in texts:
+        want += langid.features(t) > 0
+    assert n == len(texts) and (got == want).all()
+    got, n = langid.document_frequencies(spark.createDataFrame([], "text string"))
+    assert n == 0 and not got.any()
