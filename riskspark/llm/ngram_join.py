@@ -185,6 +185,13 @@ def frequency_key(tokens: np.ndarray, parts: int) -> np.ndarray:
     return part_of(tokens, parts) << U(32) | (tokens & U(0xFFFFFFFF))
 
 
+def runs_of(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(part, from, to)`` for each part present in a sorted array: a flush costs what
+    it holds, however many parts there are."""
+    present, start = np.unique(part, return_index=True)
+    return list(zip(present.tolist(), start.tolist(), [*start[1:].tolist(), len(part)]))
+
+
 class Gather:
     """Distinct sets of a task, handed on in flushes of about ``FLUSH`` tokens."""
 
@@ -219,15 +226,12 @@ def frequent_tokens(docs: DataFrame, parts: int, size: int, least: int = RARE_BE
 
     def rows_of(gathered):
         u, c = np.unique(np.concatenate(gathered), return_counts=True)
-        edges = np.searchsorted(part_of(u, parts), np.arange(parts + 1, dtype=np.uint64))
         low = u.astype(np.uint32)
         cols: list[list] = [[], [], [], []]
-        for p in range(parts):
-            a, b = edges[p], edges[p + 1]
-            if a < b:
-                many = c[a:b] > 1
-                for col, v in zip(cols, (p, low[a:b][~many].tobytes(), low[a:b][many].tobytes(), c[a:b][many].astype(np.uint32).tobytes())):
-                    col.append(v)
+        for p, a, b in runs_of(part_of(u, parts)):
+            many = c[a:b] > 1
+            for col, v in zip(cols, (p, low[a:b][~many].tobytes(), low[a:b][many].tobytes(), c[a:b][many].astype(np.uint32).tobytes())):
+                col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def count(batches):
@@ -326,14 +330,12 @@ def index_entries(docs: DataFrame, frequent, parts: int, size: int, percent: int
         salt = finish(node.view(np.uint64)) % ways
         part = finish(key + salt * U(BASE)) % U(parts)
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         cols: list[list] = [[] for _ in schema]
         forced = (ways > 1).astype(np.uint8)
-        for p in range(parts):
-            at = order[edges[p]:edges[p + 1]]
-            if len(at):
-                for col, v in zip(cols, (p, key[at].tobytes(), node[at].tobytes(), n[at].tobytes(), forced[at].tobytes())):
-                    col.append(v)
+        for p, a, b in runs_of(part[order]):
+            at = order[a:b]
+            for col, v in zip(cols, (p, key[at].tobytes(), node[at].tobytes(), n[at].tobytes(), forced[at].tobytes())):
+                col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def run(batches):

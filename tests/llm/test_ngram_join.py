@@ -144,3 +144,8 @@ def test_one_per_group(docs, rows_of):
 
 def test_empty_table(empty):
     assert nj.jaccard_components(empty).collect() == [] == nj.one_per_group(empty).collect()
+
+
+def test_runs_of_sorted_parts():
+    part = np.array([0, 0, 3, 3, 3, 1 << 40], np.uint64)
+    assert nj.runs_of(part) == [(0, 0, 2), (3, 2, 5), (1 << 40, 5, 6)] and nj.runs_of(part[:0]) == []
