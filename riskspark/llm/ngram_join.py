@@ -537,10 +537,11 @@ def group_links(members: DataFrame, sets, percent: int) -> DataFrame:
         """Deal the sets of each (group, pool, size class) to blocks of bounded size."""
         d = d.withColumn("pool", pool)
         per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.max("n")).cast("int")))
-        count = d.groupBy("grp", "pool", "c").agg(F.ceil(F.count("*") / per).cast("long").alias("k"))
-        d = d.join(count, ["grp", "pool", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+        count = stored(d.groupBy("grp", "pool", "c").agg(F.ceil(F.count("*") / per).cast("long").alias("k")), "block-counts")
+        # one row per class against all its sets: a hot class is not shuffled into one task for it
+        d = d.join(small(count), ["grp", "pool", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
         d = d.withColumn("block", F.xxhash64("grp", "pool", "c", "i"))
-        return stored(d.join(whole, "node").select("block", "node", "tokens"), "blocks"), stored(count, "block-counts")
+        return stored(d.join(whole, "node").select("block", "node", "tokens"), "blocks"), count
 
     def expand(count: DataFrame, near: bool) -> DataFrame:
         return count.select("grp", "pool", "c", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
