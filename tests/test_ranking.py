@@ -85,3 +85,43 @@ def test_bracket_matches_numpy_many_columns(spark):
     got = ranking.percentiles(df, ["a", "b", "c"], qs)[()]
     for name, v in (("a", a), ("b", b), ("c", c[~np.isnan(c)])):
         assert np.allclose(got[name], np.quantile(v, qs), atol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 150])
+def test_narrowing_of_any_distribution(spark, rows):
+    """Far tails, both signs, infinite values, heavy ties and neighbouring doubles."""
+    rng = np.random.default_rng(5)
+    inf = float("inf")
+    vals = [*(rng.choice([-1, 1], 300) * 10.0 ** rng.uniform(-300, 300, 300)), *[7.0] * 200, *(1.0 + np.arange(200) * 2.3e-16),
+            *[-inf] * 5, *[inf] * 5, *[0.0, -0.0] * 20]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    qs = [0.0, 0.01, 0.2, 0.45, 0.5, 0.55, 0.6, 0.9, 0.99]
+    got = ranking.percentiles(df, ["v"], qs, bracket_rows=rows)[()]["v"]
+    x = sorted(vals)
+    for q, g in zip(qs, got):
+        h = (len(x) - 1) * q
+        lo, hi = x[int(np.floor(h))], x[int(np.ceil(h))]
+        if np.isinf(lo):        # interpolated between equal infinities, as ever
+            assert np.isnan(g), q
+        else:
+            assert g == lo + (h - np.floor(h)) * (hi - lo), q
+
+
+@pytest.mark.parametrize("rows", [20])
+def test_filled_percentiles_of_all_but_one_fold(spark, rows):
+    """Ranks shifted by the missing values, counts added up over the other folds."""
+    rng = np.random.default_rng(6)
+    raw = [(k % 3, None if k % 7 == 0 else float(rng.integers(0, 40)), None if k % 3 else float(k % 5)) for k in range(400)]
+    df = spark.createDataFrame(raw, "fold int, a double, b double")
+    qs = [0.5, 0.0, 0.01, 0.4, 0.99]
+    got = ranking.percentiles(df, ["a", "b"], qs, bracket_rows=rows, without="fold", fill=True)
+    assert sorted(got) == [(0,), (1,), (2,)]
+    for (f,), per in got.items():
+        for c, name in ((1, "a"), (2, "b")):
+            mine = [r[c] for r in raw if r[0] != f]
+            have = [v for v in mine if v is not None]
+            if not have:
+                assert per[name] == [None] * 5
+                continue
+            filled = [np.median(have) if v is None else v for v in mine]
+            assert np.allclose(per[name], np.quantile(filled, qs), rtol=0, atol=1e-12), (f, name)
