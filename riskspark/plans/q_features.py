@@ -16,6 +16,7 @@ from riskspark.operators import ranking
 from riskspark.plans.fixtures import LABELED_SQL, LOAN_VIEW_SQL, NUMERIC_COLS, ONEHOT_COLS, ORDINAL_MAPS, \
     split_loans, split_sql, with_cte
 from riskspark.plans.registry import register, rounded, rsql
+from riskspark.session import materialize
 
 _PRE = (LOAN_VIEW_SQL, LABELED_SQL, split_sql("labeled"))
 _TRAIN = "split = 'train'"
@@ -276,5 +277,6 @@ def variant_frames(s: DataFrame, cols) -> DataFrame:
 
 @register("fe11_preprocess_variants", _fe11_sql(NUMERIC_COLS))
 def fe11_preprocess_variants(spark, d):
-    s = split_loans(spark, d).select("row_id", "split", *NUMERIC_COLS)
+    # the fit and every variant read the joined view
+    s = materialize(split_loans(spark, d).select("row_id", "split", *NUMERIC_COLS))
     return rounded(_long(variant_frames(s, NUMERIC_COLS), ["variant", "row_id", "split"], NUMERIC_COLS))
