@@ -29,3 +29,18 @@ def test_a_single_leaf(spark, tmp_path):
     m.write().overwrite().save(str(tmp_path / "m"))
     got = tree_scores(df, ["a"], saved_nodes(spark, str(tmp_path / "m")), "rf", "k").collect()
     assert len(got) == 20 and all(0 < r.score < 1 for r in got)
+
+
+def test_trees_fill_the_cores():
+    """A forest's rows came in the view's few partitions (3 for 720,000 rows on 8 cores)."""
+    assert M.tree_partitions(720_000, M.RF_PARTITION_ROWS, 12) == 12
+    assert M.tree_partitions(300, M.RF_PARTITION_ROWS, 12) == 1 and M.tree_partitions(0, 10, 12) == 1
+    assert M.tree_partitions(10**9, M.GBT_PARTITION_ROWS, 12) == 1000
+
+
+def test_forest_fit_deals_its_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, t: seen.update(parts=t.rdd.getNumPartitions(), n=t.count()))
+    df = spark.range(40_000).selectExpr("id % 2 AS label", "double(id) AS a").coalesce(1)
+    M.fit_model(df, ["a"], "rf")
+    assert seen == {"parts": spark.sparkContext.defaultParallelism, "n": 40_000}
