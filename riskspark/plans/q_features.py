@@ -236,7 +236,7 @@ FROM imp i LEFT JOIN sc ON i.feature = sc.feature""", ["value"])
 
 @register("fe10_featurize", _FE10_SQL)
 def fe10_featurize(spark, d):
-    s = split_loans(spark, d)
+    s = materialize(split_loans(spark, d))      # joined once for the fit and the features
     spec = loan_spec().fit(_train(s))
     out = spec.transform(s, keep=["row_id", "split"])
     return rounded(_long(out, ["row_id", "split"], spec.params["feature_list"]))

@@ -154,7 +154,7 @@ def pca9_standardize_if_needed(spark, d):
 @register("pca1_loan_features_variance")
 def pca1_loan_features_variance(spark, d):
     from riskspark.plans.q_features import _train, loan_spec
-    s = split_loans(spark, d)
+    s = materialize(split_loans(spark, d))      # joined once for the fit and the features
     spec = loan_spec().fit(_train(s))
     num = [c for c in spec.params["feature_list"] if c in spec.params["scaler"]]
     feats = materialize(spec.transform(_train(s), keep=["row_id"]))
@@ -174,7 +174,8 @@ def pca1_embeddings_variance(spark, d):
 def pca7_projection_2d(spark, d):
     from riskspark.plans.fixtures import NUMERIC_COLS
     from riskspark.plans.q_features import variant_frames
-    s = split_loans(spark, d).select("row_id", "split", *NUMERIC_COLS)
+    # the fits of the variants and of their components read the joined view
+    s = materialize(split_loans(spark, d).select("row_id", "split", *NUMERIC_COLS))
     v = variant_frames(s, NUMERIC_COLS)
     parts = []
     for name in ("baseline", "winsorize_1_99", "log1p"):
@@ -351,7 +352,7 @@ def pipeline_featurize_pca_lda(spark, d):
     """Entry B: featurize -> PCA at 95 % (k in [2, 20]) -> LDA on the scores
     -> per-split metrics; everything keyed by row_id, no positional pairing."""
     from riskspark.plans.q_features import _train, loan_spec
-    s = split_loans(spark, d)
+    s = materialize(split_loans(spark, d))      # joined once for the fit and the features
     spec = loan_spec().fit(_train(s))
     num = [c for c in spec.params["feature_list"] if c in spec.params["scaler"]]
     feats = materialize(spec.transform(s, keep=["row_id", "split", "label"]))
