@@ -103,3 +103,23 @@ def test_sparse_onehot_feeds_the_logistic_model(spark):
     b = M.score(M.fit_model(wide, names, "logistic", tol=1e-10), wide, names, keep=["id"])
     gap = a.withColumnRenamed("score", "s").join(b, "id").selectExpr("max(abs(s - score))").first()[0]
     assert gap < 1e-5
+
+
+def test_coefficients_of_levels_as_a_table(spark):
+    """More levels than one model takes: the fit was refused; the table's scores are the
+    sparse model's, with a missing level among them and an unseen one adding nothing."""
+    from riskspark.operators import level_model as LM
+    from riskspark.operators import models as M
+    rows = [(i, f"g{i % 4}" if i % 9 else None, f"h{i * 7 % 13}", i % 5 / 2.0, int(i % 4 == 0 or i % 11 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, h string, q double, label int")
+    cols = ["g", "h"]
+    assert FE.count_levels(df, cols) == 5 + 13
+    sparse = FE.fit_sparse_onehot(df, cols)
+    x = FE.apply_sparse_onehot(df, sparse, cols)
+    a = M.score(M.fit_model(x, ["levels", "q"], "logistic", tol=1e-12), x, ["levels", "q"], keep=["id"]).withColumnRenamed("score", "s")
+    m = LM.fit_level_logistic(df, cols, ["q"], "label", M._class_counts(df, "label"), tol=1e-5)
+    assert m.coefficients.count() == 18
+    r = LM.score_levels(m, df).join(a, "id").selectExpr("count(*) n", "max(abs(s - score)) gap").first()
+    assert r["n"] == 300 and r["gap"] < 1e-3
+    new = LM.score_levels(m, spark.createDataFrame([("z", "z", 0.0)], "g string, h string, q double")).first()["score"]
+    assert abs(new - 1 / (1 + 2.718281828459045 ** -m.intercept)) < 1e-9
