@@ -125,3 +125,30 @@ def test_filled_percentiles_of_all_but_one_fold(spark, rows):
                 continue
             filled = [np.median(have) if v is None else v for v in mine]
             assert np.allclose(per[name], np.quantile(filled, qs), rtol=0, atol=1e-12), (f, name)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 30])
+def test_groups_placed_alike_whatever_their_scales(spark, rows):
+    """Groups share their places: tiny, huge, equal, infinite and NULL-keyed ones keep their own ranks."""
+    rng = np.random.default_rng(8)
+    per = {"tiny": rng.integers(0, 50, 200) * 5e-324, "near": 1e-250 + rng.integers(0, 90, 200) * 2e-266, "huge": rng.uniform(-8e307, 8e307, 200),
+           "one": np.full(200, 3.0), None: rng.normal(size=200), "inf": np.array([float("-inf")] * 50 + [1.0, 2.0] * 50 + [float("inf")] * 50)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in per.items() for v in vs], "g string, v double").repartition(5)
+    got = ranking.percentiles(df, ["v"], [0.3, 0.5, 0.7], by=["g"], bracket_rows=rows)
+    for g, vs in per.items():
+        x = np.sort(vs)
+        for q, v in zip([0.3, 0.5, 0.7], got[(g,)]["v"]):
+            h = (len(x) - 1) * q
+            lo, hi = x[int(np.floor(h))], x[int(np.ceil(h))]
+            assert v == lo + (h - np.floor(h)) * (hi - lo), (g, q)
+
+
+def test_values_join_their_brackets_by_one_long_key(spark):
+    """Of the two null-safe keys that a bracket's feature made, each value paid several times the plain join."""
+    src = spark.range(100).selectExpr("cast(id % 3 as int) as _f", "cast(id as double) as _v")
+    spans = ranking._spans(src.groupBy("_f").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    placed = ranking._with_place(ranking._join_cells(src, spans, 3, ["_f"]), "_p0")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "as bigint" in plan[plan.index("HashedRelationBroadcastMode"):] and "isnull(_f" not in plan
+    ends = placed.groupBy("_f").agg(F.min("_p0"), F.max("_p0"), F.count_distinct("_p0")).collect()
+    assert all(r[1] == 0 and r[2] >= ranking.PLACES - 1 and r[3] >= 33 for r in ends)
