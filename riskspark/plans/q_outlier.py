@@ -9,6 +9,7 @@ from riskspark.operators import outlier as O
 from riskspark.plans.fixtures import LABELED_SQL, LOAN_VIEW_SQL, NUMERIC_COLS, split_loans, split_sql, table, \
     with_cte
 from riskspark.plans.registry import register, rounded, rsql
+from riskspark.session import materialize
 
 _QS = sorted({p / 100.0 for pair in O.PERCENTILE_CANDIDATES for p in pair} | {0.25, 0.5, 0.75})
 _QIDX = {q: i + 1 for i, q in enumerate(_QS)}  # DuckDB lists are 1-based
@@ -79,8 +80,12 @@ _LOAN_PRE = (LOAN_VIEW_SQL, LABELED_SQL, split_sql("labeled"))
 
 @register("out5_sweep_loans_train", _sweep_sql(_TRAIN_SRC, "credit_amount", _LOAN_PRE))
 def out5_sweep_loans_train(spark, d):
-    tr = split_loans(spark, d).where(F.col("split") == "train").select("credit_amount")
-    return rounded(O.sweep(tr, "credit_amount", O.fit_candidates(tr, "credit_amount")))
+    # the view is joined once for both selections and the sweep
+    tr = materialize(split_loans(spark, d).where(F.col("split") == "train").select("credit_amount"))
+    try:
+        return rounded(O.sweep(tr, "credit_amount", O.fit_candidates(tr, "credit_amount")))
+    finally:
+        tr.unpersist()
 
 
 @register("out4_summarize_change", rsql(with_cte(f"""
