@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators import ranking
-from riskspark.operators.columns import is_missing, join_null_safe, num
+from riskspark.operators.columns import col, is_missing, join_null_safe, num
+from riskspark.session import materialize
 
 _Q3 = [0.25, 0.5, 0.75]
 PLAIN_WIDTH = 24                          # columns up to which all pairs are terms of one aggregate
@@ -392,22 +393,31 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = "label", top_
     whiskers (extreme values inside the 1.5 IQR fences) and outlier count.
     All columns by default; ``top_n`` keeps those with the largest variance.
     Groups, the NULL group among them, stay in tables throughout."""
-    cols = top_variance_names(df, cols, top_n) if top_n else list(cols)
     by_cols = [by] if by else []
+    # read once: the percentiles' passes and the whiskers' see the same kept columns
+    df = df.select(*[col(c) for c in dict.fromkeys([*by_cols, *cols])]).persist()
+    cols = top_variance_names(df, cols, top_n) if top_n else list(cols)
     ps = ranking.percentile_table(df, cols, _Q3, by=by_cols)
     at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
     iqr = F.col("q3") - F.col("q1")
-    fences = (ps.groupBy(*by_cols, "feature").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    fences = (ps.groupBy(*[col(b) for b in by_cols], "feature").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
               .withColumn("fence_lo", F.col("q1") - 1.5 * iqr).withColumn("fence_hi", F.col("q3") + 1.5 * iqr))
-    values = F.array(*[F.struct(F.lit(c).alias("feature"), num(c).alias("v")) for c in cols])
-    long = df.select(*by_cols, F.explode(F.filter(values, lambda s: s["v"].isNotNull())).alias("_s")).select(*by_cols, "_s.*")
-    j = join_null_safe(long, fences, by_cols + ["feature"])     # fences: one row per group and feature
-    inside = (F.col("v") >= F.col("fence_lo")) & (F.col("v") <= F.col("fence_hi"))
-    return j.groupBy(*by_cols, "feature").agg(
-        *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
-        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
+    # a row meets its group's fences at once, not each of its values its own
+    of = lambda c, e: F.max(F.when(F.col("feature") == c, F.col(e)))
+    sides = [(f"_{s}{i}", of(c, e)) for i, c in enumerate(cols) for s, e in (("l", "fence_lo"), ("h", "fence_hi"))]
+    wide = fences.groupBy(*[col(b) for b in by_cols]).agg(*[e.alias(n) for n, e in sides])
+    rows = join_null_safe(df.select(*[col(b) for b in by_cols], *[num(c).alias(f"_v{i}") for i, c in enumerate(cols)]), wide, by_cols)
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_v{i}").alias("v"), F.col(f"_l{i}").alias("l"), F.col(f"_h{i}").alias("h"))
+                       for i in range(len(cols))])
+    long = rows.select(*[col(b) for b in by_cols], F.explode(values).alias("_s")).where(F.col("_s.v").isNotNull())
+    v = F.col("_s.v")
+    inside = (v >= F.col("_s.l")) & (v <= F.col("_s.h"))
+    out = long.groupBy(*[col(b) for b in by_cols], F.col("_s.f").alias("_f")).agg(
+        F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"), F.count_if(~inside).alias("n_outliers"))
+    out = out.withColumn("feature", F.array(*[F.lit(c) for c in cols])[F.col("_f")]).drop("_f")
+    out = materialize(join_null_safe(fences.drop("fence_lo", "fence_hi"), out, [*by_cols, "feature"]))      # a row per group and feature
+    df.unpersist()
+    return out
 
 
 # ------------------------------------------------------------ AGG20 - AGG22

@@ -72,3 +72,36 @@ def test_wide_correlation_of_no_rows(spark):
     cols = [f"c{i}" for i in range(30)]
     out = P.correlation(spark.createDataFrame([], ", ".join(f"{c} double" for c in cols)), cols).collect()
     assert len(out) == 900 and all(r["corr"] is None for r in out)
+
+
+def _counted(spark, rows, schema):
+    """A table and how many of its rows were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(r):
+        seen.add(1)
+        return r
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(touch), schema), seen
+
+
+def test_box_stats_read_their_input_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [([None, "a", "b"][k % 3], float(rng.normal()) ** 3 if k % 7 else None, float("nan") if k % 3 == 1 else float(k % 11)) for k in range(600)]
+    df, seen = _counted(spark, rows, "`g.x` string, `v.w` double, z double")
+    got = P.box_stats(df, ["v.w", "z"], by="g.x").collect()
+    assert seen.value == 600
+    assert {(r[0], r[1]) for r in got} == {(None, "v.w"), ("a", "v.w"), ("b", "v.w"), (None, "z"), ("b", "z")} and len(got) == 5
+    for g, f, q1, q2, q3, lo, hi, n in got:
+        x = np.array([r[1 if f == "v.w" else 2] for r in rows if r[0] == g and r[1 if f == "v.w" else 2] is not None])
+        assert np.allclose([q1, q2, q3], np.quantile(x, [0.25, 0.5, 0.75]))
+        inside = x[(x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))]
+        assert (lo, hi, n) == (inside.min(), inside.max(), len(x) - len(inside))
+
+
+def test_the_sweep_of_the_train_rows_joins_the_view_once(spark, monkeypatch):
+    from riskspark.plans import q_outlier
+    df, seen = _counted(spark, [("train" if k % 5 else "test", float(k * 37 % 101)) for k in range(500)], "split string, credit_amount double")
+    monkeypatch.setattr(q_outlier, "split_loans", lambda spark, d: df)
+    got = q_outlier.out5_sweep_loans_train(spark, None).collect()
+    assert len(got) == 9 and got[0]["count"] == 400 and seen.value == 500
