@@ -179,18 +179,20 @@ def eigen_residuals(df: DataFrame, model: PCAModel, cols: Sequence[str] | None =
     rows, _ = _row_arrays(df, cols, vector, "x", d=d)
     centres = F.array(*[F.lit(float(m)) for m in model.mean])
     x = rows.select(F.zip_with("x", centres, lambda v, m: v - m).alias("x"))
-    parts = x.select("x", *[_dot(F.col("x"), c).alias(f"t{i}") for i, c in enumerate(model.components)])
-
-    def times(t: Column) -> Column:
-        return array_to_vector(F.transform("x", lambda v: v * t))
-
-    weighted = parts.select(*[times(F.col(f"t{i}")).alias(f"p{i}") for i in range(k)])
-    got = weighted.select(*[Summarizer.mean(F.col(f"p{i}")).alias(f"m{i}") for i in range(k)]).first()
+    got = {r["j"]: r for r in _products(x, model.components).collect()}     # d rows of k numbers
     top = max(model.explained_variance[:1] + [1e-300])
-    return [float(np.abs(np.array(got[f"m{i}"].toArray()) * model.n / (model.n - 1) - lam * np.array(v)).max() / top)
+    return [float(np.abs(np.array([got[j][f"p{i}"] for j in range(d)]) / (model.n - 1) - lam * np.array(v)).max() / top)
             for i, (v, lam) in enumerate(zip(model.components, model.explained_variance))]
 
 
+def _products(x: DataFrame, components: Sequence[Sequence[float]]) -> DataFrame:
+    """``X' (X v)`` of every component ``v`` for the rows ``x``: (j, p0, p1, ...). Exploding keeps
+    a row's products apart from its entries; inlined, each entry would compute them anew."""
+    entries = (x.select("x", *[_dot(F.col("x"), c).alias(f"t{i}") for i, c in enumerate(components)])
+               .select(F.posexplode("x").alias("j", "v"), *[f"t{i}" for i in range(len(components))]))
+    return entries.groupBy("j").agg(*[F.sum(F.col("v") * F.col(f"t{i}")).alias(f"p{i}") for i in range(len(components))])
+
+
 def _dot(x: Column, weights: Sequence[float]) -> Column:
     w = F.array(*[F.lit(float(v)) for v in weights])
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)

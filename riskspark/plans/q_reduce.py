@@ -226,11 +226,11 @@ def _word_shares(spark, d):
     """doc_id, shares: the share of the document's words in each bucket."""
     docs = table(spark, d, "documents")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = docs.select("doc_id", F.explode(words).alias("w")) \
-        .groupBy("doc_id", (F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % _WIDTH).alias("b")).count()
-    g = n.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"), F.sum("count").alias("t"))
-    buckets = F.sequence(F.lit(0), F.lit(_WIDTH - 1))
-    return g.select("doc_id", F.transform(buckets, lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("t")).alias("shares"))
+    n = docs.select("doc_id", F.explode(words).alias("w")).select("doc_id", (F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % _WIDTH).alias("b"))
+    g = n.groupBy("doc_id").pivot("b", list(range(_WIDTH))).count().select(
+        F.col("doc_id").alias("doc_id"), F.array(*[F.coalesce(F.col(str(i)), F.lit(0)) for i in range(_WIDTH)]).alias("c"))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + x)
+    return g.select("doc_id", "c", total.alias("t")).select("doc_id", F.transform("c", lambda x: x / F.col("t")).alias("shares"))
 
 
 @register("pca1_truncated_loadings", rsql(with_cte(*_TOP2_SRC) + """

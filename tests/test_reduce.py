@@ -123,3 +123,29 @@ def test_covariance_of_no_rows_is_zero(spark, d):
     cols = [f"c{i}" for i in range(d)]
     n, mean, cov = R.covariance(spark.createDataFrame([], ", ".join(f"{c} double" for c in cols)), cols)
     assert n == 0 and not mean.any() and cov.shape == (d, d) and not cov.any()
+
+
+def test_products_of_a_row_are_computed_once(spark):
+    rng = np.random.default_rng(2)
+    x, vs = rng.normal(size=(50, 9)), rng.normal(size=(2, 9))
+    got = R._products(spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>"), vs.tolist())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("aggregate(zip_with") and plan.count("aggregate(zip_with") == 2
+    rows = {r["j"]: (r["p0"], r["p1"]) for r in got.collect()}
+    np.testing.assert_allclose([rows[j] for j in range(9)], x.T @ (x @ vs.T), atol=1e-10)
+
+
+def test_word_shares_of_odd_documents(spark, tmp_path):
+    import hashlib
+    from riskspark.plans import q_reduce
+    docs = [(1, "a b a"), (2, None), (3, " \t"), (4, "x"), (4, "y\ny"), (None, "z")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shares = q_reduce._word_shares(spark, str(tmp_path))
+    assert "map_from_entries" not in shares._jdf.queryExecution().toString()     # a map was searched once per bucket
+    got = {r[0]: r[1] for r in shares.collect()}
+    assert set(got) == {1, 4, None}
+    for key, words in {1: "a b a", 4: "x y y", None: "z"}.items():
+        want = np.zeros(128)
+        for w in words.split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % 128] += 1 / len(words.split())
+        np.testing.assert_allclose(got[key], want)
