@@ -20,8 +20,11 @@ so any two sets that can be linked have a common scheme.
 
 Verification. Keys with few sets give pairs, pruned by size and by an exact bound
 from parity bitmaps (the bits in which two bitmaps differ never outnumber the tokens
-in which the sets differ), then checked on the whole sets. Keys with many sets give
-no pairs: sets connected by such keys form groups, which are compared in blocks by
+in which the sets differ), then checked on the whole sets: the pairs that are left
+form clusters, each cluster is one task's (a large one is parted in blocks), and a set
+travels to its cluster once, as text. A pair is given by the least key that one of its
+sets has, if both have it as their least, and else by each common key. Keys with many
+sets give no pairs: sets connected by such keys form groups, which are compared in blocks by
 matrix products inside tasks that return spanning links only. First each block is
 compared with itself and its neighbour; then only blocks that may still join
 different components.
@@ -49,12 +52,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import arrow_map, id_text, ship, stored, to_arrow
+from riskspark.llm.common import arrow_map, id_text, release, ship, stored, to_arrow
 from riskspark.llm.components import connected_components
 
 SIZE, PERCENT = 4, 85
 RARE_BELOW = 32            # least document frequency of a frequent token
-MAX_FREQUENT = 1_000_000   # frequent tokens that are broadcast; F doubles until they fit
+MAX_FREQUENT = 1 << 23     # frequent tokens, broadcast as a bitmap of 2 to 4 bytes each; F doubles until they fit
 SMALL = 32                 # a key with at most so many sets gives pairs
 SALT_ROWS = 100_000        # a pair of tokens more frequent than this is dealt to several parts
 FLUSH = 1 << 19            # tokens gathered in a task before they are sent on
@@ -220,7 +223,8 @@ def frequent_tokens(docs: DataFrame, parts: int, size: int, least: int = RARE_BE
 
     Tasks count their own tokens and send each part's counts as compact arrays; a
     part is added up in one task. The threshold doubles until at most ``most`` tokens
-    are above it, so what is collected and broadcast is bounded at any size."""
+    are above it, so what is collected is bounded at any size. Above ``SMALL`` it makes
+    large keys of rare tokens, which join unrelated sets to groups: ``most`` is far out."""
     schema = to_arrow("part int, once binary, more binary, counts binary")
     ship(docs.sparkSession)
 
@@ -266,9 +270,38 @@ def frequent_tokens(docs: DataFrame, parts: int, size: int, least: int = RARE_BE
     found = counts.where(F.col("df") >= floor).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
+    release(counts)
     return keys[order], found["df"].to_numpy(np.int64)[order]
 
 
+class Frequent:
+    """Which tokens are frequent, as a bitmap of at least 16 bits per frequent token, and
+    the frequencies of the hottest. A rare token that meets a set bit counts as
+    frequent, in every set alike."""
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, parts: int):
+        self.parts = parts
+        self.width = 1 << max(6, (16 * len(keys) // parts).bit_length())      # bits of a part
+        self.bits = np.zeros(parts * self.width // 8, np.uint8)
+        at = self.place(keys)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        hot = df > SALT_ROWS
+        self.keys, self.df = keys[hot], df[hot]
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> U(32)) * U(self.width) + (keys & U(self.width - 1))).astype(np.int64)
+
+    def frequencies(self, tokens: np.ndarray) -> np.ndarray:
+        """The frequency of a hot token, 1 of any other frequent one, 0 of a rare one."""
+        k = frequency_key(tokens, self.parts)
+        at = self.place(k)
+        df = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.int64)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            df = np.where(self.keys[near] == k, self.df[near], df)
+        return df
+
+
 # ------------------------------------------------------------------ prefixes
 
 
@@ -313,10 +346,10 @@ def prefix_keys(tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT) -> t
 
 
 def index_entries(docs: DataFrame, frequent, parts: int, size: int, percent: int) -> DataFrame:
-    """Index entries (key, class, size, forced) as arrays per part. Keys that very
-    many sets may share are dealt to several parts and marked, so that their sets
-    never meet in one task and are always treated as a large key."""
-    schema_text = "part int, keys binary, nodes binary, sizes binary, forced binary"
+    """Index entries (key, class, size, forced, least key of the class) as arrays per
+    part. Keys that very many sets may share are dealt to several parts and marked, so
+    that their sets never meet in one task and are always treated as a large key."""
+    schema_text = "part int, keys binary, nodes binary, sizes binary, forced binary, firsts binary"
     schema = to_arrow(schema_text)
     ship(docs.sparkSession)
 
@@ -326,6 +359,7 @@ def index_entries(docs: DataFrame, frequent, parts: int, size: int, percent: int
         lens = [len(k) for k, _, _, _ in rows]
         node = np.repeat(np.array([x for _, _, x, _ in rows], np.int64), lens)
         n = np.repeat(np.array([x for _, _, _, x in rows], np.uint32), lens)
+        first = np.repeat(np.array([k.min() if len(k) else 0 for k, _, _, _ in rows], np.uint64), lens)
         ways = np.maximum(1, -(-many // SALT_ROWS)).astype(np.uint64)
         salt = finish(node.view(np.uint64)) % ways
         part = finish(key + salt * U(BASE)) % U(parts)
@@ -334,12 +368,12 @@ def index_entries(docs: DataFrame, frequent, parts: int, size: int, percent: int
         forced = (ways > 1).astype(np.uint8)
         for p, a, b in runs_of(part[order]):
             at = order[a:b]
-            for col, v in zip(cols, (p, key[at].tobytes(), node[at].tobytes(), n[at].tobytes(), forced[at].tobytes())):
+            for col, v in zip(cols, (p, key[at].tobytes(), node[at].tobytes(), n[at].tobytes(), forced[at].tobytes(), first[at].tobytes())):
                 col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def run(batches):
-        names, dfs, freq_parts = frequent.value
+        known = frequent.value
         g = Gather()
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -349,12 +383,7 @@ def index_entries(docs: DataFrame, frequent, parts: int, size: int, percent: int
                 node = class_key(s)
                 if node in g.seen:
                     continue
-                df = np.zeros(len(s), np.int64)
-                if len(names):
-                    k = frequency_key(s, freq_parts)
-                    at = np.minimum(np.searchsorted(names, k), len(names) - 1)
-                    df = np.where(names[at] == k, dfs[at], 0)
-                keys, many = prefix_keys(s, df, percent)
+                keys, many = prefix_keys(s, known.frequencies(s), percent)
                 if g.add(node, (keys, many, node, len(s)), len(keys)):
                     yield rows_of(g.take())
         if g.rows:
@@ -370,18 +399,20 @@ def fits(a, b, percent: int):
 
 def candidates(entries: DataFrame, percent: int) -> DataFrame:
     """``large, a, b, na, nb``: pairs of classes from small keys, and memberships
-    (key, class) of large ones, each once per part."""
+    (key, class) of large ones, each once per part. Near copies share most of their keys:
+    two classes with the same least key are a pair of that key alone."""
     text = "large boolean, a long, b long, na long, nb long"
     schema = to_arrow(text)
 
     def run(t: pa.Table) -> pa.Table:
         get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
         key, node, n, forced = get("keys", np.uint64), get("nodes", np.int64), get("sizes", np.uint32).astype(np.int64), get("forced", np.uint8)
+        first = get("firsts", np.uint64)
         order = np.lexsort((node, key))
-        key, node, n, forced = key[order], node[order], n[order], forced[order]
+        key, node, n, forced, first = key[order], node[order], n[order], forced[order], first[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n, forced = key[new], node[new], n[new], forced[new]
+        key, node, n, forced, first = key[new], node[new], n[new], forced[new], first[new]
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
         run_of = np.cumsum(head) - 1
@@ -389,13 +420,13 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
         large = (length > SMALL) | (forced > 0)
         rows = []
         small = np.flatnonzero((length > 1) & ~large)
-        k, x, s = key[small], node[small], n[small]
+        k, x, s, f = key[small], node[small], n[small], first[small]
         pairs = []
         for gap in range(1, min(SMALL, len(small))):
             same = np.flatnonzero((k[gap:] == k[:-gap]))
             if not len(same):
                 break
-            same = same[fits(s[same], s[same + gap], percent)]
+            same = same[fits(s[same], s[same + gap], percent) & ((f[same] != f[same + gap]) | (f[same] == k[same]))]
             pairs.append(np.stack((x[same], x[same + gap], s[same], s[same + gap]), 1))
         if pairs:
             p = np.concatenate(pairs)
@@ -417,20 +448,64 @@ def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def verified_pairs(pairs: DataFrame, nodes: DataFrame, sets, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that are links. ``sets(needed)`` fetches whole sets. Rows stream
-    through the joins one by one, however large the sets are."""
+def verified_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the pairs ``a, b``, thinned where others connect their ends. The pairs
+    that the bitmaps leave form clusters of bounded blocks; a task gets the texts of a
+    few small clusters, or of two blocks of a large one, each text once."""
     maps = nodes.select("node", "bitmap")
     p = (pairs.join(maps.select(F.col("node").alias("a"), F.col("bitmap").alias("ma")), "a")
          .join(maps.select(F.col("node").alias("b"), F.col("bitmap").alias("mb")), "b"))
     p = p.select("a", "b", "na", "nb", folded(F.col("ma"), F.col("mb")).alias("ma"), folded(F.col("mb"), F.col("ma")).alias("mb"))
     differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     left = stored(p.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b"), "close-pairs")
-    whole = sets(left.select(F.explode(F.array("a", "b")).alias("node")))
-    j = (left.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-         .join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return stored(j.where(linked(common, F.size("ta"), F.size("tb"), percent)).select("a", "b"), "links")
+    if left.isEmpty():
+        return left
+    members = stored(connected_components(left).join(nodes.select("node", "n", F.col("doc_id").alias("rep")), "node"), "needed")
+    parts = int(-(-(members.agg(F.sum("n")).first()[0]) // PART_TOKENS))
+    count = members.groupBy("label").agg(F.ceil(F.count("*") / sets_of_block(F.max("n"))).cast("long").alias("k"))
+    at = stored(members.join(count, "label").select("node", "rep", "label", "k", F.pmod(F.xxhash64("node"), "k").alias("i")), "clusters")
+    near = left.join(at.select(F.col("node").alias("a"), "label", "k", F.col("i").alias("ia")), "a").join(at.select(F.col("node").alias("b"), F.col("i").alias("ib")), "b")
+    batch = F.when(F.col("k") == 1, F.pmod(F.xxhash64("label"), F.lit(parts))).otherwise(F.xxhash64("label", F.least("ia", "ib"), F.greatest("ia", "ib")))
+    dealt = stored(near.select(batch.alias("batch"), "a", "b"), "dealt-pairs")
+    want = dealt.select("batch", F.explode(F.array("a", "b")).alias("node")).distinct()
+    want = stored(want.join(at.select("node", "rep"), "node"), "wanted")
+    texts = docs.join(small(want), F.col("doc_id").eqNullSafe(F.col("rep"))).select("batch", "node", "text")
+    text = "a long, b long"
+    schema = to_arrow(text)
+
+    def run(edges: pa.Table, t: pa.Table) -> pa.Table:
+        have: dict[int, np.ndarray] = {}
+        for node, x in zip(t.column("node").to_pylist(), t.column("text")):
+            if node not in have:
+                s = token_set(x.as_py(), size)
+                if len(s) and class_key(s) == node:     # ids may repeat with other texts
+                    have[node] = s
+        up: dict[int, int] = {}
+
+        def root(i):
+            while up.get(i, i) != i:
+                up[i] = i = up.get(up[i], up[i])
+            return i
+
+        out = []
+        for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist()):
+            if (ra := root(a)) == (rb := root(b)) or a not in have or b not in have:
+                continue
+            x, y = have[a], have[b]
+            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                up[ra] = rb
+                out.append((a, b))
+        return pa.Table.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], schema=schema)
+
+    ship(docs.sparkSession)
+    links = stored(dealt.groupBy("batch").cogroup(texts.groupBy("batch")).applyInArrow(run, text), "links")
+    release(left, members, at, dealt, want)
+    return links
+
+
+def sets_of_block(longest):
+    """How many sets, the longest of so many tokens, a block may have."""
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / longest).cast("int")))
 
 
 def size_class(n, percent: int):
@@ -491,16 +566,16 @@ def spanning_links(x: list[np.ndarray], y: list[np.ndarray], names: list[int], p
     return out
 
 
-def block_links(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of the given block pairs. ``blocks``: block, node, tokens;
-    ``pairs``: x, y (blocks, x = y for within). One task step holds two blocks, whose
-    size is bounded; every block travels once per pair that it is in."""
+def block_links(blocks: DataFrame, whole: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Spanning links of the given block pairs. ``blocks``: block, node; ``whole``: node,
+    tokens; ``pairs``: x, y (blocks, x = y for within). One task step holds two blocks,
+    whose size is bounded; every block travels once per pair that it is in."""
     text = "a long, b long"
     schema = to_arrow(text)
     numbered = pairs.withColumn("pair", F.xxhash64("x", "y"))
     sides = (numbered.select("pair", F.col("x").alias("block"), F.lit(0).alias("side"))
              .union(numbered.where("x <> y").select("pair", F.col("y"), F.lit(1))))
-    rows = sides.join(blocks, "block").select("pair", "side", "node", "tokens")
+    rows = sides.join(blocks, "block").join(whole, "node").select("pair", "side", "node", "tokens")
 
     def run(t: pa.Table) -> pa.Table:
         side = np.array(t.column("side").to_pylist())
@@ -536,12 +611,11 @@ def group_links(members: DataFrame, sets, percent: int) -> DataFrame:
     def blocked(d: DataFrame, pool):
         """Deal the sets of each (group, pool, size class) to blocks of bounded size."""
         d = d.withColumn("pool", pool)
-        per = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.max("n")).cast("int")))
-        count = stored(d.groupBy("grp", "pool", "c").agg(F.ceil(F.count("*") / per).cast("long").alias("k")), "block-counts")
+        count = stored(d.groupBy("grp", "pool", "c").agg(F.ceil(F.count("*") / sets_of_block(F.max("n"))).cast("long").alias("k")), "block-counts")
         # one row per class against all its sets: a hot class is not shuffled into one task for it
         d = d.join(small(count), ["grp", "pool", "c"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
         d = d.withColumn("block", F.xxhash64("grp", "pool", "c", "i"))
-        return stored(d.join(whole, "node").select("block", "node", "tokens"), "blocks"), count
+        return stored(d.select("block", "node"), "blocks"), count
 
     def expand(count: DataFrame, near: bool) -> DataFrame:
         return count.select("grp", "pool", "c", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
@@ -559,7 +633,7 @@ def group_links(members: DataFrame, sets, percent: int) -> DataFrame:
     nxt = count.select("grp", "pool", (F.col("c") - 1).alias("c"))
     across = count.join(nxt, ["grp", "pool", "c"]).select(name("grp", "pool", "c", zero).alias("x"),
                                                           name("grp", "pool", F.col("c") + 1, zero).alias("y"))
-    first = stored(block_links(blocks, own.union(after).union(across), percent), "first-links")
+    first = stored(block_links(blocks, whole, own.union(after).union(across), percent), "first-links")
     # second round: whatever may still join two components of a group. Components
     # with at least a block's sets keep to themselves, the small ones share a pool.
     comp = connected_components(first)
@@ -577,7 +651,8 @@ def group_links(members: DataFrame, sets, percent: int) -> DataFrame:
             .where((F.col("c1") < F.col("c2")) | (F.struct("p1", "i1") <= F.struct("p2", "i2")))
             .where((F.col("p1") != F.col("p2")) | (F.col("p1") == 0))
             .select(name("grp", "p1", "c1", "i1").alias("x"), name("grp", "p2", "c2", "i2").alias("y")))
-    second = stored(block_links(blocks, both, percent), "second-links")
+    second = stored(block_links(blocks, whole, both, percent), "second-links")
+    release(whole, m, d)
     return first.union(second)
 
 
@@ -608,9 +683,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                                       F.first("bitmap").alias("bitmap")), "nodes")
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
     parts = int(max(16, -(-tokens // PART_TOKENS)))
-    names, dfs = frequent_tokens(d, parts, size)
-    frequent = spark.sparkContext.broadcast((names, dfs, parts))
-    # entries are a fifth of the tokens, with five times the bytes
+    frequent = spark.sparkContext.broadcast(Frequent(*frequent_tokens(d, parts, size), parts))
+    # entries are a fifth of the tokens, with seven times the bytes
     found = stored(candidates(index_entries(d, frequent, parts, size, percent), percent), "candidates")
 
     def sets(needed: DataFrame) -> DataFrame:
@@ -632,8 +706,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pairs = found.where("NOT large").select("a", "b", "na", "nb").distinct()
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("nb").alias("n")).distinct()
-    links = verified_pairs(pairs, nodes, sets, percent).union(group_links(members, sets, percent))
+    links = verified_pairs(pairs, nodes, d, size, percent).union(group_links(members, sets, percent))
     label = connected_components(links)
+    release(found)
     of_node = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     comp = of_node.join(ids, "label").select(F.col("node").alias("class_id"), F.col("label").alias("group_id"), "component_id")

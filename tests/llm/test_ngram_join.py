@@ -149,3 +149,49 @@ def test_empty_table(empty):
 def test_runs_of_sorted_parts():
     part = np.array([0, 0, 3, 3, 3, 1 << 40], np.uint64)
     assert nj.runs_of(part) == [(0, 0, 2), (3, 2, 5), (1 << 40, 5, 6)] and nj.runs_of(part[:0]) == []
+
+
+def test_near_copies_are_few_pairs(spark, words):
+    """Every common key gave each pair again (near copies share some tenth of their tokens)."""
+    texts = family(random.Random(8), words, 400, 6, 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.sparkContext.broadcast(nj.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64), 16))
+    pairs = nj.candidates(nj.index_entries(df, none, 16, 4, 85), 85).where("NOT large").select("a", "b")
+    classes = len({frozenset(shingles(t)) for t in texts})
+    assert pairs.distinct().count() == classes * (classes - 1) // 2 and pairs.count() <= 4 * classes * (classes - 1) // 2
+
+
+def test_a_text_travels_once_per_cluster(spark, words, monkeypatch):
+    """Pairs of a cluster carried both whole sets each; now its texts are wanted once."""
+    seen, write = {}, nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: seen.setdefault(name, write(df, name)))
+    monkeypatch.setattr(nj, "release", lambda *tables: None)
+    texts = family(random.Random(9), words, 300, 20, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert result(df) == brute(list(enumerate(texts)))
+    assert seen["wanted"].count() == seen["wanted"].select("node").distinct().count() <= 20 < seen["dealt-pairs"].count()
+
+
+def test_frequent_tokens_as_a_bitmap():
+    rng = np.random.default_rng(5)
+    tokens = np.unique(rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2))
+    keys = np.unique(nj.frequency_key(tokens[::2], 7))
+    df = np.full(len(keys), 40)
+    df[:3] = nj.SALT_ROWS + 5
+    f = nj.Frequent(keys, df, 7)
+    got = f.frequencies(tokens)
+    assert (got[::2] > 0).all() and (got[1::2] > 0).mean() < 0.08 and (got > nj.SALT_ROWS).sum() == 3
+    assert not nj.Frequent(keys[:0], df[:0], 7).frequencies(tokens).any()
+    assert f.bits.nbytes <= 4 * len(keys) and nj.MAX_FREQUENT >= 8_000_000
+
+
+def test_stored_tables_are_released(spark):
+    from pathlib import Path
+
+    from riskspark.llm.common import DROP_SHUFFLES, release, stored
+    before = spark.conf.get(DROP_SHUFFLES)
+    t = stored(spark.range(20).repartition(3), "t")
+    at = Path(t.stored_at.removeprefix("file:"))
+    assert t.count() == 20 and at.is_dir() and spark.conf.get(DROP_SHUFFLES) == before
+    release(t)
+    assert not at.parent.exists()
